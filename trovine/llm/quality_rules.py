@@ -1,9 +1,10 @@
 """Quality rules with cutoffs chosen under a risk guarantee. DataFrame and SQL functions only.
 
 Each rule compares a ratio with a cutoff. A cutoff may be used in a stratum only where the labelled good documents of
-that stratum prove, by an exact binomial bound, that it rejects at most ``alpha / rules`` of the good documents; the
-error probability ``delta`` is divided by the number of bounds tested (strata x rules x cutoffs), so all the guarantees
-hold together. A stratum with too few labels for a proof keeps everything but the base failures.
+that stratum prove, by an exact binomial bound, that it rejects at most ``alpha / rules`` of the good documents. The
+error probability ``delta`` is divided by the number of families tested (strata x rules); within a family the cutoffs are
+tested in fixed sequence, from the loosest to the strictest, up to the first that fails, which needs no division. So all
+the guarantees hold together. A stratum with too few labels for a proof keeps everything but the base failures.
 """
 
 from __future__ import annotations
@@ -82,7 +83,7 @@ def binomial_cdf(k: str, n: str, p: float) -> Column:
     )
 
 
-def calibrate(metrics: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float = 0.05, cutoffs: Sequence[float] = CUTOFFS, cost: float = 10.0) -> DataFrame:
+def calibrate(metrics: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05, cutoffs: Sequence[float] = CUTOFFS, cost: float = 10.0) -> DataFrame:
     """(stratum, rule, cutoff): the certified cutoff that rejects most bad documents, a good one counting ``cost`` times.
 
     ``labels`` has doc_id and quality (1 good, 0 bad); rows with nulls are no evidence, and a document labelled twice
@@ -104,8 +105,9 @@ def calibrate(metrics: DataFrame, labels: DataFrame, alpha: float = 0.01, delta:
                 )
             )
     table = held.groupBy("stratum").agg(F.sum(good.cast("long")).alias("n"), F.array(*cells).alias("cells"))
-    table = table.withColumn("tests", F.count("*").over(Window.partitionBy(F.lit(0))) * len(cells))
+    table = table.withColumn("tests", F.count("*").over(Window.partitionBy(F.lit(0))) * len(RULES))
     table = table.select("stratum", "n", "tests", F.explode("cells").alias("cell")).select("stratum", "n", "tests", "cell.*")
+    # A stricter cutoff rejects as many good ones or more, so the fixed sequence ends where the first bound fails.
     table = table.withColumn("p_value", binomial_cdf("k", "n", alpha / len(RULES)))
     worth = F.col("hits") - cost * F.col("k")
     certified = table.where((F.col("p_value") <= delta / F.col("tests")) & (worth > 0))
@@ -121,7 +123,7 @@ def judge(metrics: DataFrame, cutoffs: DataFrame) -> DataFrame:
     return metrics.join(by_stratum, "stratum", "left").withColumn("kept", ~F.col("base_failed") & ~rejected).drop("_cut")
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.01, delta: float = 0.05) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
     """Metrics and verdict per row of ``docs`` (doc_id, text, and the stratum's column).
 
     Null and empty texts fail; a null stratum is the stratum ''; other columns are ignored; empty tables give no rows.

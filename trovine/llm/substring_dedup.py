@@ -7,8 +7,8 @@ occurrence (document, then start) is the one that stays. Nothing is decided by h
 
 Passes over the texts (joined by document id, in one plan, so the exchange of the texts is shared):
 
-1. each document sends the hashes of its minimisers, 16 bytes each; those seen once in the corpus cannot belong to a
-   repeated window, and their windows are not sent anywhere;
+1. each document sends the hashes of its minimisers, 16 bytes each, and whether they stand in it more than once; those
+   seen once in the corpus cannot belong to a repeated window, and their windows are not sent anywhere;
 2. documents send the packed strings of the other windows. Equal strings are reduced to their first occurrence before
    and after the shuffle, so copies do not pile up in a bucket. Where a minimiser occurs in more than ``hot`` documents
    each of its windows is a string of its own, in the bucket of the whole window's hash: a frequent line in many
@@ -33,14 +33,14 @@ from .textcore import chunks, gram_hashes, signed, word_hashes, words
 LONGEST_RUN = 64
 
 
-def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
+def _sliding(x: np.ndarray, w: int, least: np.ufunc = np.minimum) -> np.ndarray:
     if len(x) < w:
         return np.empty(0, x.dtype)
     out, have = x, 1
     while have * 2 <= w:
-        out = np.minimum(out[:-have], out[have:])
+        out = least(out[:-have], out[have:])
         have *= 2
-    return np.minimum(out[: len(x) - w + 1], out[w - have :]) if have < w else out
+    return least(out[: len(x) - w + 1], out[w - have :]) if have < w else out
 
 
 class Layout:
@@ -49,12 +49,18 @@ class Layout:
     def __init__(self, buf: np.ndarray, offsets: np.ndarray, window: int, anchor: int):
         self.starts, self.ends, self.first = words(buf, offsets)
         self.hashes = word_hashes(buf, self.starts, self.ends)
-        least = _sliding_min(gram_hashes(self.hashes, anchor), window - anchor + 1)
+        grams, width = gram_hashes(self.hashes, anchor), window - anchor + 1
+        least = _sliding(grams, width)
         counts = np.diff(self.first)
         text = np.repeat(np.arange(len(counts)), counts)
         whole = text[: len(least)] == text[window - 1 :] if len(least) else np.empty(0, bool)
         self.at = np.flatnonzero(whole)  # windows by their first word
         self.minimiser, self.text = least[self.at], text[self.at]
+        # Anchors: the runs of words that are the minimiser of some window over them.
+        padded = np.zeros(len(grams) + width - 1, np.uint64)
+        padded[width - 1 : width - 1 + len(least)] = np.where(whole, least, np.uint64(0))
+        chosen = np.flatnonzero(_sliding(padded, width, np.maximum) == grams) if len(least) else np.empty(0, int)
+        self.anchor, self.anchor_text = grams[chosen], text[chosen]
         new = np.ones(len(self.at), bool)
         new[1:] = (self.minimiser[1:] != self.minimiser[:-1]) | (self.text[1:] != self.text[:-1])
         begin = np.flatnonzero(new)
@@ -71,7 +77,7 @@ def _anchors(window: int, anchor: int):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for first, _, buf, offsets in chunks(batch.column(1)):
                 lay = Layout(buf, offsets, window, anchor)
-                text, value = lay.run_text, lay.minimiser[lay.run]
+                text, value = lay.anchor_text, lay.anchor
                 order = np.lexsort((value, text))
                 text, value = text[order], value[order]
                 new = np.ones(len(text), bool)
