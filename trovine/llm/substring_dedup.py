@@ -254,7 +254,9 @@ def remove_repeats(docs: DataFrame, window: int = 20, anchor: int = 8, hot: int
     )
     marked = texts.join(lists, "doc_id", "left").join(originals, "doc_id", "left")
     marked = marked.select("doc_id", "text", "shared", "hot", (F.col("original").isNull() & F.col("doc_id").isNotNull()).alias("copy"))
-    sent = marked.where("NOT copy AND (size(shared) > 0 OR size(hot) > 0)").select("doc_id", "text", "shared", "hot")
+    # A filter here would be pushed below the join and make another exchange of the texts; so the rows stay, without text.
+    wanted = F.coalesce(~F.col("copy") & ((F.size("shared") > 0) | (F.size("hot") > 0)), F.lit(False))
+    sent = marked.select("doc_id", F.when(wanted, F.col("text")).alias("text"), F.when(wanted, F.col("shared")).alias("shared"), F.when(wanted, F.col("hot")).alias("hot"))
     pieces = sent.mapInArrow(_pieces(window, anchor), "key long, piece binary, doc_id long, at int")
     distinct = pieces.groupBy("key", "piece").agg(F.min_by("at", "doc_id").alias("at"), F.min("doc_id").alias("doc_id"))
     sorted_ = distinct.select("key", "piece", "doc_id", "at").repartition("key").sortWithinPartitions("key")
