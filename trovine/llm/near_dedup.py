@@ -6,8 +6,8 @@
 3. A pair's signatures are compared batch by batch; it is dropped as soon as the posterior probability of the wanted
    similarity falls below ``miss``. Survivors are confirmed on the full sets, from the texts.
 4. Confirmed links give components. Where a bucket still holds members of different components, these are compared
-   across components, in blocks, without emitting the pairs; those which survive the test are confirmed as well. So no
-   candidate of the bands is left out, and no bucket emits its square.
+   across components, in blocks of bounded size, by the same steps; only a link that joins two components is emitted. So
+   no candidate of the bands is left out, and no bucket emits its square.
 """
 
 from __future__ import annotations
@@ -133,23 +133,24 @@ def _prune(limits: tuple[int, ...]):
     return run
 
 
-def _confirm(size: int, percent: int):
-    """Pairs (a, b) with 100 x intersection >= percent x union of their shingles, compared as words."""
+def word_shingles(text: str, size: int) -> set[bytes]:
+    w = text.encode().translate(_LOWER).split()
+    return {b" ".join(w[i : i + size]) for i in range(max(len(w) - size + 1, 1))} if w else set()
+
+
+def linked(a: str, b: str, size: int, percent: int) -> bool:
+    """100 x intersection >= percent x union of the texts' shingles, compared as words."""
+    x, y = word_shingles(a, size), word_shingles(b, size)
+    both = len(x & y)
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
 
-    def shingles(text: str) -> set:
-        w = text.encode().translate(_LOWER).split()
-        return {b" ".join(w[i : i + size]) for i in range(max(len(w) - size + 1, 1))} if w else set()
+def _confirm(size: int, percent: int):
+    """The linked pairs (a, b) of rows with both texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, left = None, set()
         for batch in batches:
-            keep = []
-            for k in range(len(batch)):
-                if (text := batch.column(2)[k].as_py()) != last:
-                    last, left = text, shingles(text)
-                right = shingles(batch.column(3)[k].as_py())
-                both = len(left & right)
-                keep.append(100 * both >= percent * (len(left) + len(right) - both))
+            keep = [linked(x.as_py(), y.as_py(), size, percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -158,45 +159,50 @@ def _confirm(size: int, percent: int):
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def _across(limits: tuple[int, ...], block: int):
-    """Pairs of one bucket's members in different components that survive, each only in their first common band.
+def _across(limits: tuple[int, ...], size: int, percent: int):
+    """Links between a bucket's members in different components, one for each two components that it joins.
 
-    Rows come sorted by bucket and component. Memory holds the members of a bucket part (ids, components, signatures),
-    and blocks of comparisons.
+    Rows come sorted by bucket part. ``left`` members are compared with ``right`` ones: signatures first, then, in the first
+    band that the two share, hashed sets, then the shingles as words. Two components that a link has joined are one for
+    the rest of the part.
     """
 
     def settle(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        if len(rows) < 2:
-            return
         ids, comps = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-        if (comps == comps[0]).all():
+        left, right = np.array([r[3] for r in rows], bool), np.array([r[4] for r in rows], bool)
+        if (comps == comps[0]).all() or not left.any():
             return
-        sigs = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(-1, HASHES)
-        left = np.array([r[3] for r in rows], bool)  # rows of the smaller part of a salted bucket, or all
-        bands, band = np.array([r[4] for r in rows]), rows[0][5]
+        sigs, bands, band = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(-1, HASHES), np.array([r[5] for r in rows]), rows[0][6]
+        most = np.array([not r[7] for r in rows], bool)  # of the bucket's largest component
+        hashed: dict[int, np.ndarray] = {}
+
+        def shingles(k: int) -> np.ndarray:
+            if k not in hashed:
+                raw = np.frombuffer(rows[k][8].encode(), np.uint8)
+                hashed[k] = next(_shingles(raw, np.array([0, len(raw)]), size))
+            return hashed[k]
+
         for i in np.flatnonzero(left):
-            for k in range(0, len(ids), block):
-                part = slice(k, k + block)
-                other = np.flatnonzero((comps[part] != comps[i]) & ((ids[part] > ids[i]) | ~left[part])) + k
-                if len(other):
-                    ok = other[survivors(np.broadcast_to(sigs[i], (len(other), HASHES)), sigs[other], limits)]
-                    if len(ok):
-                        ok = ok[(bands[ok] == bands[i]).argmax(1) == band]
-                        for j in ok:
-                            yield min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))
+            other = np.flatnonzero(right & (comps != comps[i]) & (most | (ids > ids[i])))
+            ok = other[survivors(np.broadcast_to(sigs[i], (len(other), HASHES)), sigs[other], limits)]
+            for j in ok[(bands[ok] == bands[i]).argmax(1) == band] if len(ok) else ():
+                if comps[i] == comps[j]:
+                    continue
+                x, y = shingles(i), shingles(j)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= percent * (len(x) + len(y) - both) and linked(rows[i][8], rows[j][8], size, percent):
+                    yield min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))
+                    comps[comps == comps[j]] = comps[i]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group, out = None, [], []
         for batch in batches:
-            for *k, i, c, s, one, bands, band in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for *k, i, c, s, a, b, bands, band, one, text in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if k != key:
-                    out += settle(group)
+                    out += settle(group) if len(group) > 1 else ()
                     key, group = k, []
-                group.append((i, c, s, one, bands, band))
-            if len(out) > 10_000:
-                yield _pairs(out)
-                out = []
-        out += settle(group)
+                group.append((i, c, s, a, b, bands, band, one, text))
+        out += settle(group) if len(group) > 1 else ()
         yield _pairs(out)
 
     return run
@@ -226,7 +232,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, shingle: int = 5, percent: int = 75, miss: float = 0.001, part: int = 4096, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, shingle: int = 5, percent: int = 75, miss: float = 0.001, part: int = 1024, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """doc_id, n_shingles, component_id and kept per row of ``docs``.
 
@@ -274,15 +280,19 @@ def near_duplicates(
     largest = now.join(mixed.select("band", "key", "n"), ["band", "key"]).groupBy("band", "key", "component", "n").agg(F.count("*").alias("m"))
     largest = largest.groupBy("band", "key", "n").agg(F.max_by("component", F.struct("m", "component")).alias("most"))
     inside = now.join(largest, ["band", "key"]).select("band", "key", "id", "component", "n", (F.col("component") != F.col("most")).alias("one"))
-    # Large buckets are dealt out: every member outside the largest component meets each part of the bucket.
-    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / part)).cast("int")
-    own_part = F.pmod(F.xxhash64("id"), parts).cast("int")
-    inside = inside.withColumn("part", F.explode(F.when(F.col("one"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(own_part))))
-    inside = inside.join(reps.select("id", "sig", "bands"), "id").select("band", "key", "part", "id", "component", "sig", "one", "bands", F.col("band").alias("b"))
-    dealt = inside.repartition("band", "key", "part").sortWithinPartitions("band", "key", "part")
-    rest = materialise(dealt.mapInArrow(_across(limits, 1024), "a long, b long").distinct(), "candidates")
-    if rest.limit(1).count():
-        links.append(confirmed(rest, "links"))
+    # A large bucket is a square of parts: members outside the largest component, by block, against all, by block.
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / part)).cast("int")
+    inside = inside.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    rows_ = F.transform(every, lambda k: F.struct(k.alias("i"), F.col("own").alias("j"), (F.col("one") & (k == F.col("own"))).alias("left"), F.lit(True).alias("right")))
+    columns = F.transform(F.filter(every, lambda k: k != F.col("own")), lambda k: F.struct(F.col("own").alias("i"), k.alias("j"), F.lit(True).alias("left"), F.lit(False).alias("right")))
+    inside = inside.withColumn("cell", F.explode(F.when(F.col("one"), F.concat(rows_, columns)).otherwise(rows_)))
+    bucket = ["band", "key", "i", "j"]
+    inside = inside.select("band", "key", "cell.i", "cell.j", "id", "component", "cell.left", "cell.right", "one").join(reps.select("id", "sig", "bands"), "id")
+    inside = inside.join(texts.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text"), "id")
+    dealt = inside.repartition(*bucket).sortWithinPartitions(*bucket)
+    dealt = dealt.select(*bucket, "id", "component", "sig", "left", "right", "bands", F.col("band").alias("own_band"), "one", "text")
+    links.append(materialise(dealt.mapInArrow(_across(limits, shingle, percent), "a long, b long").distinct(), "links"))
     labels = components(copies(reduce(DataFrame.union, links)))
     return (
         signed_.select("doc_id", "n_shingles")
