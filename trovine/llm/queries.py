@@ -12,6 +12,7 @@ from .decontaminate import find_benchmark
 from .html_extract import extract_pages
 from .mixing import schedule, token_sizes
 from .near_dedup import near_duplicates
+from .oracles import SQL
 from .pii import KINDS, pseudonymise
 from .quality_rules import quality_rules
 from .sharding import shard_documents
@@ -87,4 +88,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
