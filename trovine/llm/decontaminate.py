@@ -33,12 +33,17 @@ BLOCK_ITEMS = 20_000
 
 
 def _fold(buf: np.ndarray) -> np.ndarray:
-    """Lower case of ASCII and, in UTF-8, of the Latin-1 letters."""
+    """Lower case of ASCII and, in UTF-8, of the Latin-1 letters; blanks for the marks of Latin-1 and of U+2000 to 207F."""
     out = buf.copy()
     out[(buf >= 65) & (buf <= 90)] += 32
     latin = np.zeros(len(buf), bool)
     latin[1:] = (buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] <= 0x9E) & (buf[1:] != 0x97)
     out[latin] += 32
+    two = np.flatnonzero((buf[:-1] == 0xC2) & (buf[1:] >= 0xA0))
+    three = np.flatnonzero((buf[:-2] == 0xE2) & (buf[1:-1] >= 0x80) & (buf[1:-1] <= 0x81))
+    for at, size in ((two, 2), (three, 3)):
+        for k in range(size):
+            out[at + k] = 32
     return out
 
 
@@ -123,6 +128,34 @@ class Table:
             i += int(bits[j, symbol])
         return out
 
+    @staticmethod
+    def steps_on(more: np.ndarray, bits: np.ndarray, start: np.ndarray, state: np.ndarray, step: int, goal: np.ndarray) -> np.ndarray:
+        """Where the walks from ``start`` (ascending), at ``state`` in ``step``, stand in the steps ``goal``.
+
+        A walk does not depend on the item, so it is made once for each start, as far as its furthest goal; walks are
+        sorted by that, and fewer go on with each step. Past an item's or a text's end a walk may go on: it stays past it.
+        """
+        first = np.flatnonzero(np.append(True, start[1:] != start[:-1]))
+        far = np.maximum.reduceat(goal, first)
+        order = np.argsort(-far, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        walker = place[np.repeat(np.arange(len(first)), np.diff(np.append(first, len(start))))]
+        now, far = state[first][order].astype(np.int64), far[order]
+        by_goal = np.argsort(goal, kind="stable")
+        ends = np.searchsorted(goal[by_goal], np.arange(step, int(far[0]) + 2))
+        active = np.searchsorted(-far, -np.arange(step, int(far[0]) + 1), "left")
+        out = np.empty(len(start), np.int64)
+        for k, j in enumerate(range(step, int(far[0]))):
+            n = active[k]
+            now[:n] += bits[j].take(more.take(now[:n]))
+            if ends[k + 2] > ends[k + 1]:
+                due = by_goal[ends[k + 1] : ends[k + 2]]
+                out[due] = now[walker[due]]
+        due = by_goal[: ends[1]]  # goals in the step itself
+        out[due] = state[due]
+        return out
+
     def candidates(self, ids: np.ndarray, left: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each round (window starts, items) that collide. left: words from each position to its text's end."""
         n, end = len(ids), len(self.vocabulary) + 1
@@ -134,11 +167,12 @@ class Table:
         for bits, one, two, steps, seen, starts, keys, begin, members in self.rounds:
             at = np.arange(n, dtype=np.int32)
             for j in range(one):
-                at += bits[j][more[at]]
-            keep = np.flatnonzero(starts[more[at]])
-            at, first = at[keep], more[at[keep]]
+                at += bits[j].take(more.take(at) if j else ids)
+            keep = np.flatnonzero(starts.take(more.take(at) if one else ids))
+            at = at[keep]
+            first = more.take(at)
             for j in range(one, two):
-                at = at + bits[j][more[at]]
+                at += bits[j].take(more.take(at) if j > one else first)
             key = first.astype(np.int64) * (end + 1) + more[at]
             found = np.searchsorted(keys, key)
             found[found == len(keys)] = 0
@@ -147,23 +181,13 @@ class Table:
                 continue
             found = found[ok]
             count = begin[found + 1] - begin[found]
-            start = np.repeat(keep[ok], count)
-            at = np.repeat(at[ok], count).astype(np.int64)
+            start, state = np.repeat(keep[ok], count), np.repeat(at[ok], count)
             which = members[np.repeat(begin[found] - np.cumsum(count) + count, count) + np.arange(count.sum())]
             for s in range(2, SAMPLES):
-                j, goal = steps[which, s - 1], steps[which, s]
-                while True:
-                    go = np.flatnonzero(j < goal)
-                    if not len(go):
-                        break
-                    a = at[go]
-                    over = (a - start[go] >= self.sizes[which[go]]) | (a - start[go] >= left[start[go]])
-                    symbol = np.where(over, end, more[np.minimum(a, n)])
-                    at[go] = a + bits[j[go], symbol]
-                    j[go] += 1
-                over = (at - start >= self.sizes[which]) | (at - start >= left[start])
-                same = np.flatnonzero(np.where(over, end, more[np.minimum(at, n)]) == seen[which, s])
-                start, at, which = start[same], at[same], which[same]
+                stood = self.steps_on(more, bits, start, state, two, steps[which, s])
+                over = (stood - start >= self.sizes[which]) | (stood - start >= left[start])
+                same = np.flatnonzero(np.where(over, end, more[stood]) == seen[which, s])
+                start, state, which = start[same], state[same], which[same]
                 if not len(start):
                     break
             if len(start):
