@@ -213,7 +213,7 @@ def test_chats_link_order_and_check(spark):
         (1, 0, "user", "Hi \"there\"\n"), (1, 1, "assistant", json.dumps(call)), (1, 2, "tool", json.dumps({"tool_call_id": "c1", "content": '{"b": 1, "a": 2}'})),
         (1, 3, "tool", json.dumps({"tool_call_id": "c2", "content": "plain"})), (1, 0, "user", "Hi \"there\"\n"), (2, 0, None, None), (3, 300, "user", "late"), (3, 0, "user", "early"), (None, 0, "user", "x"),
     ]
-    schemas = spark.createDataFrame(Q.SCHEMAS, "name string, param string, type string, required boolean")
+    schemas = spark.sql(Q.SCHEMAS)
     got = {(r.conv_id, r.record): r for r in CF.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), schemas).collect()}
     one = got[1, 0]
     assert (one.n_messages, one.n_calls, one.n_linked, one.n_invalid, one.n_cyclic) == (4, 5, 2, 3, 2)
@@ -260,6 +260,8 @@ def test_shard_documents_keeps_every_row(spark, tmp_path):
     got = shard_documents(df, f"file://{tmp_path}/d", target_bytes=1 << 20)
     assert Counter(r.doc_id for r in got.collect()) == Counter(r.doc_id for r in df.collect())
     assert {r.version for r in got.collect()} == {4}
+    store = ShardStore(spark, f"file://{tmp_path}/d", 1 << 20)
+    assert {(r.file, r.rows, r.tier) for r in store.listed().collect()} == {(s.file, s.rows, store.tier(s.bytes)) for s in store.shards()}
     assert shard_documents(df.where("false"), f"file://{tmp_path}/e").count() == 0
 
 

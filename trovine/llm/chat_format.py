@@ -109,7 +109,7 @@ def format_chats(conversations: DataFrame, schemas: DataFrame | None = None) ->
     calls = parse_calls(rows).groupBy("conv_id", "id").agg(F.min_by(F.struct("turn", "idx", "name", "arguments", "depends_on"), F.struct("turn", "idx")).alias("c"))
     calls = materialise(calls.select("conv_id", "id", "c.*"), "calls")
     full = calls.join(order_calls(calls), ["conv_id", "id"], "left").join(parse_results(rows), ["conv_id", "id"], "left")
-    problems = check_arguments(calls, schemas) if schemas is not None else calls.sparkSession.createDataFrame([], "conv_id long, id string, problems array<string>")
+    problems = check_arguments(calls, schemas) if schemas is not None else calls.where("false").select("conv_id", "id", F.array().cast("array<string>").alias("problems"))
     full = full.join(problems, ["conv_id", "id"], "left").withColumn("problems", F.coalesce("problems", F.array().cast("array<string>")))
     shown = F.expr(
         """to_json(parse_json(to_json(named_struct('id', id, 'name', name, 'arguments', arguments, 'result', result, 'valid', size(problems) = 0,

@@ -35,7 +35,9 @@ def tokenizer_file(name: str) -> str:
 
 
 #: Tools whose calls the chat query checks.
-SCHEMAS = [("search", "query", "string", True), ("search", "limit", "integer", False), ("calculate", "expression", "string", True)]
+SCHEMAS = """
+SELECT * FROM VALUES ('search', 'query', 'string', true), ('search', 'limit', 'integer', false), ('calculate', 'expression', 'string', true) AS t(name, param, type, required)
+"""
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,8 +46,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schemas = spark.createDataFrame(SCHEMAS, "name string, param string, type string, required boolean")
-    return format_chats(_read(spark, sf_dir, "conversations"), schemas)
+    return format_chats(_read(spark, sf_dir, "conversations"), spark.sql(SCHEMAS))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -184,6 +184,14 @@ class ShardStore:
                 self._fs.delete(s.getPath(), False)
         return n
 
+    def listed(self, version: int | None = None) -> DataFrame:
+        """version, file, rows, bytes, added and tier of each shard, read from the manifest."""
+        version = self.version() if version is None else version
+        schema = "version long, shards array<struct<file: string, rows: long, bytes: long, added: long>>"
+        rows = self.spark.read.schema(schema).json(f"{self.path}/manifests/{version:012d}.json").select("version", F.explode("shards").alias("s")).select("version", "s.*")
+        depth = F.greatest(F.lit(1), F.ceil(F.log(float(self.fan), F.lit(self.target / 2) / F.greatest(F.col("bytes"), F.lit(1)))).cast("int"))
+        return rows.withColumn("tier", F.when(F.col("bytes") * 2 >= self.target, 0).otherwise(depth))
+
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version, with shard (the file's name)."""
         shards = self.shards(version)
@@ -211,6 +219,5 @@ def shard_documents(docs: DataFrame, path: str, arrivals: int = 3, target_bytes:
     shards = store.shards()
     if not shards:
         return docs.select("doc_id").where("false").selectExpr("doc_id", "'' AS shard", "0L AS shard_rows", "0L AS shard_bytes", "0L AS version", "0 AS tier")
-    table = [(s.file.rpartition("/")[2], s.rows, s.bytes, store.version(), store.tier(s.bytes)) for s in shards]
-    listed = spark.createDataFrame(table, "shard string, shard_rows long, shard_bytes long, version long, tier int")
+    listed = store.listed().select(F.substring_index("file", "/", -1).alias("shard"), F.col("rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes"), "version", "tier")
     return store.read().select("doc_id", "shard").join(listed, "shard").select("doc_id", "shard", "shard_rows", "shard_bytes", "version", "tier")
