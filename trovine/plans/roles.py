@@ -33,7 +33,7 @@ FROM part p
 #: Candidate lists: per supplier as query, its parts by quantity sold (a), by revenue (b) and by discount (c).
 CANDS = """
 SELECT query_id, item_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INT) AS rank FROM (
-  SELECT l_suppkey AS query_id, l_partkey AS item_id, round(sum({0}), 4) AS score FROM lineitem WHERE {1} GROUP BY l_suppkey, l_partkey) x
+  SELECT l_suppkey AS query_id, l_partkey AS item_id, round(sum({0}), 6) AS score FROM lineitem WHERE {1} GROUP BY l_suppkey, l_partkey) x
 """
 LIST_A, LIST_B = CANDS.format("l_quantity", "l_linenumber <= 5"), CANDS.format("l_extendedprice / 1000", "l_linenumber >= 3")
 LIST_C = CANDS.format("l_discount * l_quantity", "l_returnflag <> 'N'")
