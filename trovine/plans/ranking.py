@@ -318,7 +318,8 @@ def _features_sql() -> str:
         "phrase_text": f"CASE WHEN contains(lower({body}), lower(search_query)) THEN 1 ELSE 0 END", "text_overlap": over.format(words.format("search_query"), words.format(body)), "price_rel": "log_price - median(log_price) OVER q",
         "ft_cos": "ft_cos", "ft_cos_grank": "ln(1 + ft_cos_grank)", "ft_rank": "least(ft_rank, 101)", "ft_cos_pct": pct.format("ft_cos"), "ft_cos_gap": "ft_cos - max(ft_cos) OVER q", "ft_cos_z": z.format("ft_cos"), "is_new": "CASE WHEN rank > 80 THEN 1 ELSE 0 END",
     }
-    cells = ", ".join(f"round(CAST({made[f]} AS DOUBLE), 8) AS {f}" for f in R.FEATURES)
+    # A hair above halves, so that sums of terminating decimals round alike in both engines.
+    cells = ", ".join(f"round(CAST({made[f]} AS DOUBLE) + 0.0000000001::DOUBLE, 8) AS {f}" for f in R.FEATURES)
     base = f"""SELECT a.query_id, a.item_id, a.rank, a.score, i.title, i.params, i.description, i.item_location_id, i.lat, i.lon, i.class, i.rating, i.reviews, i.price, i.phone_hidden, i.msg_forbidden,
     coalesce(b.score, 0) AS bm25, coalesce(b.rank, 9999) AS bm25_grank, a.item_id % 101 / 101.0::DOUBLE AS cos, a.item_id % 101 + 1 AS cos_grank, coalesce(c.score, 0) AS ft_cos, coalesce(c.rank, 9999) AS ft_cos_grank, coalesce(c.rank, 101) AS ft_rank,
     CASE WHEN a.item_id % 3 = 0 THEN 1 ELSE 0 END AS m_vid, CASE WHEN a.item_id % 5 = 0 THEN 1 ELSE 0 END AS m_tip, CASE WHEN coalesce(i.price, -1) > 1 THEN ln(1 + i.price) END AS log_price,
@@ -336,7 +337,7 @@ def _features_sql() -> str:
 @query("features_59", _features_sql())
 def features_59(t):
     out = R.features(*feature_inputs(t))
-    return out.select("query_id", "item_id", "rank", *(F.round(F.col(f).cast("double"), 8).alias(f) for f in R.FEATURES))
+    return out.select("query_id", "item_id", "rank", *(F.round(F.col(f).cast("double") + 1e-10, 8).alias(f) for f in R.FEATURES))
 
 
 @query("ensemble_z", roles.sql(f"SELECT query_id, item_id, round((coalesce((score - avg(score) {_Q}) / (stddev_samp(score) {_Q} + 0.000000001::DOUBLE), 0) + coalesce((m - avg(m) {_Q}) / (stddev_samp(m) {_Q} + 0.000000001::DOUBLE), 0)) / 2, 5) AS pred FROM (SELECT *, CAST(item_id % 13 AS DOUBLE) AS m FROM list_a WHERE rank <= 100) x", A))
