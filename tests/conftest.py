@@ -13,7 +13,7 @@ from trovine.session import session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return session("local[4]", 4, **{"spark.ui.enabled": "false", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"})
+    return session("local[4]", 4, **{"spark.driver.memory": "4g", "spark.ui.enabled": "false", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"})
 
 
 @pytest.fixture(scope="session")

@@ -85,15 +85,27 @@ def load(spark: SparkSession, folder: str) -> Data:
 
 
 class Pipeline:
-    def __init__(self, data: Data, config: Config = Config(), encoder: Callable[[DataFrame, str, str], DataFrame] | None = None):
+    def __init__(self, data: Data, config: Config = Config(), encoder: Callable[[DataFrame, str, str], DataFrame] | None = None, work: str | None = None):
         self.data, self.config, self.encoder = data, config, encoder
-        self.items = data.items.withColumn("doc", X.item_text(F.col("title"), X.clean_params("params"), F.col("description"), config.desc_chars)).withColumn("num", F.xxhash64("item_id"))
+        self.work, self._step = (work or io.work_folder(data.log.sparkSession)), 0
+        self.items = self.keep(data.items.withColumn("doc", X.item_text(F.col("title"), X.clean_params("params"), F.col("description"), config.desc_chars)).withColumn("num", F.xxhash64("item_id")))
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df``, written to the work folder and read back: later steps share it, and their plans stay short."""
+        self._step += 1
+        return io.stage(df, f"{self.work}/{self._step:03d}")
+
+    def close(self) -> None:
+        """Removes the work folder; results of ``run`` that are still needed must have been written elsewhere."""
+        io.remove(self.data.log.sparkSession, self.work)
 
     def maps(self, log: DataFrame) -> dict[str, DataFrame]:
         """Regions, shares and centroids; only ``log`` teaches them, the corpus gives places."""
         places = self.items.select("item_id", "item_location_id", "lat", "lon").unionByName(log.select("item_id", "item_location_id", "lat", "lon"))
         regions = G.regions(log, places)
-        return {"regions": regions, "cent": G.centroids(places), "region_shares": G.region_map(log, regions, self.items), "pairs": G.city_pairs(log, regions, self.items), "shares": G.pair_share(log)}
+        regions = self.keep(regions)
+        made = {"cent": G.centroids(places), "region_shares": G.region_map(log, regions, self.items), "pairs": G.city_pairs(log, regions, self.items), "shares": G.pair_share(log)}
+        return {"regions": regions} | {name: self.keep(df) for name, df in made.items()}
 
     def pools(self, queries: DataFrame, maps: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
         """Location pairs with tiers, and with bonuses, of all queries by their rule."""
@@ -106,7 +118,7 @@ class Pipeline:
             t = G.pool(rule, own, maps["regions"], maps["region_shares"], maps["pairs"], maps["cent"], self.items)
             b = G.soft_bonus(rule, own, maps["regions"], maps["region_shares"])
             tiers, bonus = (t, b) if tiers is None else (tiers.unionByName(t), bonus.unionByName(b))
-        return tiers, bonus
+        return self.keep(tiers), self.keep(bonus)
 
     def _vectors(self, df: DataFrame, key: str, text_col: str) -> DataFrame:
         if self.encoder is not None:
@@ -121,12 +133,13 @@ class Pipeline:
         asked = S.token_rows(q.select(F.col("num").alias("query_id"), F.col("search_query").alias("text")), "query_id", "text")
         index = S.bm25_index(S.token_rows(self.items.select(F.col("num").alias("item_id"), F.col("doc").alias("text")), "item_id", "text"), vocabulary=asked, k1=c.k1, b=c.b)
         sparse = S.bm25_scores(index, asked).withColumn("score", F.round("score", 6)).where("score > 0").withColumn("bm25_grank", W.global_rank("score"))
+        sparse = self.keep(sparse)
         located = q.select(F.col("num").alias("query_id"), "search_location_id").join(tiers, "search_location_id")
         own = located.join(sparse.join(self.items.select(F.col("num").alias("item_id"), "item_location_id"), "item_id"), ["query_id", "item_location_id"]).select("query_id", "item_id", "tier")
-        top_sparse = K.tiered_top_k(sparse, own, c.n_cands, positive=True)
+        top_sparse = self.keep(K.tiered_top_k(sparse, own, c.n_cands, positive=True))
         vectors = self._vectors(q.select("num", X.query_text(F.col("search_query"), X.clean_params("filters")).alias("text")), "num", "text").join(q.select("num", "search_location_id"), "num").withColumnRenamed("num", "query_id")
         corpus = self._vectors(self.items.select("num", F.col("doc").alias("text")), "num", "text").join(self.items.select("num", "item_location_id"), "num").withColumnRenamed("num", "item_id")
-        top_dense = D.search_pools(vectors, corpus, tiers, c.n_cands)
+        top_dense = self.keep(D.search_pools(vectors, corpus, tiers, c.n_cands))
         both = top_sparse.select("query_id", "item_id").unionByName(top_dense.select("query_id", "item_id")).distinct()
         places = both.join(self.items.select(F.col("num").alias("item_id"), "item_location_id"), "item_id").join(q.select(F.col("num").alias("query_id"), "search_location_id"), "query_id")
         extra = places.join(bonus, ["search_location_id", "item_location_id"]).select("query_id", "item_id", "bonus")
@@ -135,17 +148,17 @@ class Pipeline:
         fused = fused.join(sparse.select(*key, F.col("score").alias("bm25"), "bm25_grank"), key, "left").join(top_dense.select(*key, F.col("score").alias("cos"), F.col("rank").alias("cos_grank")), key, "left")
         fused = fused.fillna({"bm25": 0.0, "bm25_grank": c.n_cands * 10, "cos": 0.0, "cos_grank": c.n_cands * 10})
         named = fused.join(self.items.select(F.col("num").alias("item_id"), F.col("item_id").alias("_i")), "item_id").join(q.select(F.col("num").alias("query_id"), F.col("query_id").alias("_q")), "query_id")
-        return named.select(F.col("_q").alias("query_id"), F.col("_i").alias("item_id"), "score", "rank", "bm25", "bm25_grank", "cos", "cos_grank")
+        return self.keep(named.select(F.col("_q").alias("query_id"), F.col("_i").alias("item_id"), "score", "rank", "bm25", "bm25_grank", "cos", "cos_grank"))
 
     def classes(self, queries: DataFrame, log: DataFrame) -> DataFrame:
         """P(class | query) from a model of the log's query documents."""
         rows = log.withColumn("doc", ml.query_document("search_query", "filters"))
         fitted = ml.ClassModel("bayes").fit(class_weights(rows.select("doc", "class")))
-        return fitted.predict(queries.withColumn("doc", ml.query_document("search_query", "filters")))
+        return self.keep(fitted.predict(queries.withColumn("doc", ml.query_document("search_query", "filters"))))
 
     def matched(self, cands: DataFrame, queries: DataFrame, classes: DataFrame) -> DataFrame:
         rows = P.filter_match(cands, queries.select("query_id", "filters"), self.items.select("item_id", "params"))
-        return ml.attach_classes(R.prf(rows, self.items, 20), self.items, classes)
+        return self.keep(ml.attach_classes(R.prf(rows, self.items, 20), self.items, classes))
 
     def rerank_meta(self, cands: DataFrame, queries: DataFrame, log: DataFrame) -> DataFrame:
         return R.meta_bonus(self.matched(cands, queries, self.classes(queries, log)), self.config.meta)
@@ -159,25 +172,25 @@ class Pipeline:
         # Without a second encoder its columns stand for the first one's.
         rows = rows.withColumns({"ft_cos": F.col("cos"), "ft_cos_grank": F.col("cos_grank"), "ft_rank": F.col("cos_grank"), "is_new": F.lit(0)})
         cols = ["query_id", "search_query", "filters", "search_location_id", "delivery", "text_in_train", "is_region", "is_country"]
-        return R.features(rows, self.items.drop("doc", "num"), flagged.select(*cols), maps["shares"], maps["cent"], anchors, self.classes(queries, log))
+        return self.keep(R.features(rows, self.items.drop("doc", "num"), flagged.select(*cols), maps["shares"], maps["cent"], anchors, self.classes(queries, log)))
 
     def rerank_ltr(self, cands: DataFrame, queries: DataFrame) -> DataFrame:
         """Rankers of several seeds, fitted on held-out queries of the log, whose rows the features then do not see."""
         log = self.data.log
         corpus = self.items.select("item_id")
         eligible = log.join(corpus, "item_id", "left_semi").select("query_key", "text_norm").distinct().withColumn("stratum", F.lit(0))
-        held = E.stratified_split(eligible, log.sparkSession.createDataFrame([(0, 1.0)], "stratum int, share double"), self.config.held, ["stratum"])
+        held = self.keep(E.stratified_split(eligible, log.sparkSession.createDataFrame([(0, 1.0)], "stratum int, share double"), self.config.held, ["stratum"]))
         fit = E.without_keys(log, held)
         picked = log.join(held.select("query_key"), "query_key", "left_semi")
         asked = W.first_per(picked, ["query_key"], ["item_id"]).withColumn("query_id", F.col("query_key")).drop("item_id", "item_location_id", "lat", "lon", "class")
         labels = picked.join(corpus, "item_id", "left_semi").select(F.col("query_key").alias("query_id"), "item_id").distinct().withColumn("y", F.lit(1))
-        rows = self.features(self.retrieve(asked, fit), asked, fit).join(labels, ["query_id", "item_id"], "left").fillna({"y": 0}).cache()
+        rows = self.features(self.retrieve(asked, fit), asked, fit).join(labels, ["query_id", "item_id"], "left").fillna({"y": 0})
         scored = self.features(cands, queries, log)
         names = [f"m{k}" for k in range(self.config.models)]
         wide = scored
         for k, name in enumerate(names):
             wide = ml.PairwiseRanker(R.FEATURES, seed=k).fit(rows).transform(wide, name)
-        mean = ml.ensemble(wide, names)
+        mean = ml.ensemble(self.keep(wide.select("query_id", "item_id", *names)), names)
         return K.resort(cands.select("query_id", "item_id", "score", "rank").join(mean, ["query_id", "item_id"]), F.round("pred", 9), keep=self.config.n_cands).select("query_id", "item_id", "score", "rank")
 
     def run(self, scheme: str = "meta") -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
 import time
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
@@ -128,6 +130,23 @@ def cached(spark: SparkSession, root: str, parts: Sequence[object], build: Calla
     return spark.read.parquet(path)
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new folder for tables between steps: below ``spark.checkpoint.dir``, or local where none is set (tests)."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="trovine-")
+    return f"{root.rstrip('/')}/work-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to ``path`` and read back."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 class Timings:
     """Wall time of named steps."""
 
