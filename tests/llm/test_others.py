@@ -188,6 +188,24 @@ def test_main_text_without_marks_uses_ratios():
     assert got == " ".join([("A long sentence of the story goes on and on. " * 6).strip()] * 5)
 
 
+LONG = ("A long sentence of the story goes on and on. " * 6).strip()
+
+
+def test_a_small_mark_does_not_hide_the_body():
+    body = "".join(f"<p>{LONG}</p>" for _ in range(5))
+    got = HX.main_text(f'<body><div class="post-title">T</div><div class="text">{body}</div></body>')
+    assert got.endswith(" ".join([LONG] * 5))
+
+
+def test_clusters_decide_inside_a_broad_mark():
+    body = "".join(f"<p>{LONG}</p>" for _ in range(5))
+    links = "".join(f"<li><a href='/{k}'>Link number {k}</a></li>" for k in range(12))
+    tiles = "".join(f"<div class=x{k}><span><i></i></span><b>Buy</b> <b>{k}</b></div>" for k in range(12))
+    assert HX.main_text(f"<body><div id=main><h1>Title</h1>{body}<ul class=zz>{links}</ul></div></body>") == " ".join(["Title", *[LONG] * 5])
+    got = HX.main_text(f"<body><div class=content><h1>Title</h1>{body}<div>{tiles}</div></div></body>")
+    assert got.startswith(" ".join(["Title", *[LONG] * 5])) and "Buy 11" not in got
+
+
 def test_pages_of_the_table(spark, sf):
     got = {r.page_id: r for r in Q.op10_html_extract(spark, sf).collect()}
     pages = spark.read.parquet(f"{sf}/pages.parquet").collect()

@@ -3,9 +3,10 @@
 The page streams through the standard library's parser. Block elements and line breaks end a line; a line keeps its
 text, the number of tags in it and whether it stands in a part of the page that is no article (by element, by role, or
 by the words of its class and id). The ratio of text to tags, smoothed with a Gaussian along the page, is compared with a
-threshold between the clusters of high and low ratios. Where the page marks an article (article, main, or a class or id
-that says so), lines inside it are content and the clusters only decide about lines of links; elsewhere the clusters
-decide, and a heading or a short line goes with its neighbours by the smoothing.
+threshold between the clusters of high and low ratios; a heading or a short line goes with its neighbours by the
+smoothing. Where the page marks an article (article, main, or a class or id that says so), the mark is a prior: the odds of
+marked against other text multiply the ratios of marked lines and divide those of others. A mark on less than half of the
+text says nothing. Lines of links are content only alone, in a marked part, and with a high ratio around them.
 """
 
 from __future__ import annotations
@@ -36,6 +37,10 @@ ARTICLE_WORDS = frozenset("article post story entry content main".split())
 _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SIGMA = 1.5
+#: Letters a tag from which a line counts as text alike, so that one huge paragraph does not set the clusters.
+FULL_RATIO = 200.0
+#: The most that a mark multiplies a line's ratio by.
+MOST_ODDS = 16.0
 
 
 class _Lines(HTMLParser):
@@ -145,13 +150,31 @@ def main_text(html: str | None) -> str:
     except AssertionError:  # the parser's own checks on broken declarations: what it has read so far counts
         pass
     parser.flush()
-    lines = [x for x in parser.lines if not x[3] and x[0]]
-    if any(x[4] for x in lines):
-        return " ".join(x[0] for x in lines if x[4])
-    ratios = [len(x[0]) / max(1, x[1]) * (1 - min(1.0, x[2] / len(x[0]))) for x in lines]
-    smoothed = smooth(ratios)
-    cut = threshold(smoothed)
-    return " ".join(x[0] for x, r in zip(lines, smoothed, strict=True) if r >= cut and x[2] < 0.9 * len(x[0]))
+    return " ".join(x[0] for x, keep in zip(parser.lines, content(parser.lines), strict=True) if keep)
+
+
+def prior(lines: list[tuple[str, int, int, bool, bool]]) -> float:
+    """The odds that a letter of plain text stands in a marked part: from 1 to ``MOST_ODDS``."""
+    marked, other = (sum(max(0, len(x[0]) - x[2]) for x in lines if x[4] == m) for m in (True, False))
+    return min(MOST_ODDS, max(1.0, marked / other)) if other else MOST_ODDS if marked else 1.0
+
+
+def content(lines: list[tuple[str, int, int, bool, bool]]) -> list[bool]:
+    """For each line of ``_Lines`` whether it is content."""
+    out = [False] * len(lines)
+    at = [k for k, x in enumerate(lines) if not x[3] and x[0]]
+    rows = [lines[k] for k in at]
+    smoothed = smooth([min(FULL_RATIO, len(x[0]) / max(1, x[1])) * (1 - min(1.0, x[2] / len(x[0]))) for x in rows])
+    cut, odds = threshold(smoothed), prior(rows)
+    linked = [False, *(x[2] >= 0.9 * len(x[0]) for x in rows), False]
+    for n, (k, x, r) in enumerate(zip(at, rows, smoothed, strict=True), 1):
+        if linked[n]:
+            out[k] = x[4] and r >= cut and r > 0 and not linked[n - 1] and not linked[n + 1]
+        elif cut > 0:
+            out[k] = (r * odds if x[4] else r / odds) >= cut
+        else:  # one cluster: the mark alone tells the lines apart
+            out[k] = x[4] or odds == 1
+    return out
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
