@@ -206,6 +206,23 @@ def test_clusters_decide_inside_a_broad_mark():
     assert got.startswith(" ".join(["Title", *[LONG] * 5])) and "Buy 11" not in got
 
 
+WORDED = [
+    (f"<article><h2 id='discussion'>Discussion</h2><p>{LONG}</p></article>", f"Discussion {LONG}"),
+    (f"<article><p>{LONG}</p><section id='related-work'><h2>Related work</h2><p>{LONG}</p><p>{LONG}</p></section></article>", f"{LONG} Related work {LONG} {LONG}"),
+    (f"<article><div class='article-header'><h1>Title</h1></div><p>{LONG}</p></article>", f"Title {LONG}"),
+    (f"<article><p>{LONG}</p><div class='share'><p>Share this</p></div><p>{LONG}</p></article>", f"{LONG} {LONG}"),
+    (f"<div class='related'><p>{LONG}</p></div><article><p>{LONG}</p></article>", LONG),
+    (f"<html><head><title>T</title><meta charset=x><body><p>{LONG}</p></body></html>", LONG),
+    (f"<html><head><title>T</title><script>x()</script><p>{LONG}</p><p>{LONG}</p></html>", f"{LONG} {LONG}"),
+    (f"<html><head><title>T</title>{LONG}</html>", LONG),
+]
+
+
+@pytest.mark.parametrize("html,want", WORDED)
+def test_words_of_class_and_id_weigh_only_inside_an_article(html, want):
+    assert HX.main_text(html) == want
+
+
 def test_pages_of_the_table(spark, sf):
     got = {r.page_id: r for r in Q.op10_html_extract(spark, sf).collect()}
     pages = spark.read.parquet(f"{sf}/pages.parquet").collect()

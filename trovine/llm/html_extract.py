@@ -6,7 +6,8 @@ by the words of its class and id). The ratio of text to tags, smoothed with a Ga
 threshold between the clusters of high and low ratios; a heading or a short line goes with its neighbours by the
 smoothing. Where the page marks an article (article, main, or a class or id that says so), the mark is a prior: the odds of
 marked against other text multiply the ratios of marked lines and divide those of others. A mark on less than half of the
-text says nothing. Lines of links are content only alone, in a marked part, and with a high ratio around them.
+text says nothing. Lines of links are content only alone, in a marked part, and with a high ratio around them. Inside an
+article the words of a class or id that speak against it put its block to the clusters as a whole, without the prior.
 """
 
 from __future__ import annotations
@@ -27,6 +28,9 @@ SKIPPED = frozenset("script style noscript template svg math iframe object canva
 OUTSIDE = frozenset("nav header footer aside form dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 ARTICLE = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that leave an open head open.
+IN_HEAD = frozenset("head title style script noscript template meta link base".split())
 #: Words in a class or id, between hyphens, underscores, blanks and case changes.
 OUTSIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget related "
@@ -48,39 +52,48 @@ class _Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool, bool]] = []  # tag, no text, outside, in an article
-        self.lines: list[tuple[str, int, int, bool, bool]] = []  # text, tags, letters in links, outside, in an article
+        self.stack: list[tuple[str, bool, bool, bool, int]] = []  # tag, no text, outside, in an article, doubted block
+        self.lines: list[tuple[str, int, int, bool, bool, int]] = []  # text, tags, letters in links, outside, in an article, doubted block
         self.text: list[str] = []
-        self.tags = self.linked = self.links = 0
+        self.tags = self.linked = self.links = self.blocks = 0
 
-    def state(self) -> tuple[bool, bool, bool]:
-        return self.stack[-1][1:] if self.stack else (False, False, False)
+    def state(self) -> tuple[bool, bool, bool, int]:
+        return self.stack[-1][1:] if self.stack else (False, False, False, 0)
+
+    def close_head(self) -> None:
+        if (k := next((k for k, x in enumerate(self.stack) if x[0] == "head"), None)) is not None:
+            del self.stack[k:]
 
     def flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.text)).strip()
         if text or self.tags:
-            _, outside, article = self.state()
-            self.lines.append((text, self.tags, self.linked, outside, article))
+            self.lines.append((text, self.tags, self.linked, *self.state()[1:]))
         self.text, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag not in INLINE:
             self.flush()
+        if tag == "body" or self.stack and self.stack[-1][0] == "head" and tag not in IN_HEAD:
+            self.close_head()
         self.tags += 1
         if tag in VOID:
             return
         if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and (k := self._open({"p": ("p",), "li": ("li",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}.get(tag, ("dt", "dd")))) is not None:
             del self.stack[k:]  # the element before it was not closed
-        silent, outside, article = self.state()
+        silent, outside, article, doubted = self.state()
         names = dict(attrs)
         silent = silent or tag in SKIPPED or "hidden" in names or "display:none" in (names.get("style") or "").replace(" ", "").lower()
         words = {w.lower() for w in _WORDS.findall(f"{names.get('class') or ''} {names.get('id') or ''}")} if len(names) else set()
         marked = tag in ARTICLE or names.get("role") in ("main", "article") or bool(words & ARTICLE_WORDS)
-        if tag in OUTSIDE or names.get("role") in ROLES or (words & OUTSIDE_WORDS and tag not in ("html", "body", "article", "main") and tag not in INLINE):
+        against = words & OUTSIDE_WORDS if tag not in ("html", "body", "article", "main") and tag not in INLINE and tag not in HEADINGS else set()
+        if tag in OUTSIDE or names.get("role") in ROLES or (against and not article):
             # A comment is often an article of its own, inside the part for comments; a heading's block is the article's.
             outside = outside or not (tag == "header" and article)
+        elif against - {"header"} and not doubted:
+            self.blocks += 1
+            doubted = self.blocks
         self.links += tag == "a"
-        self.stack.append((tag, silent, outside, article or marked and not outside))
+        self.stack.append((tag, silent, outside, article or marked and not outside, doubted))
 
     def _open(self, tags: tuple[str, ...]) -> int | None:
         for k in range(len(self.stack) - 1, -1, -1):
@@ -103,6 +116,8 @@ class _Lines(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.stack and self.stack[-1][0] == "head" and data.strip():
+            self.close_head()
         if not self.state()[0]:
             self.text.append(data)
             if self.links:
@@ -153,23 +168,32 @@ def main_text(html: str | None) -> str:
     return " ".join(x[0] for x, keep in zip(parser.lines, content(parser.lines), strict=True) if keep)
 
 
-def prior(lines: list[tuple[str, int, int, bool, bool]]) -> float:
+def prior(lines: list[tuple[str, int, int, bool, bool, int]]) -> float:
     """The odds that a letter of plain text stands in a marked part: from 1 to ``MOST_ODDS``."""
     marked, other = (sum(max(0, len(x[0]) - x[2]) for x in lines if x[4] == m) for m in (True, False))
     return min(MOST_ODDS, max(1.0, marked / other)) if other else MOST_ODDS if marked else 1.0
 
 
-def content(lines: list[tuple[str, int, int, bool, bool]]) -> list[bool]:
+def content(lines: list[tuple[str, int, int, bool, bool, int]]) -> list[bool]:
     """For each line of ``_Lines`` whether it is content."""
     out = [False] * len(lines)
     at = [k for k, x in enumerate(lines) if not x[3] and x[0]]
     rows = [lines[k] for k in at]
-    smoothed = smooth([min(FULL_RATIO, len(x[0]) / max(1, x[1])) * (1 - min(1.0, x[2] / len(x[0]))) for x in rows])
+    ratios = [min(FULL_RATIO, len(x[0]) / max(1, x[1])) * (1 - min(1.0, x[2] / len(x[0]))) for x in rows]
+    smoothed = smooth(ratios)
     cut, odds = threshold(smoothed), prior(rows)
     linked = [False, *(x[2] >= 0.9 * len(x[0]) for x in rows), False]
+    means: dict[int, tuple[float, int]] = {}  # of each doubted block and, at 0, of the rest: sum of ratios by letter, letters
+    for x, r in zip(rows, ratios, strict=True):
+        total, letters = means.get(x[5], (0.0, 0))
+        means[x[5]] = total + r * len(x[0]), letters + len(x[0])
+    mean = {block: total / letters for block, (total, letters) in means.items()}
+    least = cut or 2 / 3 * mean.get(0, 0.0)
     for n, (k, x, r) in enumerate(zip(at, rows, smoothed, strict=True), 1):
         if linked[n]:
-            out[k] = x[4] and r >= cut and r > 0 and not linked[n - 1] and not linked[n + 1]
+            out[k] = x[4] and not x[5] and r >= cut and r > 0 and not linked[n - 1] and not linked[n + 1]
+        elif x[5]:
+            out[k] = mean[x[5]] >= least
         elif cut > 0:
             out[k] = (r * odds if x[4] else r / odds) >= cut
         else:  # one cluster: the mark alone tells the lines apart
