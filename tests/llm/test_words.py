@@ -250,3 +250,24 @@ def test_queries_on_the_small_tables(spark, sf):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in own["op7_substring_dedup"](spark, sf).collect()} == brute_repeats(docs)
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in own["op4_near_dedup"](spark, sf).collect()} == brute_components(docs)
     assert {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in own["op1_quality_rules"](spark, sf).drop("kept").collect()} == {d: brute_base(t) for d, t in docs}
+
+
+def test_a_short_item_leaves_the_recall_of_long_ones():
+    rng = random.Random(4)
+    items = [(k, [f"v{rng.randrange(3000)}" for _ in range(50)]) for k in range(120)]
+    tables = [DC.Table(group, rounds, 15) for group, rounds in DC.plan([(10**6, b"Thank you"), *((k, " ".join(w).encode()) for k, w in items)], 15, 0.9)]
+    texts = []
+    for _, w in items:
+        w = ["other", *w[1:]]  # the first word is always replaced
+        for k in rng.sample(range(1, 50), 5):
+            w[k] = "other"
+        texts.append(" ".join(["before", *w, "behind"]).encode())
+    hashes, first = DC.normal_words(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    found = {t for table in tables for t, k in table.matches(hashes, first) if table.items[k][0] == t}
+    assert len(found) >= 0.8 * len(items)
+    assert len(tables) == 2
+
+
+def test_rounds_follow_the_target_recall():
+    assert DC.rounds_for([5], 15, 0.9) == 1
+    assert DC.rounds_for([20, 50, 100], 15, 0.97) > DC.rounds_for([20, 50, 100], 15, 0.9) >= DC.FEWEST

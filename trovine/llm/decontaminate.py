@@ -4,7 +4,8 @@ The embedding of Chakraborty, Goldenberg and Koucky walks over a sequence: step
 moves on by a random bit of (j, word). Two sequences at a small edit distance walk in step again soon after an edit, so
 their emissions differ in few places (Hamming distance). Sampling a few steps gives a hash under which an item and a
 window of its size collide; ``rounds`` independent walks and samples bring the chance of at least one collision to the
-target recall.
+target recall. How many that takes is simulated for the sizes at hand. Items of a few words, whose first samples must lie
+close together, stand in tables of their own and change nothing for the others.
 
 All windows of all texts are embedded lazily: the steps of a sample are taken in order, and a window is dropped at the
 first sampled step whose emission no item has there, which is all that the table lookup would tell. Words outside the
@@ -14,6 +15,8 @@ of its size; a larger one is handled in blocks.
 
 from __future__ import annotations
 
+import math
+import random
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -30,6 +33,8 @@ _PARTS = np.array([not (chr(c).isalnum() or c >= 128) for c in range(256)])
 HEAD, SAMPLES = 6, 4
 #: Items in one block of the benchmark.
 BLOCK_ITEMS = 20_000
+#: Rounds of items that may have edits: at least, and at most. Items simulated for a size, and the largest size simulated.
+FEWEST, MOST, TRIALS, LARGEST = 16, 64, 100, 200
 
 
 def _fold(buf: np.ndarray) -> np.ndarray:
@@ -121,11 +126,12 @@ class Table:
         return np.where(self.vocabulary[at] == hashes, at, len(self.vocabulary)).astype(np.int32)
 
     def walk(self, w: np.ndarray, bits: np.ndarray, steps: np.ndarray) -> list[int]:
-        out, i, end = [], 0, bits.shape[1] - 1
-        for j in range(int(steps.max()) + 1):
-            symbol = int(w[i]) if i < len(w) else end
-            out += [symbol] * int((steps == j).sum())
-            i += int(bits[j, symbol])
+        out, i, end, j, size = [], 0, bits.shape[1] - 1, 0, len(w)
+        for goal in steps.tolist():  # ascending
+            while j < goal:
+                i += int(bits[j, w[i] if i < size else end])
+                j += 1
+            out.append(int(w[i]) if i < size else end)
         return out
 
     @staticmethod
@@ -156,15 +162,15 @@ class Table:
         out[due] = state[due]
         return out
 
-    def candidates(self, ids: np.ndarray, left: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each round (window starts, items) that collide. left: words from each position to its text's end."""
+    def candidates(self, ids: np.ndarray, left: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each round (its number, window starts, items) that collide. left: words from each position to its text's end."""
         n, end = len(ids), len(self.vocabulary) + 1
         known = np.flatnonzero(ids < len(self.vocabulary))
         if not n or not len(self.items) or not len(known):
             return
         # One step beyond the last word of the chunk stands for the end.
         more = np.append(ids, np.full(2 * HEAD + 2, end, np.int32))
-        for bits, one, two, steps, seen, starts, keys, begin, members in self.rounds:
+        for number, (bits, one, two, steps, seen, starts, keys, begin, members) in enumerate(self.rounds):
             at = np.arange(n, dtype=np.int32)
             for j in range(one):
                 at += bits[j].take(more.take(at) if j else ids)
@@ -191,7 +197,7 @@ class Table:
                 if not len(start):
                     break
             if len(start):
-                yield start, which
+                yield number, start, which
 
     def matches(self, hashes: np.ndarray, first: np.ndarray) -> dict[tuple[int, int], int]:
         """{(text, item's number): edits} of confirmed items."""
@@ -201,7 +207,7 @@ class Table:
         left = first[1:][text] - np.arange(len(ids))
         found: dict[tuple[int, int], int] = {}
         tried: set[tuple[int, int]] = set()
-        for start, which in self.candidates(ids, left):
+        for _, start, which in self.candidates(ids, left):
             for p, k in zip(start.tolist(), which.tolist(), strict=True):
                 key = (int(text[p]), k)
                 if key in found and not found[key] or (p, k) in tried:
@@ -221,9 +227,63 @@ class Table:
         return found
 
 
-def _scan(blocks, rounds: int, percent: int):
+def first_rounds(size: int, percent: int, head: bytes = b"", seed: int = 5) -> list[int]:
+    """For made-up items of ``size`` words, with as many random edits as are allowed, the round that finds each, ascending.
+
+    ``MOST`` for those that no round finds. ``head``: an item that stands in the same table.
+    """
+    rng = random.Random(seed)
+    items = [[f"{k}x{n}" for n in range(size)] for k in range(TRIALS)]
+    table = Table([(k, " ".join(w).encode()) for k, w in enumerate(items)] + ([(TRIALS, head)] if head else []), MOST, percent)
+    texts = []
+    for w in items:
+        w = w.copy()
+        for _ in range(allowed(size, percent)):
+            at, kind = rng.randrange(len(w)), rng.randrange(3)
+            w[at : at + (kind > 0)] = [] if kind == 1 else ["other"]
+        texts.append(" ".join(["before", *w, "behind"]).encode())
+    hashes, first = normal_words(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    text = np.repeat(np.arange(TRIALS), np.diff(first))
+    found = [MOST] * TRIALS
+    for number, start, which in table.candidates(table.encode(hashes), first[1:][text] - np.arange(len(text))):
+        for k in which[text[start] == which].tolist():
+            found[k] = min(found[k], number)
+    return sorted(found)
+
+
+def rounds_for(sizes: list[int], percent: int, recall: float) -> int:
+    """Rounds after which the target is reached by items of the least, the median and the largest of ``sizes``."""
+    if not allowed(max(sizes), percent):
+        return 1  # without edits the walks are equal
+    least = " ".join(f"y{n}" for n in range(min(sizes))).encode()
+    probes = {min(s, LARGEST) for s in (min(sizes), sorted(sizes)[len(sizes) // 2], max(sizes))}
+    last = [first_rounds(s, percent, least)[math.ceil(recall * TRIALS) - 1] for s in sorted(probes)]
+    return min(MOST, max(FEWEST, *(k + 1 for k in last)))
+
+
+def by_length(items: list[tuple[int, bytes]], percent: int) -> list[list[tuple[int, bytes]]]:
+    """The items in groups for tables: without edits, with edits but shorter than the samples' head, and the others."""
+    groups = defaultdict(list)
+    for i, t in items:
+        n = len(normal_words(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0])
+        if n > 1:
+            groups[0 if not allowed(n, percent) else 1 if n < 2 * HEAD else 2].append((i, t))
+    return [groups[k] for k in sorted(groups)]
+
+
+def plan(items: list[tuple[int, bytes]], percent: int, recall: float, rounds: int | None = None) -> list[tuple[list[tuple[int, bytes]], int]]:
+    """The tables' items, ``BLOCK_ITEMS`` at most in each, and their rounds; ``rounds`` instead of the simulated number."""
+    out = []
+    for group in by_length(items, percent):
+        sizes = [len(normal_words(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0]) for _, t in group]
+        n = rounds or rounds_for(sizes, percent, recall)
+        out += [(group[k : k + BLOCK_ITEMS], n) for k in range(0, len(group), BLOCK_ITEMS)]
+    return out
+
+
+def _scan(blocks, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [Table(items, rounds, percent) for items in blocks.value]
+        tables = [Table(items, rounds, percent) for items, rounds in blocks.value]
         for batch in batches:
             n_words, item_ids, edits = [], [], []
             for first, last, buf, offsets in chunks(batch.column(1)):
@@ -244,11 +304,12 @@ def _scan(blocks, rounds: int, percent: int):
     return run
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, percent: int = 15, rounds: int = 16, most_mb: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, percent: int = 15, rounds: int | None = None, most_mb: int = 64, id_col: str = "doc_id", text_col: str = "text", recall: float = 0.9) -> DataFrame:
     """doc_id, n_words, item_ids (ascending), edits (of each item) and contaminated, per row of ``docs``.
 
     An item is in a text if some part of the text is within ``percent`` % of the item's words in word edits (insert,
-    delete, replace), after folding case and dropping punctuation. Items of fewer than two words match nothing; items with one id
+    delete, replace), after folding case and dropping punctuation. ``recall`` is the share of such items, with all the edits
+    that are allowed, to be found; ``rounds`` sets the number of walks instead. Items of fewer than two words match nothing; items with one id
     count as one; null and empty texts hold nothing. A benchmark of more than ``most_mb`` MB is refused, as it goes to
     every executor; scan such a one in parts. Other columns are ignored.
     """
@@ -257,7 +318,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, percent: int = 15, rou
     if mb > most_mb:
         raise ValueError(f"the benchmark has {mb:.0f} MB; at most {most_mb} are broadcast")
     rows = sorted((r.item_id, r.text.encode()) for r in items.collect())
-    blocks = docs.sparkSession.sparkContext.broadcast([rows[k : k + BLOCK_ITEMS] for k in range(0, len(rows), BLOCK_ITEMS)])
+    blocks = docs.sparkSession.sparkContext.broadcast(plan(rows, percent, recall, rounds))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = texts.mapInArrow(_scan(blocks, rounds, percent), "doc_id long, n_words long, item_ids array<long>, edits array<int>")
+    found = texts.mapInArrow(_scan(blocks, percent), "doc_id long, n_words long, item_ids array<long>, edits array<int>")
     return found.withColumn("contaminated", F.size("item_ids") > 0)
