@@ -243,3 +243,19 @@ def test_aggregates_edges(spark):
     assert A.win_rate(empty, "a", "b").first().queries == 0
     df = spark.createDataFrame([(1, 1.0, 2.0), (1, 3.0, 3.0), (2, None, 1.0)], "query_id int, a double, b double")
     assert A.win_rate(df, "a", "b").first().win_rate == 0.25
+
+
+def test_microcat_proba_reads_whole_texts(spark):
+    from types import SimpleNamespace
+
+    from trovine.plans.learning import microcat_proba
+
+    same = "one opening that all of the documents share " * 4
+    docs = [(k, same + ("red apples " if k % 2 else "blue stones ") * 3, "x" if k % 2 else "y") for k in range(12)]
+    t = SimpleNamespace(
+        documents=spark.createDataFrame(docs, "doc_id long, text string, lang string"),
+        labels=spark.createDataFrame([(k,) for k in range(12)], "doc_id long"),
+        benchmark=spark.createDataFrame([(1, "red apples"), (2, "blue stones")], "item_id long, text string"),
+    )
+    got = {r.query_id: (r["class"], r.p) for r in microcat_proba(t).where("class_rank = 1").collect()}
+    assert got[1][0] == "x" and got[2][0] == "y" and min(p for _, p in got.values()) > 0.55, got

@@ -24,8 +24,9 @@ def _rows(t):
 
 @query("microcat_proba")
 def microcat_proba(t):
-    docs = t.documents.join(t.labels.select("doc_id"), "doc_id", "left_semi").select(F.substring("text", 1, 120).alias("doc"), F.col("lang").alias("class"), F.lit(1.0).alias("w")).where("doc <> ''")
-    model = ml.ClassModel("bayes", 2000, 2000).fit(docs)
+    """Classes of benchmark texts by a model of all labelled documents' whole texts."""
+    docs = t.documents.join(t.labels.select("doc_id"), "doc_id", "left_semi").select(F.col("text").alias("doc"), F.col("lang").alias("class"), F.lit(1.0).alias("w")).where("doc <> ''")
+    model = ml.ClassModel("bayes").fit(docs)
     return model.predict(t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("doc")))
 
 
