@@ -65,6 +65,19 @@ def test_equal_values_link_and_invalid_ones_stay():
         assert p.text(t) == (t, Counter())
 
 
+@pytest.mark.parametrize("text,value,kind", [
+    ("card 4111 1111 1111 1111 123 end", "4111 1111 1111 1111", "card"),
+    ("card 4111 1111 1111 1111 12/25", "4111 1111 1111 1111", "card"),
+    ("7 4111 1111 1111 1111", "4111 1111 1111 1111", "card"),
+    ("pay to AT61 1904 3002 3457 3201 BIC now", "AT61 1904 3002 3457 3201", "iban"),
+    ("at 1984-05-12T08:00:00Z", "1984-05-12", "date"),
+])
+def test_values_beside_other_numbers(text, value, kind):
+    new, found = pii.Pseudonyms(KEY).text(text)
+    before, after = text.split(value)
+    assert found == {kind: 1} and value not in new and new.startswith(before) and new.endswith(after)
+
+
 def test_pii_rows(spark):
     df = spark.createDataFrame([(1, "mail a.b@x.org"), (2, None), (3, ""), (1, "mail a.b@x.org"), (None, "10.0.0.1")], "doc_id long, text string")
     got = pii.pseudonymise(df, KEY).collect()

@@ -94,7 +94,7 @@ _PATTERN = re.compile(
     (?P<email>[^\W_](?:[\w.+-]{0,62}[\w])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w]))
     | (?<![\w.])(?P<iban>[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?)(?!\w)
     | (?<![\w.+-])(?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?!\w|\.\d)
-    | (?<![\w./-])(?P<date>\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4})(?![\w/-]|\.\d)
+    | (?<![\w./-])(?P<date>\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4})(?=T\d{2}:\d{2}|(?![\w/-]|\.\d))
     | (?<![\w.-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])
     | (?<![\w.-])(?P<card>\d(?:[ -]?\d){12,18})(?![\w-])
     | (?<![\w.])(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\)[ ]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w|-\d)
@@ -103,6 +103,20 @@ _PATTERN = re.compile(
 )
 
 
+#: Where a shorter part of a card's or an IBAN's match may begin or end.
+_EDGE = re.compile(r"[ -]+")
+
+
+def parts(kind: str, value: str) -> Iterator[tuple[int, int]]:
+    """Where shorter cards or IBANs may stand in a match that is none: whole groups, from the left, the longest first."""
+    gaps = [m.span() for m in _EDGE.finditer(value)]
+    begins, ends = [0, *(b for _, b in gaps)], [*(a for a, _ in gaps), len(value)]
+    for a in begins:
+        for b in reversed(ends):
+            if b > a and (a, b) != (0, len(value)) and (kind == "card" or a == 0):
+                yield a, b
+
+
 def _refill(shape: str, digits: str) -> str:
     """``shape`` with its digits replaced, in order, by ``digits``."""
     it = iter(digits)
@@ -210,14 +224,24 @@ class Pseudonyms:
         """The text with pseudonyms, and how many values of each kind it had."""
         found: Counter = Counter()
 
-        def one(m: re.Match) -> str:
-            new = self.replace(m.lastgroup, m[0])
+        if not _HINT.search(text):
+            return text, found
+        out, done, at = [], 0, 0  # text before ``done`` is written; the search goes on from ``at``
+        while m := _PATTERN.search(text, at):
+            kind, (a, b) = m.lastgroup, m.span(m.lastgroup)
+            new = self.replace(kind, text[a:b])
+            if new is None and kind in ("card", "iban"):
+                for x, y in parts(kind, text[a:b]):
+                    if (new := self.replace(kind, text[a + x : a + y])) is not None:
+                        a, b = a + x, a + y
+                        break
             if new is None:
-                return m[0]
-            found[m.lastgroup] += 1
-            return new
-
-        return (_PATTERN.sub(one, text), found) if _HINT.search(text) else (text, found)
+                at = a + 1
+                continue
+            found[kind] += 1
+            out += [text[done:a], new]
+            done = at = b
+        return "".join([*out, text[done:]]), found
 
 
 #: A text without any of these holds no value.
@@ -246,7 +270,8 @@ def _rewrite(key: bytes):
 def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text (with pseudonyms; null stays empty) and n_<kind> values replaced, per row of ``docs``.
 
-    What fails validation stays as it is. Where patterns overlap, the leftmost match counts, in the order of the table
+    What fails validation stays as it is; of a card's or an IBAN's match that fails, the parts of whole groups are tried,
+    and the search goes on one character later. Where patterns overlap, the leftmost match counts, in the order of the table
     above. Repeated rows give repeated rows. The key never leaves the closure that is sent to the workers. Other columns
     are ignored; an empty table gives no rows.
     """
