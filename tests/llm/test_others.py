@@ -1,6 +1,5 @@
 """Pseudonyms, mixing, token counts, page text, chats, shards and the pipeline."""
 
-import json
 import math
 import random
 from collections import Counter, defaultdict
@@ -11,7 +10,6 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-from trovine.llm import chat_format as CF
 from trovine.llm import html_extract as HX
 from trovine.llm import mixing as MX
 from trovine.llm import pii
@@ -249,34 +247,6 @@ def test_pages_of_the_table(spark, sf):
         assert got[p.page_id].text == re.sub(r" +", " ", want).strip() and got[p.page_id].n_chars == len(got[p.page_id].text)
 
 
-def test_chats_link_order_and_check(spark):
-    call = {"content": "Let me see.", "tool_calls": [
-        {"id": "c2", "name": "calculate", "arguments": {"expression": "1+1", "x": [1, 2]}, "depends_on": ["c1"]},
-        {"id": "c1", "name": "search", "arguments": '{"query": "q", "limit": 3}'},
-        {"id": "c3", "name": "nothing", "arguments": "no json"},
-        {"id": "c4", "name": "search", "arguments": {"limit": "3"}, "depends_on": ["c5"]},
-        {"id": "c5", "name": "search", "arguments": {"query": "z"}, "depends_on": ["c4"]},
-    ]}
-    rows = [
-        (1, 0, "user", "Hi \"there\"\n"), (1, 1, "assistant", json.dumps(call)), (1, 2, "tool", json.dumps({"tool_call_id": "c1", "content": '{"b": 1, "a": 2}'})),
-        (1, 3, "tool", json.dumps({"tool_call_id": "c2", "content": "plain"})), (1, 0, "user", "Hi \"there\"\n"), (2, 0, None, None), (3, 300, "user", "late"), (3, 0, "user", "early"), (None, 0, "user", "x"),
-    ]
-    schemas = spark.sql(Q.SCHEMAS)
-    got = {(r.conv_id, r.record): r for r in CF.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), schemas).collect()}
-    one = got[1, 0]
-    assert (one.n_messages, one.n_calls, one.n_linked, one.n_invalid, one.n_cyclic) == (4, 5, 2, 3, 2)
-    messages = json.loads(one.json)
-    assert one.json == json.dumps(messages, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-    calls = messages[1]["tool_calls"]
-    assert messages[1]["content"] == "Let me see."
-    assert [c["id"] for c in calls] == ["c1", "c3", "c2", "c4", "c5"]
-    by = {c["id"]: c for c in calls}
-    assert by["c1"]["valid"] and json.loads(by["c1"]["result"]) == {"a": 2, "b": 1}
-    assert by["c2"]["problems"] == ["unknown x"] and by["c3"]["problems"] == ["arguments are no object", "unknown tool"]
-    assert by["c4"]["problems"] == ["missing query", "type limit"] and by["c4"]["cyclic"] and not by["c5"]["problems"]
-    assert [json.loads(got[3, k].json)[0]["content"] for k in (0, 1)] == ["early", "late"] and len(got) == 5
-
-
 def test_shards_of_several_tiers(spark, tmp_path):
     store = ShardStore(spark, f"file://{tmp_path}/s", target_bytes=60_000)
     rng = random.Random(2)

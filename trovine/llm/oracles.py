@@ -29,10 +29,39 @@ bad AS (SELECT DISTINCT doc_id FROM ratio JOIN cut USING (stratum, rule) WHERE r
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM base
 """
 
-CHATS = """
-SELECT conv_id, turn // 256 AS record, count(*) AS n_messages, 0::BIGINT AS n_calls, 0::BIGINT AS n_linked, 0::BIGINT AS n_invalid, 0::BIGINT AS n_cyclic,
-  '[' || string_agg('{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":' || CAST(to_json(role) AS VARCHAR) || '}', ',' ORDER BY turn, role, text) || ']' AS json
-FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations) x GROUP BY 1, 2
+#: Counts from the rows. The text of a message with calls has no SQL form (see the tests): it stands as its plain text.
+CHATS = r"""
+WITH RECURSIVE m AS (SELECT DISTINCT conv_id, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+v AS (SELECT *, CASE WHEN json_valid(text) AND (role = 'assistant' AND contains(text, '"tool_calls"') OR role = 'tool') THEN text::JSON END AS j FROM m),
+c0 AS (SELECT conv_id, turn, md5(text) AS mid, unnest(from_json(j->'$.tool_calls', '["JSON"]')) AS c, unnest(range(json_array_length(j->'$.tool_calls')::BIGINT)) AS idx
+  FROM v WHERE role = 'assistant' AND json_type(j->'$.tool_calls') = 'ARRAY'),
+c AS (SELECT conv_id, turn, mid, idx, c->>'$.id' AS id, coalesce(c->>'$.name', c->>'$.function.name') AS name, coalesce(c->>'$.arguments', c->>'$.function.arguments') AS given,
+  CASE WHEN json_type(c->'$.depends_on') = 'ARRAY' THEN from_json(c->'$.depends_on', '["VARCHAR"]') ELSE [] END AS deps FROM c0),
+a AS (SELECT *, CASE WHEN json_valid(given) AND json_type(CASE WHEN json_valid(given) THEN given::JSON END) = 'OBJECT' THEN given::JSON END AS args FROM c),
+res AS (SELECT DISTINCT conv_id, turn, j->>'$.tool_call_id' AS id FROM v WHERE role = 'tool' AND j->>'$.tool_call_id' IS NOT NULL),
+ev AS (SELECT conv_id, id, turn, max(k) AS called, max(r) AS answered FROM (SELECT conv_id, id, turn, 1 AS k, 0 AS r FROM c WHERE id IS NOT NULL UNION ALL SELECT conv_id, id, turn, 0, 1 FROM res) x GROUP BY ALL),
+nx AS (SELECT *, lead(1 - called) OVER (PARTITION BY conv_id, id ORDER BY turn) AS free FROM ev),
+linked AS (SELECT conv_id, turn, count(*) AS n_linked FROM nx WHERE called = 1 AND (answered = 1 OR free = 1) GROUP BY ALL),
+dep AS (SELECT DISTINCT conv_id, turn, mid, idx, unnest(deps) AS d FROM c),
+edge AS (SELECT DISTINCT dep.*, c.idx AS on_ FROM dep JOIN c ON c.conv_id IS NOT DISTINCT FROM dep.conv_id AND c.turn = dep.turn AND c.mid = dep.mid AND c.id = dep.d),
+reach AS (SELECT conv_id, turn, mid, idx, on_ FROM edge UNION SELECT r.conv_id, r.turn, r.mid, r.idx, e.on_ FROM reach r JOIN edge e
+  ON e.conv_id IS NOT DISTINCT FROM r.conv_id AND e.turn = r.turn AND e.mid = r.mid AND e.idx = r.on_),
+ring AS (SELECT DISTINCT conv_id, turn, mid, idx FROM reach WHERE idx = on_),
+cyclic AS (SELECT DISTINCT r.conv_id, r.turn, r.mid, r.idx FROM reach r JOIN ring ON ring.conv_id IS NOT DISTINCT FROM r.conv_id AND ring.turn = r.turn AND ring.mid = r.mid AND ring.idx = r.on_),
+late AS (SELECT DISTINCT conv_id, turn, mid, idx FROM dep ANTI JOIN c ON c.conv_id IS NOT DISTINCT FROM dep.conv_id AND c.id = dep.d AND (c.turn < dep.turn OR c.turn = dep.turn)),
+tool(name, param, type, required) AS (VALUES ('search', 'query', 'string', true), ('search', 'limit', 'integer', false), ('calculate', 'expression', 'string', true)),
+field AS (SELECT conv_id, turn, mid, idx, name, unnest(json_keys(args)) AS param, args FROM a WHERE args IS NOT NULL),
+typed AS (SELECT * EXCLUDE (args), CASE json_type(json_extract(args, '$."' || param || '"')) WHEN 'VARCHAR' THEN 'string' WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' ELSE 'other' END AS kind FROM field),
+bad AS (SELECT conv_id, turn, mid, idx FROM a WHERE args IS NULL OR name IS NULL OR name NOT IN (SELECT name FROM tool)
+  UNION SELECT conv_id, turn, mid, idx FROM typed f LEFT JOIN tool t ON t.name = f.name AND t.param = f.param WHERE f.name IN (SELECT name FROM tool) AND (t.type IS NULL OR t.type <> kind)
+  UNION SELECT conv_id, turn, mid, idx FROM a JOIN tool t ON t.name = a.name AND t.required WHERE args IS NULL OR NOT list_contains(json_keys(args), t.param)),
+per AS (SELECT conv_id, turn // 256 - CASE WHEN turn < 0 THEN 1 ELSE 0 END AS record, sum(n1) AS n_calls, sum(n2) AS n_linked, sum(n3) AS n_invalid, sum(n4) AS n_cyclic, sum(n5) AS n_unmet FROM (
+  SELECT conv_id, turn, 1 AS n1, 0 AS n2, 0 AS n3, 0 AS n4, 0 AS n5 FROM c UNION ALL SELECT conv_id, turn, 0, n_linked, 0, 0, 0 FROM linked UNION ALL SELECT conv_id, turn, 0, 0, 1, 0, 0 FROM bad
+  UNION ALL SELECT conv_id, turn, 0, 0, 0, 1, 0 FROM cyclic UNION ALL SELECT conv_id, turn, 0, 0, 0, 0, 1 FROM late) x GROUP BY ALL),
+shown AS (SELECT conv_id, turn, turn // 256 - CASE WHEN turn < 0 THEN 1 ELSE 0 END AS record, role, '{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":' || CAST(to_json(role) AS VARCHAR) || '}' AS message FROM m),
+msg AS (SELECT conv_id, record, count(*) AS n_messages, '[' || string_agg(message, ',' ORDER BY turn, role, message) || ']' AS json FROM shown GROUP BY ALL)
+SELECT msg.conv_id, msg.record, 0::BIGINT AS piece, n_messages, coalesce(n_calls, 0)::BIGINT AS n_calls, coalesce(n_linked, 0)::BIGINT AS n_linked, coalesce(n_invalid, 0)::BIGINT AS n_invalid,
+  coalesce(n_cyclic, 0)::BIGINT AS n_cyclic, coalesce(n_unmet, 0)::BIGINT AS n_unmet, json FROM msg LEFT JOIN per ON per.conv_id IS NOT DISTINCT FROM msg.conv_id AND per.record = msg.record
 """
 
 NEAR = rf"""
