@@ -261,7 +261,7 @@ def test_shards_of_several_tiers(spark, tmp_path):
     before = store.shards()
     version = store.version()
     with pytest.raises(Conflict):
-        store.commit(version - 1, before)
+        store.commit(version - 1, before, store.schema())
     reader = store.read(version)
     store.compact()
     after = store.shards()
@@ -274,15 +274,84 @@ def test_shards_of_several_tiers(spark, tmp_path):
 
 
 def test_shard_documents_keeps_every_row(spark, tmp_path):
-    df = spark.createDataFrame([(k if k % 9 else None, f"t{k}", k) for k in range(200)] + [(5, "again", 0)] * 3, "doc_id long, text string, shard int").drop("shard")
+    rows = [(k if k % 9 else None, f"t{k}", k, None, k) for k in range(200)] + [(5, "again " * 50_000, 0, 1, 2)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard int, tier int, _metadata int")
     got = shard_documents(df, f"file://{tmp_path}/d", target_bytes=1 << 20)
     assert Counter(r.doc_id for r in got.collect()) == Counter(r.doc_id for r in df.collect())
-    assert {r.version for r in got.collect()} == {4}
     store = ShardStore(spark, f"file://{tmp_path}/d", 1 << 20)
+    assert {r.version for r in got.collect()} == {store.version()} and store.version() >= 4
     assert {(r.file, r.rows, r.tier) for r in store.listed().collect()} == {(s.file, s.rows, store.tier(s.bytes)) for s in store.shards()}
+    back = store.read()
+    assert back.columns == [*df.columns, "_shard"] and Counter(map(tuple, back.drop("_shard").collect())) == Counter(map(tuple, df.collect()))
     assert shard_documents(df.where("false"), f"file://{tmp_path}/e").count() == 0
 
 
+def test_columns_of_later_batches_stay(spark, tmp_path):
+    store = ShardStore(spark, f"file://{tmp_path}/s", target_bytes=1 << 20)
+    store.append(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+    store.append(spark.createDataFrame([("x", 2, 7.5)], "extra string, doc_id long, score double"))
+    with pytest.raises(TypeError):
+        store.append(spark.createDataFrame([(3, 1)], "doc_id long, text int"))
+    want = [(1, "a", None, None), (2, None, "x", 7.5)]
+    assert sorted(map(tuple, store.read().drop("shard").collect())) == want
+    store.compact()
+    store.vacuum()
+    assert len(store.shards()) == 1 and sorted(map(tuple, store.read().drop("shard").collect())) == want
+
+
+def test_of_two_writers_each_version_has_one(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from trovine.llm.sharding import Shard
+
+    store = ShardStore(spark, f"file://{tmp_path}/s")
+    schema = spark.range(1).schema
+
+    def race(k):
+        try:
+            return store.commit(0, [Shard(f"data/x/part-{k}", 1, 1, 1)], schema)
+        except Conflict:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        won = [k for k, v in enumerate(pool.map(race, range(16))) if v]
+    assert len(won) == 1 and [s.file for s in store.shards()] == [f"data/x/part-{won[0]}"] and store.version() == 1
+
+    other = ShardStore(spark, f"file://{tmp_path}/t")
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda k: ShardStore(spark, f"file://{tmp_path}/t").append(spark.range(k * 10, k * 10 + 10)), range(4)))
+    assert other.version() == 4 and sorted(r.id for r in other.read().collect()) == list(range(40))
+
+
+def brute_plan(store, shards):
+    """Each small shard is merged once at most; groups hold one tier and what waited of smaller ones; none is far over the target."""
+    groups = store.plan(shards)
+    flat = [s for g in groups for s in g]
+    assert len(flat) == len(set(flat)) and all(len(g) > 1 for g in groups) and all(s.bytes * 2 < store.target for s in flat)
+    assert all(sum(s.bytes for s in g[:-1]) <= store.target * 5 // 4 for g in groups)
+    return groups
+
+
+@given(st.lists(st.integers(1, 3000), max_size=40))
+@settings(max_examples=100, deadline=None)
+def test_plans_end_with_few_small_files(spark_store, sizes):
+    from trovine.llm.sharding import Shard
+
+    store, live, rounds = spark_store, [Shard(f"f{k:03d}", 1, b, k) for k, b in enumerate(sizes)], 0
+    while groups := brute_plan(store, live):
+        rounds += 1
+        gone = {s for g in groups for s in g}
+        merged = [Shard(f"m{rounds:03d}-{k:03d}", sum(s.rows for s in g), sum(s.bytes for s in g), 1000 + rounds) for k, g in enumerate(groups)]
+        live = [s for s in live if s not in gone] + merged
+        assert rounds < 50
+    assert sum(s.bytes for s in live) == sum(sizes) and sum(s.bytes * 2 < store.target for s in live) <= 1
+
+
+@pytest.fixture(scope="module")
+def spark_store(spark, tmp_path_factory):
+    return ShardStore(spark, f"file://{tmp_path_factory.mktemp('plans')}/s", target_bytes=1000)
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline as P
 
