@@ -96,6 +96,27 @@ def test_repeats_with_null_and_equal_ids(spark):
     assert remove_repeats(df.where("false")).count() == 0
 
 
+def test_repeats_of_different_texts_with_one_id(spark):
+    rng = random.Random(3)
+    one, two, shared = sentence(rng, 40), sentence(rng, 50), sentence(rng, 30)
+    texts = [(7, f"{one} {shared}"), (7, f"{shared} {two}"), (7, f"{one} {shared}"), (8, shared), (3, two)]
+    order = sorted({(d, hashlib.sha256(t.encode()).hexdigest(), t) for d, t in texts})
+    want = brute_repeats([(k, t) for k, (_, _, t) in enumerate(order)])
+    got = remove_repeats(spark.createDataFrame(texts, "doc_id long, text string").repartition(2)).collect()
+    where = {(d, t): k for k, (d, _, t) in enumerate(order)}
+    by_words = sorted((r.doc_id, r.n_words, r.n_removed) for r in got)
+    assert by_words == sorted((d, *want[where[d, t]][:2]) for d, t in texts)
+
+
+@pytest.mark.parametrize("hot", [4096, 100])
+def test_repeats_of_a_line_that_all_documents_have(spark, hot):
+    rng = random.Random(6)
+    line = sentence(rng, 24)
+    rows = [(k, f"{sentence(rng, 12)} {line} {sentence(rng, 12)}") for k in range(600)]
+    df = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), hot=hot).withColumn("kept_sha256", F.sha2("kept_text", 256))
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in df.collect()} == brute_repeats(rows)
+
+
 def brute_components(rows, size=5, percent=75):
     def shingles(t):
         w = split("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))

@@ -7,8 +7,9 @@ occurrence (document, then start) is the one that stays. Nothing is decided by h
 
 Passes over the texts (joined by document id, in one plan, so the exchange of the texts is shared):
 
-1. each document sends the hashes of its minimisers, 16 bytes each, and whether they stand in it more than once; those
-   seen once in the corpus cannot belong to a repeated window, and their windows are not sent anywhere;
+1. the hashes of all minimisers are counted, twice where they stand in a document more than once, and joined back to
+   their documents; those seen once in the corpus cannot belong to a repeated window, and their windows are not sent
+   anywhere. A frequent minimiser is combined before the shuffle, and its join can be split;
 2. documents send the packed strings of the other windows. Equal strings are reduced to their first occurrence before
    and after the shuffle, so copies do not pile up in a bucket. Where a minimiser occurs in more than ``hot`` documents
    each of its windows is a string of its own, in the bucket of the whole window's hash: a frequent line in many
@@ -24,9 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import materialise
 from .textcore import chunks, gram_hashes, signed, word_hashes, words
 
 #: A run of windows longer than this is cut, so that no string grows with a repetitive document.
@@ -85,7 +87,7 @@ def _anchors(window: int, anchor: int):
                 at = np.flatnonzero(new)
                 several = np.diff(np.append(at, len(text))) > 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[first + text[at]]), pa.array(signed(value[at])), pa.array(several)], ["doc_id", "anchor", "several"]
+                    [pa.array(ids[first + text[at]]), pa.array(signed(value[at])), pa.array(several)], ["key", "anchor", "several"]
                 )
 
     return run
@@ -101,7 +103,7 @@ def _flagged(lay: Layout, text: int, hot: list | None, shared: list | None) -> t
 
 
 def _pieces(window: int, anchor: int):
-    """Packed strings of the shared windows: key, string, document, first word's number."""
+    """Packed strings of the shared windows: bucket, string, document, first word's number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,7 +136,7 @@ def _pieces(window: int, anchor: int):
 
     def _packed(out):
         kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], ["key", "piece", "doc_id", "at"])
+        return pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], ["bucket", "piece", "key", "at"])
 
     return run
 
@@ -186,7 +188,7 @@ def _winners(window: int):
 
     def _packed(out):
         d, a, n = zip(*out, strict=True) if out else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(a, pa.int32()), pa.array(n, pa.int32())], ["doc_id", "at", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(a, pa.int32()), pa.array(n, pa.int32())], ["key", "at", "n"])
 
     return run
 
@@ -234,33 +236,48 @@ def _apply(window: int, anchor: int):
     return run
 
 
+def _keys(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``texts`` with key, digests): key orders the documents, null where the id is; digests have digest and key.
+
+    Where no id stands over different texts the key is the id; else it numbers the distinct (id, digest) in order.
+    """
+    digest = F.sha2("text", 256)
+    ids = materialise(texts.where("doc_id IS NOT NULL").select("doc_id", digest.alias("digest")), "digests")
+    if ids.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").isEmpty():
+        return texts.withColumn("key", F.col("doc_id")), ids.withColumnRenamed("doc_id", "key")
+    # Sorted by ranges and written once, so that the numbers ascend over all partitions and never change.
+    numbered = materialise(ids.distinct().orderBy("doc_id", "digest").withColumn("key", F.monotonically_increasing_id()), "keys")
+    keyed = texts.withColumn("digest", digest).join(numbered, ["doc_id", "digest"], "left").select("doc_id", "text", "key")
+    return keyed, numbered.select("digest", "key")
+
+
 def remove_repeats(docs: DataFrame, window: int = 20, anchor: int = 8, hot: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed and kept_text (the words that stay, joined by one space) per row of ``docs``.
 
     A word goes if a window over it has the same words as a window that starts earlier: in a document with a smaller
     id, or before it in the same document. Null and empty texts have no words; a text shorter than a window loses
-    nothing. A row with a null id is neither earlier nor later than any other and loses nothing. Rows with one id count
-    as one document: equal text in two of them is no repeat. Other columns are ignored; empty tables give no rows.
+    nothing. A row with a null id is neither earlier nor later than any other and loses nothing. Equal rows are one
+    document: what stands in both is no repeat. Rows with one id and different texts are documents of their own, the
+    text with the lesser SHA-256 first. Other columns are ignored; empty tables give no rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    named = texts.where("doc_id IS NOT NULL")
-    digests = named.select("doc_id", F.sha2("text", 256).alias("digest")).groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    originals = digests.select("doc_id").distinct().withColumn("original", F.lit(True))
-    anchors = named.mapInArrow(_anchors(window, anchor), "doc_id long, anchor long, several boolean")
-    everywhere = Window.partitionBy("anchor")
-    anchors = anchors.withColumn("c", F.count("*").over(everywhere)).where("c > 1 OR several")
-    lists = anchors.groupBy("doc_id").agg(
+    texts, digests = _keys(texts)
+    originals = digests.groupBy("digest").agg(F.min("key").alias("key")).select("key").withColumn("original", F.lit(True))
+    anchors = texts.where("key IS NOT NULL").select("key", "text").mapInArrow(_anchors(window, anchor), "key long, anchor long, several boolean")
+    # Counted apart and joined: counts are combined before the shuffle, and the join of a frequent anchor can be split.
+    counts = anchors.groupBy("anchor").agg(F.sum(F.when(F.col("several"), 2).otherwise(1)).alias("c")).where("c > 1")
+    lists = anchors.select("key", "anchor").join(counts, "anchor").groupBy("key").agg(
         F.collect_list(F.when(F.col("c") <= hot, F.col("anchor"))).alias("shared"), F.collect_list(F.when(F.col("c") > hot, F.col("anchor"))).alias("hot")
     )
-    marked = texts.join(lists, "doc_id", "left").join(originals, "doc_id", "left")
-    marked = marked.select("doc_id", "text", "shared", "hot", (F.col("original").isNull() & F.col("doc_id").isNotNull()).alias("copy"))
+    marked = texts.join(lists, "key", "left").join(originals, "key", "left")
+    marked = marked.select("key", "doc_id", "text", "shared", "hot", (F.col("original").isNull() & F.col("key").isNotNull()).alias("copy"))
     # A filter here would be pushed below the join and make another exchange of the texts; so the rows stay, without text.
     wanted = F.coalesce(~F.col("copy") & ((F.size("shared") > 0) | (F.size("hot") > 0)), F.lit(False))
-    sent = marked.select("doc_id", F.when(wanted, F.col("text")).alias("text"), F.when(wanted, F.col("shared")).alias("shared"), F.when(wanted, F.col("hot")).alias("hot"))
-    pieces = sent.mapInArrow(_pieces(window, anchor), "key long, piece binary, doc_id long, at int")
-    distinct = pieces.groupBy("key", "piece").agg(F.min_by("at", "doc_id").alias("at"), F.min("doc_id").alias("doc_id"))
-    sorted_ = distinct.select("key", "piece", "doc_id", "at").repartition("key").sortWithinPartitions("key")
-    kept = sorted_.mapInArrow(_winners(window), "doc_id long, at int, n int")
-    kept = kept.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("kept"))
-    final = marked.join(kept, "doc_id", "left").select("doc_id", "text", "shared", "hot", "copy", "kept")
+    sent = marked.select("key", F.when(wanted, F.col("text")).alias("text"), F.when(wanted, F.col("shared")).alias("shared"), F.when(wanted, F.col("hot")).alias("hot"))
+    pieces = sent.mapInArrow(_pieces(window, anchor), "bucket long, piece binary, key long, at int")
+    distinct = pieces.groupBy("bucket", "piece").agg(F.min_by("at", "key").alias("at"), F.min("key").alias("key"))
+    sorted_ = distinct.select("bucket", "piece", "key", "at").repartition("bucket").sortWithinPartitions("bucket")
+    kept = sorted_.mapInArrow(_winners(window), "key long, at int, n int")
+    kept = kept.groupBy("key").agg(F.collect_list(F.struct("at", "n")).alias("kept"))
+    final = marked.join(kept, "key", "left").select("doc_id", "text", "shared", "hot", "copy", "kept")
     return final.mapInArrow(_apply(window, anchor), "doc_id long, n_words long, n_removed long, kept_text string")
