@@ -271,9 +271,10 @@ def remove_repeats(docs: DataFrame, window: int = 20, anchor: int = 8, hot: int
     )
     marked = texts.join(lists, "key", "left").join(originals, "key", "left")
     marked = marked.select("key", "doc_id", "text", "shared", "hot", (F.col("original").isNull() & F.col("key").isNotNull()).alias("copy"))
-    # A filter here would be pushed below the join and make another exchange of the texts; so the rows stay, without text.
+    # A filter here would be pushed below the join, and a missing column would be pruned there: either makes another
+    # exchange of the texts. So all rows stay, without text, and all columns.
     wanted = F.coalesce(~F.col("copy") & ((F.size("shared") > 0) | (F.size("hot") > 0)), F.lit(False))
-    sent = marked.select("key", F.when(wanted, F.col("text")).alias("text"), F.when(wanted, F.col("shared")).alias("shared"), F.when(wanted, F.col("hot")).alias("hot"))
+    sent = marked.select("key", F.when(wanted, F.col("text")).alias("text"), F.when(wanted, F.col("shared")).alias("shared"), F.when(wanted, F.col("hot")).alias("hot"), "doc_id")
     pieces = sent.mapInArrow(_pieces(window, anchor), "bucket long, piece binary, key long, at int")
     distinct = pieces.groupBy("bucket", "piece").agg(F.min_by("at", "key").alias("at"), F.min("key").alias("key"))
     sorted_ = distinct.select("bucket", "piece", "key", "at").repartition("bucket").sortWithinPartitions("bucket")
