@@ -261,8 +261,47 @@ def test_benchmark_edges(spark):
     got = {r.doc_id: (r.item_ids, r.contaminated) for r in DC.find_benchmark(docs, items).collect()}
     assert got == {1: ([1], True), 2: ([], False), 3: ([], False), 4: ([1], True), None: ([], False)}
     assert DC.find_benchmark(docs, items.where("false")).where("contaminated").count() == 0
-    with pytest.raises(ValueError, match="MB"):
-        DC.find_benchmark(docs, items, most_mb=0)
+
+
+def with_edits(rng, words, edits):
+    w = list(words)
+    for at in sorted(rng.sample(range(len(w)), edits), reverse=True):
+        w[at : at + 1] = rng.choice([[], [w[at], "inserted"], ["changed"]])
+    return w
+
+
+@pytest.fixture(scope="module")
+def planted():
+    """Items of 1 to 400 words, one document for each with all allowed edits, and documents without any."""
+    rng = random.Random(12)
+    sizes = [1, 2, 3, 5, 6, 7, 8, 10, 11, 12, 14, 20, 33, 50, 80, 96, 97, 150, 400]
+    items = [(100 * n + k, [f"i{n}x{rng.randrange(300)}y{k if n < 7 else 0}" for _ in range(n)]) for n in sizes for k in range(30)]
+    docs = [(i, [*(f"f{rng.randrange(500)}" for _ in range(rng.randrange(40))), *with_edits(rng, w, DC.allowed(len(w), 15)), *(f"f{rng.randrange(500)}" for _ in range(20))]) for i, w in items]
+    docs += [(-k, [f"f{rng.randrange(500)}" for _ in range(200)]) for k in range(1, 30)]
+    return items, docs
+
+
+@pytest.mark.parametrize("part_mb", [64, 0.05])
+def test_items_equal_brute_force_at_every_length(spark, planted, part_mb):
+    items, docs = planted
+    extra = [(None, None, 0), (999_999, "", 1), (docs[0][0], " ".join(docs[0][1]), 2)]
+    table = spark.createDataFrame([*((i, " ".join(w), 0) for i, w in docs), *extra], "doc_id long, text string, item_ids int").repartition(3)
+    bench = spark.createDataFrame([(i, " ".join(w), 1) for i, w in items], "item_id long, text string, edits int")
+    got = DC.find_benchmark(table, bench, part_mb=part_mb).collect()
+    assert len(got) == len(docs) + 3 and all(not r.item_ids for r in got if r.doc_id is None or r.doc_id == 999_999 or r.doc_id < 0)
+    found = {r.doc_id: dict(zip(r.item_ids, r.edits, strict=True)) for r in got}
+    words, missed = dict(items), defaultdict(int)
+    for d, w in docs:
+        near = {i for i, x in items if len(set(x) - set(w)) <= DC.allowed(len(x), 15)}
+        want = {i: e for i in near if (e := distance(words[i], w)) <= DC.allowed(len(words[i]), 15)}
+        assert set(found[d]) <= set(want) and all(found[d][i] >= want[i] for i in found[d])
+        for i in set(want) - set(found[d]):
+            missed[len(words[i])] += 1
+    total = defaultdict(int)
+    for _, w in items:
+        total[len(w)] += 1
+    assert all(not missed[n] for n in (1, 2, 3, 5, 6)), "without room for an edit nothing is missed"
+    assert all(missed[n] <= 0.1 * total[n] + 1 for n in total), dict(missed)
 
 
 def test_queries_on_the_small_tables(spark, sf):
