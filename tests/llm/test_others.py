@@ -130,6 +130,84 @@ def test_schedule_with_budget_and_edges(spark):
         MX.schedule(df)
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of ints (as tuples of value and bytes) and strings."""
+    import xxhash
+
+    h = 42
+    for v in values:
+        data = v.encode() if isinstance(v, str) else int(v[0]).to_bytes(v[1], "little", signed=True)
+        h = xxhash.xxh64_intdigest(data, h)
+    return h
+
+
+def brute_schedule(rows, weight, tokens, block_tokens, rows_per_range, seed=17):
+    total = Counter()
+    for _, s, n in rows:
+        total[s] += n
+    bits = max(6, (max(1, len(rows) // rows_per_range) - 1).bit_length())
+    out = []
+    for s in {r[1] for r in rows}:
+        goal = weight[s] * tokens if s in weight else None
+        if goal and abs(goal / total[s] - 1) < 1e-9:
+            goal = float(total[s])
+        at = 0
+        for epoch in range(max(1, math.ceil(goal / total[s])) if goal else 1):
+            hashed = [(spark_hash((seed, 4), s, (epoch, 4), (d, 8)), d, n) for d, x, n in rows if x == s]
+            for h, d, n in sorted(hashed, key=lambda x: (x[0] >> 64 - bits, x[0] - (x[0] >> 63 << 64), *x[1:])):
+                if goal is None or at < goal or n == 0 and at == goal:
+                    block = int(at // (weight[s] * block_tokens)) if goal else (h - (h >> 63 << 64)) % max(1, math.ceil(tokens / block_tokens))
+                    out.append((block, d, s, epoch, n, at))
+                at += n
+    where, done = Counter(), []
+    for block, d, s, epoch, n, at in sorted(out, key=lambda x: (x[0], (v := spark_hash((seed + 1, 4), x[2], (x[3], 4), (x[1], 8))) - (v >> 63 << 64), x[1], x[4], x[5])):
+        done.append((d, s, epoch, n, block, at, where[block]))
+        where[block] += 1
+    return done
+
+
+def own_exponent(shares, entropy=None, repetition=None):
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        x = (low + high) / 2
+        z = [p**x for p in shares]
+        w = [v / sum(z) for v in z]
+        if entropy is not None:
+            fits = -sum(v * math.log(v) for v in w) / math.log(len(w)) >= entropy
+            low, high = (x, high) if fits else (low, x)
+        else:
+            epochs = [v / p for v, p in zip(w, shares, strict=True)]
+            low, high = (low, x) if max(epochs) / min(epochs) <= repetition else (x, high)
+    return low if entropy is not None else high
+
+
+@pytest.mark.parametrize("options", [{"entropy": 0.9}, {"repetition": 3.0}, {"entropy": 0.95, "budget": 9000}])
+def test_schedule_equals_brute_force(spark, options):
+    rng = random.Random(8)
+    rows = [(k % 1900, "hot" if k % 3 == 0 else f"s{k % 5}", rng.choice([0, 1, rng.randrange(1, 60)])) for k in range(2000)] + [(5000 + k, "none", 0) for k in range(40)] + [(6000, "one", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long").repartition(3)
+    got = MX.schedule(df, block_tokens=700, rows_per_range=16, **options).collect()
+    total = Counter()
+    for _, s, n in rows:
+        total[s] += n
+    shares = {s: n / sum(total.values()) for s, n in total.items() if n}
+    weight = {r.source: r.weight for r in got if r.weight is not None}
+    x = own_exponent(list(shares.values()), **{k: v for k, v in options.items() if k != "budget"})
+    z = sum(p**x for p in shares.values())
+    assert all(weight[s] == pytest.approx(p**x / z, rel=1e-4) for s, p in shares.items())
+    tokens = options.get("budget") or max(total[s] / weight[s] for s in weight)
+    want = brute_schedule(rows, weight, tokens, 700, 16)
+    assert sorted((r.doc_id, r.source, r.epoch, r.n_tokens, r.block, r.at, r.position) for r in got) == sorted(want)
+    first = [r.source for r in sorted(got, key=lambda r: (r.block, r.position)) if r.block == 1]
+    assert sum(a != b for a, b in zip(first, first[1:])) > len(first) / 4, "sources are interleaved"
+
+
+def test_many_epochs_of_one_document(spark):
+    df = spark.createDataFrame([(1, "rare", 1), *((k, "big", 50) for k in range(2, 120))], "doc_id long, source string, n_tokens long")
+    got = MX.schedule(df, entropy=1.0)
+    assert got.where("source = 'rare'").agg(F.count("*"), F.count_distinct("epoch"), F.max("epoch")).first() == (5900, 5900, 5899)
+
+
 def test_token_sizes(spark):
     df = spark.createDataFrame([(1, "a b\nc", "s"), (2, None, None), (3, " ", "t")], "doc_id long, text string, source string")
     assert sorted((r.doc_id, r.source, r.n_tokens) for r in MX.token_sizes(df).collect()) == [(1, "s", 3), (2, "", 0), (3, "t", 0)]
@@ -370,4 +448,8 @@ def test_pipeline_stages(spark, sf):
     mixed = P.mix(spark, clean, sf)
     assert mixed.columns == columns and {r.doc_id for r in mixed.select("doc_id").collect()} == {r.doc_id for r in clean.select("doc_id").collect()}
     assert P.shard(spark, mixed, sf).count() == mixed.count()
+    clash = spark.createDataFrame([(k if k % 5 else None, f"text {k}", "s", k, "x", None) for k in [*range(40), 3]], "doc_id long, text string, source string, _copies int, block string, _place int")
+    odd = P.mix(spark, clash, sf)
+    assert odd.columns == clash.columns and sorted(map(str, odd.collect())) == sorted(map(str, clash.collect()))
+    assert P.mix(spark, clash.where("false"), sf).count() == 0
     assert [n for n, _ in P.STAGES] == ["quality", "near_dedup", "decontaminate", "mix", "shard"]

@@ -3,23 +3,27 @@
 A source's weight is its token share raised to an exponent and normalised: 1 keeps the shares, 0 levels them. The
 exponent is found by repeated section of [0, 1] so that the weights reach a target entropy, or so that no source repeats
 more than a limit. Each source is then a stream of epochs, each a keyed permutation of its documents; block ``b`` of the
-schedule takes from every source its weight's share of the block's token budget, in stream order.
+schedule takes from every source its weight's share of the block's token budget, in stream order, and is a keyed
+permutation of what it took, so the sources of a block are interleaved.
 
-Positions in a stream are prefix sums over hash ranges: sums per range, a running sum over ranges, and a running sum
-within each range, so a source with a third of all rows is no task of its own.
+Places in a stream are prefix sums over hash ranges: sums per range and per group of ranges, a running sum over groups,
+over the ranges of a group, and over the rows of a range, so a source with a third of all rows is no task of its own. Many
+epochs of one document are dealt out in parts.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import materialise
 
 #: Sections of the exponent's interval in a pass, and passes: it is found to 1 / SECTIONS ** PASSES.
 SECTIONS, PASSES = 64, 3
+#: Epochs of a document that one task makes.
+EPOCHS = 1024
 
 
 def token_sizes(docs: DataFrame, source: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -67,12 +71,12 @@ def schedule(
     sizes: DataFrame, entropy: float | None = None, repetition: float | None = None, budget: int | None = None, block_tokens: int = 1 << 20, rows_per_range: int = 4096, seed: int = 17
 ) -> DataFrame:
     """One row per scheduled copy: doc_id, source, epoch (from 0), n_tokens, block (from 0), at (tokens before it in its
-    source's stream), weight (of the source; null for a source without tokens).
+    source's stream), position (from 0, in the block), weight (of the source; null for a source without tokens).
 
     ``sizes``: doc_id, source, n_tokens. Without ``budget`` the schedule is the shortest in which every document of
     every source occurs once. A document belongs to the block in which it begins. Documents without tokens
-    take no place in the stream and stand where they fall; those of a source without tokens stand in block 0. Repeated
-    rows are scheduled each for itself. A null source is the source ''. An empty table gives no rows.
+    take no place in the stream and stand where they fall; those of a source without tokens are dealt over the blocks by a
+    hash. Repeated rows are scheduled each for itself. A null source is the source ''. An empty table gives no rows.
     """
     if (entropy is None) == (repetition is None):
         raise ValueError("give either entropy or repetition")
@@ -92,13 +96,26 @@ def schedule(
     ranges = 1 << max(6, (max(1, n_docs // rows_per_range) - 1).bit_length())
     bits = ranges.bit_length() - 1
     epochs = F.coalesce(F.greatest(F.lit(1), F.ceil(F.col("goal") / F.col("tokens")).cast("int")), F.lit(1))
-    copies = sizes.join(weighted, "source", "left").withColumn("epoch", F.explode(F.sequence(F.lit(0), epochs - 1)))
+    parts = sizes.join(weighted, "source", "left").withColumn("epochs", epochs).withColumn("part", F.explode(F.expr(f"sequence(0, (epochs - 1) div {EPOCHS})")))
+    if (weighted.agg(F.max(F.col("goal") / F.col("tokens"))).first()[0] or 0) > EPOCHS:
+        parts = parts.repartition("source", "doc_id", "part")
+    one = F.explode(F.expr(f"sequence(int(part * {EPOCHS}), int(least(epochs, (part + 1) * {EPOCHS}) - 1))"))
+    copies = parts.withColumn("epoch", one).drop("part", "epochs")
     copies = copies.withColumn("h", F.xxhash64(F.lit(seed), "source", "epoch", "doc_id")).withColumn("range", F.shiftrightunsigned("h", 64 - bits))
-    sums = copies.groupBy("source", "epoch", "range").agg(F.sum("n_tokens").alias("own"))
-    before = Window.partitionBy("source").orderBy("epoch", "range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("source", "epoch", "range", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("start"))
-    within = Window.partitionBy("source", "epoch", "range").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = copies.join(sums, ["source", "epoch", "range"]).withColumn("at", F.col("start") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
+
+    def running(value: str, keys: list[str], *order: str) -> Column:
+        return F.coalesce(F.sum(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    sums = copies.groupBy("source", "epoch", "range").agg(F.sum("n_tokens").alias("own")).withColumn("group", F.shiftright("range", bits // 2))
+    groups = sums.groupBy("source", "epoch", "group").agg(F.sum("own").alias("all_of"))
+    groups = groups.select("source", "epoch", "group", running("all_of", ["source"], "epoch", "group").alias("first"))
+    sums = sums.join(groups, ["source", "epoch", "group"])
+    sums = sums.select("source", "epoch", "range", (F.col("first") + running("own", ["source", "epoch", "group"], "range")).alias("start"))
+    at = F.col("start") + running("n_tokens", ["source", "epoch", "range"], "h", "doc_id", "n_tokens")
+    placed = copies.join(sums, ["source", "epoch", "range"]).withColumn("at", at)
     placed = placed.where("goal IS NULL OR at < goal OR n_tokens = 0 AND at = goal")
-    block = F.coalesce(F.floor(F.col("at") / (F.col("weight") * F.lit(float(block_tokens)))), F.lit(0))
-    return placed.select("doc_id", "source", "epoch", "n_tokens", block.alias("block"), "at", "weight")
+    blocks = max(1, math.ceil(tokens / block_tokens))
+    block = F.coalesce(F.floor(F.col("at") / (F.col("weight") * F.lit(float(block_tokens)))), F.pmod("h", F.lit(blocks)))
+    placed = placed.select("doc_id", "source", "epoch", "n_tokens", block.alias("block"), "at", "weight")
+    shuffled = Window.partitionBy("block").orderBy(F.xxhash64(F.lit(seed + 1), "source", "epoch", "doc_id"), "doc_id", "n_tokens", "at")
+    return placed.withColumn("position", F.row_number().over(shuffled).cast("long") - 1)
