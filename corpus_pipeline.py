@@ -44,11 +44,17 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats documents of rarer sources: every document once at least, none more than ``REPETITION`` times as often."""
+    """Repeats documents of rarer sources: every document once at least, none more than ``REPETITION`` times as often.
+
+    The rows are written block by block of the schedule, each block whole, in its order. Rows that share an id stand
+    together, in the place of the first; rows without an id stand once, in blocks of their own.
+    """
     plan = schedule(token_sizes(docs), repetition=REPETITION)
-    copies = plan.groupBy("doc_id").agg(F.count_distinct("epoch").alias("_copies"))
-    counted = docs.join(copies, "doc_id", "left").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.coalesce("_copies", F.lit(1)).cast("int"))))
-    return counted.select(docs.columns)
+    place = F.col("block").cast("long") * F.lit(1 << 36) + F.col("position")
+    places = plan.where("doc_id IS NOT NULL").groupBy("doc_id", "epoch").agg(F.min(place).alias("_place")).select(F.col("doc_id").alias("_id"), "_place")
+    rows = docs.select(F.struct("*").alias("_row")).join(places, F.col("_row.doc_id") == F.col("_id"), "left")
+    block = F.coalesce(F.shiftright("_place", 36), -1 - F.pmod(F.xxhash64("_row.text"), F.lit(1024)))
+    return rows.withColumn("_block", block).repartition("_block").sortWithinPartitions("_block", "_place").select("_row.*")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
