@@ -215,6 +215,78 @@ def test_cutoffs_need_evidence_and_are_per_stratum(spark):
     assert all(r.kept for r in QR.quality_rules(d, lab.where("false")).collect())
 
 
+@pytest.fixture(scope="module")
+def labelled():
+    """Documents of four strata with symbols, repeated lines and repeats; enough labels in two strata for certified cutoffs."""
+    rng, docs, labels = random.Random(9), [], []
+    for k in range(4000):
+        lang = ("en", "de", "fr", None)[0 if k % 2 else 1 if k % 4 else 2 if k % 8 else 3]
+        good = rng.random() < 0.8
+        words = [f"v{rng.randrange(10**6)}" for _ in range(rng.randrange(11, 60))]
+        if rng.random() < (0.003 if good else 0.6):
+            words = [w + "##" for w in words]
+        lines = [" ".join(words[a : a + 6]) for a in range(0, len(words), 6)]
+        if rng.random() < (0.002 if good else 0.4):
+            lines += ["same"] * rng.randrange(1, 9)
+        docs.append((k, "\n".join(lines), lang))
+        if rng.random() < 0.9:
+            labels.append((k, int(good), 0))
+    return docs, labels
+
+
+def brute_cutoffs(docs, labels, alpha=0.05, delta=0.05, cost=10.0):
+    from fractions import Fraction
+    from math import comb
+
+    known, ratios = {}, defaultdict(lambda: [0.0, 0.0, 0.0])
+    for d, q, _ in labels:
+        if d is not None and q is not None:
+            known[d] = max(q, known.get(d, 0))
+    for d, t, lang in docs:
+        n, _, symbols, dup, repeat, failed = brute_base(t)
+        lines = sum(bool(split(x)) for x in (t or "").split("\n"))
+        if not failed and d in known:
+            own = ratios[lang or "", d]
+            own[:] = map(max, own, (symbols / max(n, 1), dup / max(lines, 1), repeat / max(n, 1)))
+    strata, out = {s for s, _ in ratios}, {}
+    for s in strata:
+        for r, rule in enumerate(QR.RULES):
+            good = [x[r] for (st_, d), x in ratios.items() if st_ == s and known[d] == 1]
+            bad = [x[r] for (st_, d), x in ratios.items() if st_ == s and known[d] == 0]
+            best = None
+            for c in QR.CUTOFFS:
+                k, hits, n = sum(x >= c for x in good), sum(x >= c for x in bad), len(good)
+                p = Fraction(alpha / len(QR.RULES))
+                bound = 1 if k >= n * p else float(sum(Fraction(comb(n, j)) * p**j * (1 - p) ** (n - j) for j in range(k + 1)))
+                if bound <= delta / (len(strata) * len(QR.RULES)) and hits - cost * k > 0:
+                    best = max(best or (-1, 0), (hits - cost * k, c))
+            if best:
+                out[s, rule] = best[1]
+    return out
+
+
+@pytest.mark.parametrize("times", [1, 5])
+def test_certified_cutoffs_equal_brute_force_and_sql(spark, labelled, times):
+    """Repeated rows are no more evidence than one."""
+    import duckdb
+
+    from trovine.llm.oracles import QUALITY
+
+    docs, labels = labelled
+    want = brute_cutoffs(docs, labels)
+    assert {s for s, _ in want} >= {"en", "de"} and ("", "symbols") not in want and len(want) >= 3
+    df, lab = spark.createDataFrame(docs * times, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {(r.stratum, r.rule): r.cutoff for r in QR.calibrate(QR.base_metrics(df, "lang"), lab).collect()}
+    assert got == want
+    if times == 1:
+        kept = {r.doc_id: r.kept for r in QR.quality_rules(df, lab).collect()}
+        assert 100 < sum(not x for x in kept.values())
+        with duckdb.connect() as con:
+            con.register("documents", df.toPandas())
+            con.register("labels", lab.toPandas())
+            assert dict(con.execute(f"SELECT doc_id, kept FROM ({QUALITY}) x").fetchall()) == kept
+
+
 def distance(item, text):
     row = [0] * (len(text) + 1)
     for i, x in enumerate(item, 1):

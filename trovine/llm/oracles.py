@@ -20,8 +20,9 @@ ratio AS (SELECT doc_id, stratum, base_failed, 'symbols' AS rule, n_symbols / gr
   SELECT doc_id, stratum, base_failed, 'dup_lines', n_dup_lines / greatest(n_lines, 1)::DOUBLE FROM base UNION ALL
   SELECT doc_id, stratum, base_failed, 'repeats', n_repeat_words / greatest(n_words, 1)::DOUBLE FROM base),
 known AS (SELECT doc_id, max(quality) AS quality FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+own AS (SELECT doc_id, stratum, rule, max(r) AS r FROM ratio WHERE NOT base_failed GROUP BY ALL),
 cell AS (SELECT stratum, rule, cutoff, count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality = 1 AND r >= cutoff) AS k, count(*) FILTER (quality = 0 AND r >= cutoff) AS hits
-  FROM ratio JOIN known USING (doc_id), (SELECT unnest([{", ".join(map(str, CUTOFFS))}])::DOUBLE AS cutoff) c WHERE NOT base_failed GROUP BY ALL),
+  FROM own JOIN known USING (doc_id), (SELECT unnest([{", ".join(map(str, CUTOFFS))}])::DOUBLE AS cutoff) c GROUP BY ALL),
 p AS (SELECT *, 3 * (SELECT count(DISTINCT stratum) FROM cell) AS tests, CASE WHEN k >= n * (0.05::DOUBLE / 3) THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda j:
   exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.05::DOUBLE / 3) + (n - j) * ln(1 - 0.05::DOUBLE / 3)))) END AS p FROM cell),
 cut AS (SELECT stratum, rule, cutoff FROM (SELECT *, row_number() OVER (PARTITION BY stratum, rule ORDER BY hits - 10 * k DESC, cutoff DESC) AS o FROM p WHERE p <= 0.05::DOUBLE / tests AND hits - 10 * k > 0) x WHERE o = 1),

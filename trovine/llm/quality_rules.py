@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import materialise
@@ -87,15 +87,17 @@ def calibrate(metrics: DataFrame, labels: DataFrame, alpha: float = 0.05, delta:
     """(stratum, rule, cutoff): the certified cutoff that rejects most bad documents, a good one counting ``cost`` times.
 
     ``labels`` has doc_id and quality (1 good, 0 bad); rows with nulls are no evidence, and a document labelled twice
-    counts as good if any label says so. Rows that already fail the base rules are no evidence either.
+    counts as good if any label says so. Rows that already fail the base rules are no evidence either. A document is
+    evidence once in a stratum, however many rows it has: by the greatest of its rows' ratios.
     """
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    held = metrics.where(~F.col("base_failed")).join(known, "doc_id")
+    greatest = [F.max(F.expr(ratio)).alias(f"r_{rule}") for rule, ratio in RULES.items()]
+    held = metrics.where(~F.col("base_failed")).join(known, "doc_id").groupBy("doc_id", "stratum").agg(F.max("quality").alias("quality"), *greatest)
     good, bad = F.col("quality") == 1, F.col("quality") == 0
     cells = []
-    for rule, ratio in RULES.items():
+    for rule in RULES:
         for cutoff in cutoffs:
-            over = F.expr(ratio) >= cutoff
+            over = F.col(f"r_{rule}") >= cutoff
             cells.append(
                 F.struct(
                     F.lit(rule).alias("rule"),
@@ -105,7 +107,8 @@ def calibrate(metrics: DataFrame, labels: DataFrame, alpha: float = 0.05, delta:
                 )
             )
     table = held.groupBy("stratum").agg(F.sum(good.cast("long")).alias("n"), F.array(*cells).alias("cells"))
-    table = table.withColumn("tests", F.count("*").over(Window.partitionBy(F.lit(0))) * len(RULES))
+    tests = table.agg((F.count("*") * len(RULES)).alias("tests"))  # one row
+    table = table.crossJoin(F.broadcast(tests))
     table = table.select("stratum", "n", "tests", F.explode("cells").alias("cell")).select("stratum", "n", "tests", "cell.*")
     # A stricter cutoff rejects as many good ones or more, so the fixed sequence ends where the first bound fails.
     table = table.withColumn("p_value", binomial_cdf("k", "n", alpha / len(RULES)))
