@@ -51,6 +51,7 @@ def test_pseudonyms_keep_format_and_have_inverse(kind):
         back = p.replace(kind, new, back=True)
         assert back == v or kind == "date" and [int(x) for x in back.replace("/", ".").split(".")] == [int(x) for x in v.replace("/", ".").split(".")]
         if kind not in ("date", "ip"):
+            assert [c.isalpha() for c in new] == [c.isalpha() for c in v]
             assert [c.isdigit() for c in new] == [c.isdigit() for c in v]
 
 
@@ -76,6 +77,52 @@ def test_values_beside_other_numbers(text, value, kind):
     assert found == {kind: 1} and value not in new and new.startswith(before) and new.endswith(after)
 
 
+def test_a_date_has_one_pseudonym_in_all_forms():
+    p = pii.Pseudonyms(KEY)
+    for y, m, d in ((2020, 12, 25), (2020, 5, 6), (1987, 1, 31), (2024, 2, 29), (1999, 11, 12)):
+        forms = {f"{y}-{m:02d}-{d:02d}": "ymd", f"{y}/{m:02d}/{d:02d}": "ymd", f"{m:02d}/{d:02d}/{y}": "mdy", f"{d:02d}.{m:02d}.{y}": "dmy", f"{d:02d}-{m:02d}-{y}": "dmy"}
+        if d > 12:
+            forms[f"{d:02d}/{m:02d}/{y}"] = "dmy"
+        seen = set()
+        for text, order in forms.items():
+            new = p.replace("date", text)
+            parts = dict(zip(order, map(int, new.replace("/", "-").replace(".", "-").split("-")), strict=True))
+            seen.add((parts["y"], parts["m"], parts["d"]))
+            assert p.replace("date", new, back=True) == text
+        assert len(seen) == 1 and seen != {(y, m, d)}
+
+
+def test_ibans_hide_letters_too():
+    new = pii.Pseudonyms(KEY).replace("iban", "GB82WEST12345698765432")
+    assert new[:2] == "GB" and new[4:8] != "WEST" and new[4:8].isalpha() and new[8:].isdigit() and pii.iban_check("GB", new[4:]) == new[2:4]
+
+
+def test_whole_table_comes_back_and_links(spark, sf):
+    """Against the table itself: every document is restored by the key, equal values have equal pseudonyms, others different ones."""
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in Q.op3_pii(spark, sf).collect()}
+    p, pairs, total = pii.Pseudonyms(Q.TEST_KEY), defaultdict(set), Counter()
+    assert got.keys() == docs.keys()
+    for d, text in docs.items():
+        back, found = p.text(got[d].text, back=True)
+        assert back == text and all(found[k] == getattr(got[d], f"n_{k}") for k in pii.KINDS)
+        total += found
+        old, new = pii._PATTERN.finditer(text), pii._PATTERN.finditer(got[d].text)
+        for a, b in zip(old, new, strict=True):
+            if a[0] != b[0]:
+                pairs[a.lastgroup].add((a[0].strip(), b[0].strip()))
+    assert sum(total.values()) > 20
+    for kind, both in pairs.items():
+        assert len({a for a, _ in both}) == len({b for _, b in both}) == len(both), kind
+
+
+def test_long_texts_clashing_names_and_repeats(spark):
+    long = "word " * 300_000 + "1984-05-12"
+    df = spark.createDataFrame([(1, long, 0, "a"), (1, long, 0, "a"), (2, "", 1, None), (3, None, None, None)], "doc_id long, text string, n_date int, n_card string")
+    got = pii.pseudonymise(df, KEY).collect()
+    assert sorted((r.doc_id, r.n_date) for r in got) == [(1, 1), (1, 1), (2, 0), (3, 0)] and len({r.text for r in got}) == 2 and len(got[0].text) in (0, len(long))
+
+
 def test_pii_rows(spark):
     df = spark.createDataFrame([(1, "mail a.b@x.org"), (2, None), (3, ""), (1, "mail a.b@x.org"), (None, "10.0.0.1")], "doc_id long, text string")
     got = pii.pseudonymise(df, KEY).collect()

@@ -7,11 +7,11 @@ all documents, whatever their spacing; the permutation has an inverse for those
 | kind | validated by | permuted |
 |-|-|-|
 | card | 13 to 19 digits, Luhn check | all digits but the check digit, which is made anew |
-| iban | mod 97 | the digits of the account part, check digits made anew |
+| iban | mod 97 | letters and digits of the account part, each within its class and its country; check digits made anew |
 | ssn | US number groups | nine digits |
 | phone | 10 to 15 digits with +, parentheses or separators | the last ten digits |
 | ip | four octets | 32 bits |
-| date | calendar dates, 1900 to 2099 | the days of that range |
+| date | calendar dates, 1900 to 2099 | the days of that range, days of the month up to 12 and over 12 each among themselves |
 | email | address syntax | letters and digits of the address but its last label, each within its class |
 """
 
@@ -149,9 +149,9 @@ class Pseudonyms:
         if kind == "iban":
             plain = value.replace(" ", "")
             country, rest = plain[:2], plain[4:]
-            if not 15 <= len(plain) <= 34 or iban_check(country, rest) != plain[2:4] or not (own := re.sub(r"\D", "", rest)):
+            if not 15 <= len(plain) <= 34 or iban_check(country, rest) != plain[2:4]:
                 return None
-            rest = _refill(rest, self._digits(kind, own, back))
+            rest = self._classes(f"{kind} {country}", rest, back)
             it = iter(country + iban_check(country, rest) + rest)
             return re.sub(r"[A-Z0-9]", lambda _: next(it), value)
         if kind == "ssn":
@@ -192,36 +192,38 @@ class Pseudonyms:
             return None
         if not 0 <= day < _DAYS:
             return None
-        # A day-first date with slashes must not be read as month-first afterwards: it stays among the days over 12.
-        sort = order + mark if mark == "/" and order == "dmy" else "date"
+        # With slashes a day over 12 tells a day-first date; so such days stay among themselves, in every form alike.
+        late = int(at["d"]) > 12
         while True:
-            day = self._permute(sort, _DAYS, day, back)
+            day = self._permute("date", _DAYS, day, back)
             new = datetime.date.fromordinal(day + _FIRST)
-            if sort == "date" or new.day > 12:
+            if (new.day > 12) == late:
                 break
         text = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
         return mark.join(text[c] for c in order)
 
     def _email(self, value: str, back: bool) -> str:
         body, dot, last = value.rpartition(".")
-        classes = [(c.isdigit() and c.isascii(), c.isascii() and c.isalpha()) for c in body]
-        sizes = [10 if d else 26 if a else 1 for d, a in classes]
-        x = size = 1
-        x = 0
+        return self._classes("email", body, back) + dot + last
+
+    def _classes(self, kind: str, body: str, back: bool) -> str:
+        """``body`` with its digits and ASCII letters permuted, each place within its class; case stays."""
+        sizes = [10 if c.isdigit() and c.isascii() else 26 if c.isascii() and c.isalpha() else 1 for c in body]
+        x, size = 0, 1
         for c, n in zip(body.lower(), sizes, strict=True):
             if n > 1:
                 x, size = x * n + (int(c) if n == 10 else ord(c) - 97), size * n
-        y = self._permute("email", size, x, back)
+        y = self._permute(kind, size, x, back)
         out = []
         for c, n in zip(reversed(body), reversed(sizes), strict=True):
             if n > 1:
                 y, k = divmod(y, n)
                 c = str(k) if n == 10 else chr(k + (65 if c.isupper() else 97))
             out.append(c)
-        return "".join(reversed(out)) + dot + last
+        return "".join(reversed(out))
 
-    def text(self, text: str) -> tuple[str, Counter]:
-        """The text with pseudonyms, and how many values of each kind it had."""
+    def text(self, text: str, back: bool = False) -> tuple[str, Counter]:
+        """The text with pseudonyms (``back``: with the values again), and how many values of each kind it had."""
         found: Counter = Counter()
 
         if not _HINT.search(text):
@@ -229,10 +231,10 @@ class Pseudonyms:
         out, done, at = [], 0, 0  # text before ``done`` is written; the search goes on from ``at``
         while m := _PATTERN.search(text, at):
             kind, (a, b) = m.lastgroup, m.span(m.lastgroup)
-            new = self.replace(kind, text[a:b])
+            new = self.replace(kind, text[a:b], back)
             if new is None and kind in ("card", "iban"):
                 for x, y in parts(kind, text[a:b]):
-                    if (new := self.replace(kind, text[a + x : a + y])) is not None:
+                    if (new := self.replace(kind, text[a + x : a + y], back)) is not None:
                         a, b = a + x, a + y
                         break
             if new is None:
