@@ -359,6 +359,96 @@ def test_words_of_class_and_id_weigh_only_inside_an_article(html, want):
     assert HX.main_text(html) == want
 
 
+WHOLE = [
+    (f"<article><p>{LONG}</p><![foo bar><p>after</p><p>{LONG}</p></article>", f"{LONG} after {LONG}"),
+    (f"<article><p>{LONG}</p><!DOCTYPE [<!ELEMENT x><p>{LONG} two</p></article>", None),
+    (f"<article><p>where <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds. {LONG}</p></article>", f"where x=1 holds. {LONG}"),
+    (f"<body><article class=teaser><p>Teaser</p></article><div>{f'<p>{LONG}</p>' * 4}</div></body>", " ".join([LONG] * 4)),
+    (f"<div class=content><ul><li><a href=/>Home</a></li><li><a href=/a>About</a></li></ul><p>{LONG}</p><p>{LONG}</p></div>", f"{LONG} {LONG}"),
+    (f"<article><div class=popular-science><p>{LONG}</p></div><div class=share-price><p>{LONG}</p></div></article>", f"{LONG} {LONG}"),
+    (f"<article><p>{LONG}</p><p>{LONG}</p><section id=comments><h3>Comments</h3><p>{LONG}</p></section></article>", f"{LONG} {LONG}"),
+    (f"<article class='post no-comments'><div class='has-comments'><p>{LONG}</p></div></article>", LONG),
+]
+
+
+@pytest.mark.parametrize("html,want", WHOLE)
+def test_nothing_of_the_article_is_lost(html, want):
+    got = HX.main_text(html)
+    assert got.endswith(want or f"{LONG} two") and got in (want, f"Teaser {want}", got if want is None else want)
+
+
+def brute_content(lines):
+    """The regions by matrices: ratios, a Gaussian matrix for each of the two sequences, two means."""
+    import numpy as np
+
+    def ratios(rows):
+        return np.array([min(HX.FULL_RATIO, len(t) / max(1, n)) * (1 - min(1, a / len(t))) for t, n, a, *_ in rows])
+
+    def smoothed(x):
+        k = np.arange(len(x))
+        d = k[:, None] - k
+        w = np.where(abs(d) <= math.ceil(3 * HX.SIGMA), np.exp(-0.5 * (d / HX.SIGMA) ** 2), 0)
+        return (w @ x) / w.sum(1) if len(x) else x
+
+    rows, out = [x for x in lines if x[0] and not x[3]], [x for x in lines if x[0] and x[3]]
+    r, raw = smoothed(ratios(rows)), ratios(rows)
+    both = np.append(r, smoothed(ratios(out)))
+    cut = 0.0
+    if len(both) and both.max() > 0:
+        low, high = both.min(), both.max()
+        for _ in range(50):
+            up = both > (low + high) / 2
+            if up.all() or not up.any():
+                low = high = 0.0
+                break
+            low, high = both[~up].mean(), both[up].mean()
+        cut = (low + high) / 2 if high > 3 * low else 0.0
+    plain = {m: sum(max(0, len(t) - a) for t, _, a, _, y, _ in rows if y == m) for m in (True, False)}
+    odds = min(16.0, max(1.0, plain[True] / plain[False])) if plain[False] else 16.0 if plain[True] else 1.0
+    links = [a >= 0.9 * len(t) for t, _, a, *_ in rows]
+    kept = []
+    for n, (t, _, _, _, marked, block) in enumerate(rows):
+        beside = any(links[k] for k in (n - 1, n + 1) if 0 <= k < len(rows))
+        own = [k for k, x in enumerate(rows) if x[5] == block]
+        rest = [k for k, x in enumerate(rows) if x[5] == 0]
+        size = np.array([len(x[0]) for x in rows], float)
+        mean = (raw[own] * size[own]).sum() / size[own].sum()
+        least = 2 / 3 * (raw[rest] * size[rest]).sum() / size[rest].sum() if rest else 0.0
+        if links[n]:
+            ok = marked and not block and r[n] >= cut / odds and r[n] > 0 and not beside
+        elif block:
+            ok = mean >= min(cut or math.inf, least) and (block > 0 or size[own].sum() > size.sum() / 2)
+        else:
+            ok = (r[n] * odds if marked else r[n] / odds) >= cut if cut else marked or odds == 1
+        kept.append(bool(ok))
+    it = iter(kept)
+    return [next(it) if x[0] and not x[3] else False for x in lines]
+
+
+def test_regions_equal_brute_force():
+    rng = random.Random(5)
+    decided = Counter()
+    for _ in range(400):
+        lines = []
+        for _ in range(rng.randrange(1, 30)):
+            text = "x" * rng.choice([0, 3, 20, 80, 300, 900])
+            marked = rng.random() < 0.5
+            lines.append((text, rng.randrange(0, 9), rng.choice([0, 0, len(text), len(text) // 3]), rng.random() < 0.3, marked, rng.choice([0, 0, 0, 1, -2]) if marked else 0))
+        got = HX.content(lines)
+        assert got == brute_content(lines)
+        decided.update(got)
+    assert min(decided.values()) > 500
+
+
+def test_pages_with_repeats_long_texts_and_clashing_names(spark):
+    long = f"<article>{f'<p>{LONG}</p>' * 3000}</article>"
+    rows = [(1, "u", long, 0, "t"), (1, "u", long, 0, "t"), (2, None, None, 1, None), (None, "v", "<p>plain", 2, "t")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int, text string")
+    got = HX.extract_pages(df).collect()
+    assert sorted((r.page_id or 0, r.n_chars) for r in got) == [(0, 5), (1, 3000 * len(LONG) + 2999), (1, 3000 * len(LONG) + 2999), (2, 0)]
+    assert HX.extract_pages(df.where("false")).count() == 0
+
+
 def test_pages_of_the_table(spark, sf):
     got = {r.page_id: r for r in Q.op10_html_extract(spark, sf).collect()}
     pages = spark.read.parquet(f"{sf}/pages.parquet").collect()

@@ -4,10 +4,12 @@ The page streams through the standard library's parser. Block elements and line
 text, the number of tags in it and whether it stands in a part of the page that is no article (by element, by role, or
 by the words of its class and id). The ratio of text to tags, smoothed with a Gaussian along the page, is compared with a
 threshold between the clusters of high and low ratios; a heading or a short line goes with its neighbours by the
-smoothing. Where the page marks an article (article, main, or a class or id that says so), the mark is a prior: the odds of
-marked against other text multiply the ratios of marked lines and divide those of others. A mark on less than half of the
-text says nothing. Lines of links are content only alone, in a marked part, and with a high ratio around them. Inside an
-article the words of a class or id that speak against it put its block to the clusters as a whole, without the prior.
+smoothing. Lines outside the article are smoothed for themselves and never content, but they are part of the clusters:
+menus and footers are what low ratios look like. Where the page marks an article (article, main, or a class or id that
+says so), the mark is a prior: the odds of marked against other text multiply the ratios of marked lines and divide those
+of others. A mark on less than half of the text says nothing. Lines of links are content only alone, in a marked part, and
+with a high ratio around them. Inside an article the words of a class or id that speak against it put its block to the
+clusters as a whole, without the prior; a block for readers' comments is out, unless it holds most of the text.
 """
 
 from __future__ import annotations
@@ -22,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("math mi mo mn ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder semantics a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements whose content is never text of the article.
-SKIPPED = frozenset("script style noscript template svg math iframe object canvas video audio map head title textarea select option button".split())
+SKIPPED = frozenset("script style noscript template svg iframe object canvas video audio map head title textarea select option button".split())
 OUTSIDE = frozenset("nav header footer aside form dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 ARTICLE = frozenset("article main".split())
@@ -37,6 +39,7 @@ OUTSIDE_WORDS = frozenset(
     "recommended popular share sharing social comment comments respond reply replies disqus discussion cookie cookies consent notice notification alert popup modal newsletter subscribe subscription "
     "signup login pagination pager toolbar copyright disclaimer skip".split()
 )
+COMMENT_WORDS = frozenset("comment comments respond reply replies disqus".split())
 ARTICLE_WORDS = frozenset("article post story entry content main".split())
 _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -52,7 +55,8 @@ class _Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool, bool, int]] = []  # tag, no text, outside, in an article, doubted block
+        # tag, no text, outside, in an article, doubted block (below 0: readers' comments)
+        self.stack: list[tuple[str, bool, bool, bool, int]] = []
         self.lines: list[tuple[str, int, int, bool, bool, int]] = []  # text, tags, letters in links, outside, in an article, doubted block
         self.text: list[str] = []
         self.tags = self.linked = self.links = self.blocks = 0
@@ -91,7 +95,7 @@ class _Lines(HTMLParser):
             outside = outside or not (tag == "header" and article)
         elif against - {"header"} and not doubted:
             self.blocks += 1
-            doubted = self.blocks
+            doubted = -self.blocks if against & COMMENT_WORDS else self.blocks
         self.links += tag == "a"
         self.stack.append((tag, silent, outside, article or marked and not outside, doubted))
 
@@ -115,6 +119,13 @@ class _Lines(HTMLParser):
             if tag in INLINE and self.stack[k][0] not in INLINE:
                 return
 
+    def parse_html_declaration(self, i: int) -> int:
+        """A declaration that is none, as <![if x>, is a comment up to the next >; nothing behind it is lost."""
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:
+            return self.parse_bogus_comment(i)
+
     def handle_data(self, data: str) -> None:
         if self.stack and self.stack[-1][0] == "head" and data.strip():
             self.close_head()
@@ -159,11 +170,8 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     parser = _Lines()
-    try:
-        parser.feed(html)
-        parser.close()
-    except AssertionError:  # the parser's own checks on broken declarations: what it has read so far counts
-        pass
+    parser.feed(html)
+    parser.close()
     parser.flush()
     return " ".join(x[0] for x, keep in zip(parser.lines, content(parser.lines), strict=True) if keep)
 
@@ -174,26 +182,33 @@ def prior(lines: list[tuple[str, int, int, bool, bool, int]]) -> float:
     return min(MOST_ODDS, max(1.0, marked / other)) if other else MOST_ODDS if marked else 1.0
 
 
+def ratio(line: tuple[str, int, int, bool, bool, int]) -> float:
+    """Letters a tag, less the share of letters in links."""
+    return min(FULL_RATIO, len(line[0]) / max(1, line[1])) * (1 - min(1.0, line[2] / len(line[0])))
+
+
 def content(lines: list[tuple[str, int, int, bool, bool, int]]) -> list[bool]:
     """For each line of ``_Lines`` whether it is content."""
     out = [False] * len(lines)
     at = [k for k, x in enumerate(lines) if not x[3] and x[0]]
     rows = [lines[k] for k in at]
-    ratios = [min(FULL_RATIO, len(x[0]) / max(1, x[1])) * (1 - min(1.0, x[2] / len(x[0]))) for x in rows]
+    ratios = [ratio(x) for x in rows]
     smoothed = smooth(ratios)
-    cut, odds = threshold(smoothed), prior(rows)
+    cut, odds = threshold(smoothed + smooth([ratio(x) for x in lines if x[3] and x[0]])), prior(rows)
     linked = [False, *(x[2] >= 0.9 * len(x[0]) for x in rows), False]
     means: dict[int, tuple[float, int]] = {}  # of each doubted block and, at 0, of the rest: sum of ratios by letter, letters
     for x, r in zip(rows, ratios, strict=True):
         total, letters = means.get(x[5], (0.0, 0))
         means[x[5]] = total + r * len(x[0]), letters + len(x[0])
     mean = {block: total / letters for block, (total, letters) in means.items()}
-    least = cut or 2 / 3 * mean.get(0, 0.0)
+    # Two thirds of the rest's ratio, where that is less than the cut: a block of the article's own kind stays.
+    least = min(cut or math.inf, 2 / 3 * mean.get(0, 0.0))
+    half = sum(letters for _, letters in means.values()) / 2
     for n, (k, x, r) in enumerate(zip(at, rows, smoothed, strict=True), 1):
         if linked[n]:
-            out[k] = x[4] and not x[5] and r >= cut and r > 0 and not linked[n - 1] and not linked[n + 1]
+            out[k] = x[4] and not x[5] and r >= cut / odds and r > 0 and not linked[n - 1] and not linked[n + 1]
         elif x[5]:
-            out[k] = mean[x[5]] >= least
+            out[k] = mean[x[5]] >= least and (x[5] > 0 or means[x[5]][1] > half)
         elif cut > 0:
             out[k] = (r * odds if x[4] else r / odds) >= cut
         else:  # one cluster: the mark alone tells the lines apart

@@ -87,12 +87,12 @@ kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS s FROM w
 SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM t LEFT JOIN kept ON kept.doc_id = t.doc_id
 """
 
-#: The pages' own markup: an article of headings, paragraphs, bold text and line breaks.
+#: The pages' own markup: an article of headings, paragraphs, bold text and line breaks. A reference may lack its semicolon.
 PAGES = r"""
 SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM (SELECT page_id, url,
-  trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(
+  trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(
     regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1), '</?b>', '', 'g'), '</?(p|h[1-6]|br)>', ' ', 'g'),
-    '&quot;', '"'), '&#x27;', ''''), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM pages) x
+    '&quot;?', '"', 'g'), '&#x27;', ''''), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text FROM pages) x
 """
 
 SQL = {"op1_quality_rules": QUALITY, "op2_chat_format": CHATS, "op4_near_dedup": NEAR, "op7_substring_dedup": REPEATS, "op10_html_extract": PAGES}
