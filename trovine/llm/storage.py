@@ -7,26 +7,43 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths of tables that this process has written, in order.
+_made: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, notebooks on one machine) a local folder is made and set as the
-    checkpoint folder.
+    Only where the session names none and runs on one machine (tests, notebooks) a local folder is made and set as the
+    checkpoint folder; on a cluster that is an error, as executors share no local folder.
     """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", None)
     if not named:
-        option = spark.sparkContext._jsc.sc().getCheckpointDir()
+        option = context._jsc.sc().getCheckpointDir()
         named = option.get() if option.isDefined() else None
     if not named:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="trovine-")
-        spark.sparkContext.setCheckpointDir(named)
+        context.setCheckpointDir(named)
     return named.rstrip("/")
 
 
-def new_folder(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder; nothing is created yet."""
-    return f"{shared_dir(spark)}/trovine/{label}-{uuid.uuid4().hex}"
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def new_folder(spark: SparkSession, label: str, keep: bool = False) -> str:
+    """A fresh path below the shared folder; nothing is created yet. Unless ``keep``, it is removed when the session's
+    process ends, or by ``release``."""
+    path = f"{shared_dir(spark)}/trovine/{label}-{uuid.uuid4().hex}"
+    if not keep:
+        _made.append(path)
+        fs, target = _file_system(spark, path)
+        fs.deleteOnExit(target)
+    return path
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -38,3 +55,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = new_folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def mark() -> int:
+    """A point in time for ``release``."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int, until: int | None = None) -> None:
+    """Removes the tables made from mark ``since`` on, up to mark ``until``: those that no later step reads."""
+    for path in _made[since:until]:
+        fs, target = _file_system(spark, path)
+        fs.delete(target, True)
+    del _made[since:until]
