@@ -17,7 +17,7 @@ from trovine.llm.mixing import schedule, token_sizes
 from trovine.llm.near_dedup import near_duplicates
 from trovine.llm.quality_rules import quality_rules
 from trovine.llm.sharding import shard_documents
-from trovine.llm.storage import materialise, new_folder
+from trovine.llm.storage import mark, materialise, new_folder, release
 
 #: How much more often one source may occur than another after mixing.
 REPETITION = 2.0
@@ -59,7 +59,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Appends the documents to a new shard store, compacts it, and tells each document's shard."""
-    return shard_documents(docs, new_folder(spark, "corpus"))
+    return shard_documents(docs, new_folder(spark, "corpus", keep=True))
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix", mix), ("shard", shard)]
@@ -69,10 +69,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage, from ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage, from ``documents``. What a stage has left behind goes when its rows are written."""
+    docs, start = spark.read.parquet(f"{sf_dir}/documents.parquet"), mark()
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialise(docs, name)
-    return docs
+        out = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return out
+        before_write = mark()
+        docs = materialise(out, name)
+        release(spark, start, before_write)
