@@ -6,8 +6,9 @@
 3. A pair's signatures are compared batch by batch; it is dropped as soon as the posterior probability of the wanted
    similarity falls below ``miss``. Survivors are confirmed on the full sets, from the texts.
 4. Confirmed links give components. Where a bucket still holds members of different components, these are compared
-   across components, in blocks of bounded size, by the same steps; only a link that joins two components is emitted. So
-   no candidate of the bands is left out, and no bucket emits its square.
+   across components, in blocks of bounded size, by the same steps: first by signatures, which tells the members that
+   need their texts, then by texts; only a link that joins two components is emitted. So no candidate of the bands is
+   left out, no bucket emits its square, and a text travels only if it may have a link.
 """
 
 from __future__ import annotations
@@ -159,22 +160,71 @@ def _confirm(size: int, percent: int):
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+class _Part:
+    """The rows of a bucket's part: id, component, signature, left, right, bands, own band, one, and perhaps the text.
+
+    ``left`` members are compared with ``right`` ones of other components, in the first band that the two share.
+    """
+
+    def __init__(self, rows: list[tuple], limits: tuple[int, ...]):
+        self.ids, self.comps, self.limits = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), limits
+        self.left, self.right = np.array([r[3] for r in rows], bool), np.array([r[4] for r in rows], bool)
+        self.sigs = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(-1, HASHES)
+        self.bands, self.band = np.array([r[5] for r in rows]), rows[0][6]
+        self.most = np.array([not r[7] for r in rows], bool)  # of the bucket's largest component
+
+    def partners(self, i: int) -> np.ndarray:
+        """The members that may be linked with member ``i``."""
+        other = np.flatnonzero(self.right & (self.comps != self.comps[i]) & (self.most | (self.ids > self.ids[i])))
+        ok = other[survivors(np.broadcast_to(self.sigs[i], (len(other), HASHES)), self.sigs[other], self.limits)]
+        return ok[(self.bands[ok] == self.bands[i]).argmax(1) == self.band] if len(ok) else ok
+
+    def compared(self) -> np.ndarray:
+        return np.flatnonzero(self.left) if (self.comps != self.comps[0]).any() else np.empty(0, int)
+
+
+def _hopeful(limits: tuple[int, ...]):
+    """Of each part (rows sorted by part) the members that a signature allows a link across components."""
+
+    def settle(key: list, rows: list[tuple]) -> Iterator[tuple]:
+        part, found = _Part(rows, limits), np.zeros(len(rows), bool)
+        for i in part.compared():
+            ok = part.partners(i)
+            found[ok] = True
+            found[i] |= len(ok) > 0
+        return ((*key, int(i)) for i in part.ids[found])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = [x for key, rows in _parts(batches) for x in settle(key, rows)]
+        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], ["band", "key", "i", "j", "id"])
+
+    return run
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[tuple]]]:
+    """(part, rows) of parts with two rows or more."""
+    key, group = None, []
+    for batch in batches:
+        for *k, a, b, c, d, e, f, g, h, text in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            if k != key:
+                if len(group) > 1:
+                    yield key, group
+                key, group = k, []
+            group.append((a, b, c, d, e, f, g, h, text))
+    if len(group) > 1:
+        yield key, group
+
+
 def _across(limits: tuple[int, ...], size: int, percent: int):
-    """Links between a bucket's members in different components, one for each two components that it joins.
+    """Links between a part's members in different components, one for each two components that it joins.
 
-    Rows come sorted by bucket part. ``left`` members are compared with ``right`` ones: signatures first, then, in the first
-    band that the two share, hashed sets, then the shingles as words. Two components that a link has joined are one for
+    Signatures first, then hashed sets, then the shingles as words. Two components that a link has joined are one for
     the rest of the part.
     """
 
     def settle(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        ids, comps = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-        left, right = np.array([r[3] for r in rows], bool), np.array([r[4] for r in rows], bool)
-        if (comps == comps[0]).all() or not left.any():
-            return
-        sigs, bands, band = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(-1, HASHES), np.array([r[5] for r in rows]), rows[0][6]
-        most = np.array([not r[7] for r in rows], bool)  # of the bucket's largest component
-        hashed: dict[int, np.ndarray] = {}
+        part, hashed = _Part(rows, limits), {}
 
         def shingles(k: int) -> np.ndarray:
             if k not in hashed:
@@ -182,28 +232,18 @@ def _across(limits: tuple[int, ...], size: int, percent: int):
                 hashed[k] = next(_shingles(raw, np.array([0, len(raw)]), size))
             return hashed[k]
 
-        for i in np.flatnonzero(left):
-            other = np.flatnonzero(right & (comps != comps[i]) & (most | (ids > ids[i])))
-            ok = other[survivors(np.broadcast_to(sigs[i], (len(other), HASHES)), sigs[other], limits)]
-            for j in ok[(bands[ok] == bands[i]).argmax(1) == band] if len(ok) else ():
-                if comps[i] == comps[j]:
+        for i in part.compared():
+            for j in part.partners(i):
+                if part.comps[i] == part.comps[j]:
                     continue
                 x, y = shingles(i), shingles(j)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * both >= percent * (len(x) + len(y) - both) and linked(rows[i][8], rows[j][8], size, percent):
-                    yield min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))
-                    comps[comps == comps[j]] = comps[i]
+                    yield min(int(part.ids[i]), int(part.ids[j])), max(int(part.ids[i]), int(part.ids[j]))
+                    part.comps[part.comps == part.comps[j]] = part.comps[i]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group, out = None, [], []
-        for batch in batches:
-            for *k, i, c, s, a, b, bands, band, one, text in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if k != key:
-                    out += settle(group) if len(group) > 1 else ()
-                    key, group = k, []
-                group.append((i, c, s, a, b, bands, band, one, text))
-        out += settle(group) if len(group) > 1 else ()
-        yield _pairs(out)
+        yield _pairs([x for _, rows in _parts(batches) for x in settle(rows)])
 
     return run
 
@@ -248,6 +288,8 @@ def near_duplicates(
     sets = signed_.where("n_shingles > 0 AND doc_id IS NOT NULL")
     limits = thresholds(percent / 100, miss)
     class_ids = sets.groupBy("set_key").agg(F.min("doc_id").alias("id"))
+    # Written, so that the join of a class of very many copies has an exchange of its own and can be split.
+    several = materialise(sets.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("last")).where("id < last").select("set_key", "id"), "several")
     # of rows with one id and one set, any will do: they are equal
     members = sets.groupBy("doc_id", "set_key").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     reps = materialise(members.join(class_ids.withColumnRenamed("id", "doc_id"), ["doc_id", "set_key"]).select(F.col("doc_id").alias("id"), "sig", "bands", "set_key"), "classes")
@@ -270,7 +312,7 @@ def near_duplicates(
         return materialise(ok.distinct(), label)
 
     def copies(linked: DataFrame) -> DataFrame:
-        return sets.select("doc_id", "set_key").join(class_ids, "set_key").select(F.col("id").alias("a"), F.col("doc_id").alias("b")).where("a <> b").union(linked)
+        return sets.select("doc_id", "set_key").join(several, "set_key").select(F.col("id").alias("a"), F.col("doc_id").alias("b")).where("a <> b").union(linked)
 
     links = [confirmed(materialise(pruned(star), "candidates"), "links")]
     labels = components(links[0])
@@ -288,11 +330,16 @@ def near_duplicates(
     columns = F.transform(F.filter(every, lambda k: k != F.col("own")), lambda k: F.struct(F.col("own").alias("i"), k.alias("j"), F.lit(True).alias("left"), F.lit(False).alias("right")))
     inside = inside.withColumn("cell", F.explode(F.when(F.col("one"), F.concat(rows_, columns)).otherwise(rows_)))
     bucket = ["band", "key", "i", "j"]
-    inside = inside.select("band", "key", "cell.i", "cell.j", "id", "component", "cell.left", "cell.right", "one").join(reps.select("id", "sig", "bands"), "id")
-    inside = inside.join(texts.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text"), "id")
-    dealt = inside.repartition(*bucket).sortWithinPartitions(*bucket)
-    dealt = dealt.select(*bucket, "id", "component", "sig", "left", "right", "bands", F.col("band").alias("own_band"), "one", "text")
-    links.append(materialise(dealt.mapInArrow(_across(limits, shingle, percent), "a long, b long").distinct(), "links"))
+    inside = inside.select("band", "key", "cell.i", "cell.j", "id", "component", "cell.left", "cell.right", "one")
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        rows = rows.join(reps.select("id", "sig", "bands"), "id").repartition(*bucket).sortWithinPartitions(*bucket)
+        return rows.select(*bucket, "id", "component", "sig", "left", "right", "bands", F.col("band").alias("own_band"), "one", "text")
+
+    inside = materialise(inside, "parts")
+    hopeful = dealt(inside.withColumn("text", F.lit(None).cast("string"))).mapInArrow(_hopeful(limits), "band int, key long, i int, j int, id long")
+    inside = inside.join(materialise(hopeful, "hopeful"), [*bucket, "id"]).join(texts.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text"), "id")
+    links.append(materialise(dealt(inside).mapInArrow(_across(limits, shingle, percent), "a long, b long").distinct(), "links"))
     labels = components(copies(reduce(DataFrame.union, links)))
     return (
         signed_.select("doc_id", "n_shingles")
