@@ -8,6 +8,7 @@ popped counts on its way, so no piece is built and no character is read twice.
 from __future__ import annotations
 
 import json
+import uuid
 from collections import deque
 from collections.abc import Iterable, Iterator
 
@@ -95,9 +96,16 @@ def byte_level_vocabulary(path: str) -> list[bytes]:
     return [bytes(byte_of[c] for c in piece) for piece in model["vocab"] if all(c in byte_of for c in piece)]
 
 
-def _counts(shared):
+#: The automaton that this worker process has built last, by the name of its call.
+_built: dict[str, Pieces] = {}
+
+
+def _counts(shared, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(shared.value)
+        if name not in _built:
+            _built.clear()
+            _built[name] = Pieces(shared.value)
+        pieces = _built[name]
 
         class Known(dict):
             def __missing__(self, word: bytes) -> int:
@@ -133,4 +141,4 @@ def count_tokens(docs: DataFrame, vocabulary_file: str, id_col: str = "doc_id",
     """
     shared = docs.sparkSession.sparkContext.broadcast(byte_level_vocabulary(vocabulary_file))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return texts.mapInArrow(_counts(shared), "doc_id long, n_words long, n_tokens long, n_unknown long")
+    return texts.mapInArrow(_counts(shared, uuid.uuid4().hex), "doc_id long, n_words long, n_tokens long, n_unknown long")
