@@ -32,11 +32,34 @@ def ids(df):
     return dict(out)
 
 
-def test_bm25(spark):
-    items = spark.createDataFrame([("d1", "a a b"), ("d2", "b c"), ("d3", "c c c d"), ("d4", None)], "item_id string, text string")
-    queries = spark.createDataFrame([("q", "a b b"), ("r", "c"), ("s", "zzz")], "query_id string, text string")
-    got = {(r.query_id, r.item_id): r.score for r in S.bm25_search(items, queries).collect()}
-    assert got == {("q", "d1"): 0.748475, ("q", "d2"): 0.221178, ("r", "d3"): 0.289233, ("r", "d2"): 0.221178}
+def brute_bm25(items, queries, k1=1.5, b=0.75):
+    from math import log
+
+    words = {i: (t or "").lower().split() for i, t in items}
+    n, avg = len(words), sum(map(len, words.values())) / len(words)
+    out = {}
+    for q, text in queries:
+        for i, w in words.items():
+            score = 0.0
+            for term in set(text.lower().split()):
+                df = sum(term in x for x in words.values())
+                if term in w:
+                    score += log(1 + (n - df + 0.5) / (df + 0.5)) * w.count(term) / (w.count(term) + k1 * (1 - b + b * len(w) / avg))
+            if score > 0:
+                out[q, i] = round(score, 6)
+    return out
+
+
+def test_bm25_and_its_stored_index(spark, tmp_path):
+    rng = random.Random(2)
+    items = [("d1", "a a b"), ("d2", "b c"), ("d3", "c c c d"), ("d4", None), ("d5", "")] + [(f"r{k}", " ".join(rng.choices("abcdefgh", k=rng.randrange(12)))) for k in range(60)]
+    queries = [("q", "a b b"), ("r", "c"), ("s", "zzz")]
+    df, asked = spark.createDataFrame(items, "item_id string, text string"), spark.createDataFrame(queries, "query_id string, text string")
+    want = brute_bm25(items, queries)
+    assert {(r.query_id, r.item_id): r.score for r in S.bm25_search(df, asked, 100).collect()} == pytest.approx(want, abs=2e-6)
+    index = S.Index.build(df, f"file://{tmp_path}/i", files=3)
+    assert {(r.query_id, r.item_id): r.score for r in S.Index(spark, index.folder).search(asked, 100).collect()} == pytest.approx(want, abs=2e-6)
+    assert index.table("stats").first()["n"] == len(items) and index.table("terms").where("term = 'a'").first().df == sum("a" in (t or "").split() for _, t in items)
 
 
 def test_top_k_is_cut_before_the_shuffle(spark):
@@ -143,14 +166,54 @@ def test_named_city_prefers_long_names(spark):
     assert dict(G.named_city(q, G.city_forms(names)).collect()) == {1: "нижний новгород", 2: "москва"}
 
 
-def test_dense_search_equals_sql(spark):
+@pytest.fixture(scope="module")
+def vectors(spark):
     rng = np.random.default_rng(0)
-    rows = [(k, [float(x) for x in rng.normal(size=8)]) for k in range(200)]
-    corpus = spark.createDataFrame([*rows, (999, None)], "item_id long, vector array<float>").repartition(5)
-    queries = spark.createDataFrame(rows[:7], "query_id long, vector array<float>")
-    a, b = (sorted(map(tuple, f(queries, corpus.where("vector IS NOT NULL"), 9).collect())) for f in (D.search, D.search_sql))
+    rows = [(k, [round(float(x), 1) for x in rng.normal(size=3)]) for k in range(400)]  # coarse, so that scores tie
+    corpus = spark.createDataFrame([*rows, (999, None)], "item_id long, vector array<float>").withColumn("item_location_id", F.col("item_id") % 6).repartition(5)
+    return dict(rows), corpus, spark.createDataFrame(rows[:40], "query_id long, vector array<float>").withColumn("search_location_id", F.col("query_id") % 4)
+
+
+def brute_scores(rows):
+    v = {k: np.array(x, np.float32).astype(float) for k, x in rows.items()}
+    return {(q, i): round(float(v[q] @ v[i]), 6) for q in range(40) for i in v}
+
+
+@pytest.mark.parametrize("block", [64 << 20, 2000])
+def test_dense_search_equals_sql_and_brute_force(spark, vectors, monkeypatch, block):
+    """In one pass and in many."""
+    rows, corpus, queries = vectors
+    monkeypatch.setattr(D, "BLOCK_BYTES", block)
+    scores = brute_scores(rows)
+    best = {(q, i) for q in range(40) for i in sorted(rows, key=lambda i: (-scores[q, i], i))[:9]}
+    got = D.search(queries, corpus, 9).collect()
+    assert {(r.query_id, r.item_id) for r in got} == best and all(r.score == pytest.approx(scores[r.query_id, r.item_id], abs=1e-6) for r in got)
+    a, b = (sorted(map(tuple, x.select("query_id", "item_id", "rank").collect())) for x in (D.search(queries, corpus, 9), D.search_sql(queries, corpus.where("vector IS NOT NULL"), 9)))
     assert a == b
-    assert D.search(queries, corpus, 9).count() == 63
+    tiers = {(s, i): t for s in range(4) for i, t in ((s, 0), (s + 1, 1), (5, 1))}
+    pool = spark.createDataFrame([(s, i, t) for (s, i), t in tiers.items()] + [(0, 0, 3)], "search_location_id int, item_location_id int, tier int")
+    want = {(q, i) for q in range(40) for i in sorted(rows, key=lambda i: (tiers.get((q % 4, i % 6), 9), -scores[q, i], i))[:90]}
+    for most in (1000, 4):
+        assert {(r.query_id, r.item_id) for r in D.search_pools(queries, corpus, pool, 90, most=most).collect()} == want
+    with pytest.raises(ValueError):
+        D.search(queries.union(spark.createDataFrame([(7777, [1.0], 0)], queries.schema)), corpus, 3)
+    with pytest.raises(ValueError):
+        D.search_sql(queries, corpus, 3, most_mb=0)
+
+
+@pytest.mark.parametrize("block", [64 << 20, 2000])
+def test_ranks_of_given_pairs(spark, vectors, monkeypatch, block):
+    rows, corpus, queries = vectors
+    monkeypatch.setattr(D, "BLOCK_BYTES", block)
+    scores, rng = brute_scores(rows), random.Random(3)
+    pairs = [(q, i) for q in range(40) for i in rng.sample(range(400), 12)]
+    df = spark.createDataFrame([*pairs, (3, 999), (12345, 5)], "query_id long, item_id long")
+    got = {(r.query_id, r.item_id): (r.score, r.grank) for r in D.pair_ranks(D.pair_scores(df, queries, corpus), queries, corpus).collect()}
+    assert len(got) == len(pairs) + 2 and got[12345, 5] == (0.0, 1)
+    for q, i in pairs:
+        assert got[q, i] == (pytest.approx(scores[q, i], abs=1e-6), 1 + sum(scores[q, j] > scores[q, i] for j in rows))
+    best = {r.query_id: r.best for r in D.rank_of_best(df.where("query_id < 40"), queries, corpus).collect()}
+    assert all(best[q] == min(got[a, i][1] for a, i in got if a == q) for q in range(40))
 
 
 def test_encoders(spark):

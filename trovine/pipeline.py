@@ -130,23 +130,28 @@ class Pipeline:
         c, maps = self.config, self.maps(log)
         tiers, bonus = self.pools(queries, maps)
         q = queries.withColumn("num", F.xxhash64("query_id"))
-        asked = S.token_rows(q.select(F.col("num").alias("query_id"), F.col("search_query").alias("text")), "query_id", "text")
-        index = S.bm25_index(S.token_rows(self.items.select(F.col("num").alias("item_id"), F.col("doc").alias("text")), "item_id", "text"), vocabulary=asked, k1=c.k1, b=c.b)
-        sparse = S.bm25_scores(index, asked).withColumn("score", F.round("score", 6)).where("score > 0").withColumn("bm25_grank", W.global_rank("score"))
-        sparse = self.keep(sparse)
+        docs = self.items.select(F.col("num").alias("item_id"), F.col("doc").alias("text"))
+        sparse = S.score_all(docs, q.select(F.col("num").alias("query_id"), F.col("search_query").alias("text")), c.k1, c.b)
+        sparse = self.keep(sparse.where("score > 0").withColumn("bm25_grank", W.global_rank("score")))
         located = q.select(F.col("num").alias("query_id"), "search_location_id").join(tiers, "search_location_id")
         own = located.join(sparse.join(self.items.select(F.col("num").alias("item_id"), "item_location_id"), "item_id"), ["query_id", "item_location_id"]).select("query_id", "item_id", "tier")
         top_sparse = self.keep(K.tiered_top_k(sparse, own, c.n_cands, positive=True))
         vectors = self._vectors(q.select("num", X.query_text(F.col("search_query"), X.clean_params("filters")).alias("text")), "num", "text").join(q.select("num", "search_location_id"), "num").withColumnRenamed("num", "query_id")
         corpus = self._vectors(self.items.select("num", F.col("doc").alias("text")), "num", "text").join(self.items.select("num", "item_location_id"), "num").withColumnRenamed("num", "item_id")
+        vectors, corpus = self.keep(vectors), self.keep(corpus)
         top_dense = self.keep(D.search_pools(vectors, corpus, tiers, c.n_cands))
         both = top_sparse.select("query_id", "item_id").unionByName(top_dense.select("query_id", "item_id")).distinct()
         places = both.join(self.items.select(F.col("num").alias("item_id"), "item_location_id"), "item_id").join(q.select(F.col("num").alias("query_id"), "search_location_id"), "query_id")
         extra = places.join(bonus, ["search_location_id", "item_location_id"]).select("query_id", "item_id", "bonus")
         fused = U.rrf([top_sparse, top_dense], c.rrf_k, c.n_cands, extra)
         key = ["query_id", "item_id"]
-        fused = fused.join(sparse.select(*key, F.col("score").alias("bm25"), "bm25_grank"), key, "left").join(top_dense.select(*key, F.col("score").alias("cos"), F.col("rank").alias("cos_grank")), key, "left")
-        fused = fused.fillna({"bm25": 0.0, "bm25_grank": c.n_cands * 10, "cos": 0.0, "cos_grank": c.n_cands * 10})
+        # Every candidate gets both sources' scores and ranks in the whole corpus, from whichever list it comes.
+        fused = self.keep(fused)
+        cos = D.pair_ranks(D.pair_scores(fused, vectors, corpus), vectors, corpus).select(*key, F.col("score").alias("cos"), F.col("grank").alias("cos_grank"))
+        positive = sparse.groupBy("query_id").agg((F.count("*") + 1).alias("after_all"))
+        fused = fused.join(sparse.select(*key, F.col("score").alias("bm25"), "bm25_grank"), key, "left").join(cos, key).join(positive, "query_id", "left")
+        # What has no common term stands behind all that have one.
+        fused = fused.withColumn("bm25_grank", F.coalesce("bm25_grank", "after_all", F.lit(1))).fillna({"bm25": 0.0})
         named = fused.join(self.items.select(F.col("num").alias("item_id"), F.col("item_id").alias("_i")), "item_id").join(q.select(F.col("num").alias("query_id"), F.col("query_id").alias("_q")), "query_id")
         return self.keep(named.select(F.col("_q").alias("query_id"), F.col("_i").alias("item_id"), "score", "rank", "bm25", "bm25_grank", "cos", "cos_grank"))
 

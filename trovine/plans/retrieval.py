@@ -13,6 +13,7 @@ from ..operators import rerank as R
 from ..operators import sparse as S
 from ..operators import topk as K
 from ..operators import windows as W
+from ..functions import text as X
 from ..sources import io
 from . import roles
 from .registry import query
@@ -20,7 +21,7 @@ from .registry import query
 _TOK = r"regexp_extract_all(replace(lower(coalesce(text, '')), 'ё', 'е'), '[\p{L}\p{N}_]+')"
 _BM25 = f"""q AS (SELECT DISTINCT item_id AS query_id, unnest({_TOK}) AS term FROM benchmark), w AS (SELECT doc_id, unnest({_TOK}) AS term FROM documents),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY 1, 2), dl AS (SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY 1), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-st AS (SELECT count(*) AS n, sum(dl) / CAST(count(*) AS DOUBLE) AS avgdl FROM dl),
+st AS (SELECT (SELECT count(*) FROM documents) AS n, sum(dl) / CAST((SELECT count(*) FROM documents) AS DOUBLE) AS avgdl FROM dl),
 sc AS (SELECT query_id, tf.doc_id AS item_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score
 FROM q JOIN tf USING (term) JOIN df USING (term) JOIN dl ON dl.doc_id = tf.doc_id, st GROUP BY 1, 2),
 bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank, rank() OVER (PARTITION BY query_id ORDER BY score DESC) AS grank FROM sc WHERE score > 0)"""
@@ -37,28 +38,41 @@ def bm25_top50(t):
 
 @query("bm25_index_stats", f"WITH {_BM25} SELECT (SELECT count(*) FROM tf) AS postings, (SELECT count(*) FROM df) AS terms, (SELECT CAST(sum(tf) AS BIGINT) FROM tf) AS tokens")
 def bm25_index_stats(t):
-    tf = S.token_rows(_texts(t)[0], "item_id", "text").groupBy("item_id", "term").agg(F.count("*").alias("tf"))
-    per_term = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
-    return per_term.agg(F.sum("df").alias("postings"), F.count("*").alias("terms"), F.sum("n").alias("tokens"))
+    """A document's distinct words are counted in its row; only the terms' frequencies are shuffled."""
+    w = X.tokens("text")
+    docs = _texts(t)[0].select(w.alias("w"), F.array_distinct(w).alias("d"))
+    per_term = docs.select(F.explode("d").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    sums = docs.agg(F.sum(F.size("d")).cast("long").alias("postings"), F.sum(F.size("w")).cast("long").alias("tokens"))
+    return per_term.agg(F.count("*").alias("terms")).crossJoin(sums).select("postings", "terms", "tokens")  # one row each
 
 
 @query("source_scores", f"WITH {_BM25} SELECT query_id, item_id, score, CAST(grank AS INT) AS grank FROM bm WHERE item_id % 10 = query_id % 10")
 def source_scores(t):
     """Scores and global ranks of given pairs: ranked over all, then restricted."""
-    items, queries = _texts(t)
-    asked = S.token_rows(queries, "query_id", "text")
-    scored = S.bm25_scores(S.bm25_index(S.token_rows(items, "item_id", "text"), vocabulary=asked), asked).withColumn("score", F.round("score", 6)).where("score > 0")
+    scored = S.score_all(*_texts(t)).where("score > 0")
     ranked = scored.withColumn("grank", W.global_rank("score"))
     return ranked.where("item_id % 10 = query_id % 10").select("query_id", "item_id", "score", "grank")
 
 
 _DOT = "list_dot_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[])"
-_DENSE = f"SELECT q.vec_id AS query_id, d.vec_id AS item_id, round({_DOT}, 6) AS score FROM embeddings q, embeddings d WHERE q.vec_id < 50"
+#: The queries: every row whose id is divisible by 100, against all rows.
+_ASKED = "vec_id % 100 = 0"
+_DENSE = f"SELECT q.vec_id AS query_id, d.vec_id AS item_id, round({_DOT}, 6) AS score FROM embeddings q, embeddings d WHERE q.{_ASKED}"
+
+
+def _corpus(t):
+    return t.embeddings.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
 
 
 def _vectors(t):
-    e = t.embeddings
-    return e.where("vec_id < 50").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
+    return t.embeddings.where(_ASKED).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), _corpus(t)
+
+
+def _same_label(t, asked, corpus):
+    """(query_id, item_id) of vectors with the query's label, itself excepted."""
+    lab = t.embeddings.select("vec_id", "label")
+    a = asked.select("query_id").join(lab.withColumnRenamed("vec_id", "query_id"), "query_id")
+    return a.join(corpus.select("item_id").join(lab.withColumnRenamed("vec_id", "item_id"), "item_id"), "label").where("query_id <> item_id").select("query_id", "item_id")
 
 
 @query("dense_topk", f"SELECT query_id, item_id, score, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS r FROM ({_DENSE}) x) y WHERE r <= 20")
@@ -73,43 +87,38 @@ def dense_topk_sql(t):
 
 @query("dense_geo_topk", f"SELECT query_id, item_id, score, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN item_id % 10 = query_id % 10 THEN 0 ELSE 1 END, score DESC, item_id) AS r FROM ({_DENSE}) x) y WHERE r <= 100")
 def dense_geo_topk(t):
-    """The own location's vectors first. The pool is searched for itself; beyond it the global list of 2k is enough."""
+    """The own location's vectors first, then all others."""
     queries, corpus = _vectors(t)
-    k = 100
-    everywhere = D.search(queries, corpus, 2 * k)
-    parts = []
-    for c in range(10):
-        parts.append(D.search(queries.where(F.col("query_id") % 10 == c), corpus.where(F.col("item_id") % 10 == c), k))
-    own = parts[0]
-    for p in parts[1:]:
-        own = own.unionByName(p)
-    scored = own.select("query_id", "item_id", "score").unionByName(everywhere.select("query_id", "item_id", "score")).distinct()
-    tiers = own.select("query_id", "item_id", F.lit(0).alias("tier"))
-    return K.tiered_top_k(scored, tiers, k).select("query_id", "item_id", "score", "rank")
+    queries = queries.withColumn("search_location_id", F.col("query_id") % 10)
+    pool = t.spark.range(10).select(F.col("id").alias("search_location_id"), F.col("id").alias("item_location_id"), F.lit(0).alias("tier"))
+    return D.search_pools(queries, corpus.withColumn("item_location_id", F.col("item_id") % 10), pool, 100).select("query_id", "item_id", "score", "rank")
 
 
 @query("rank_of_answer", f"SELECT query_id, min(r) AS best FROM (SELECT x.*, rank() OVER (PARTITION BY query_id ORDER BY score DESC) AS r FROM ({_DENSE}) x) y JOIN embeddings a ON a.vec_id = y.query_id JOIN embeddings b ON b.vec_id = y.item_id WHERE a.label = b.label AND query_id <> item_id GROUP BY 1")
 def rank_of_answer(t):
     """Rank in the whole corpus of the best vector with the query's label."""
     queries, corpus = _vectors(t)
-    n = corpus.count()
-    ranked = D.search(queries, corpus, n).withColumn("r", W.global_rank("score"))
-    lab = t.embeddings.select("vec_id", "label")
-    both = ranked.join(lab.select(F.col("vec_id").alias("query_id"), F.col("label").alias("a")), "query_id").join(lab.select(F.col("vec_id").alias("item_id"), F.col("label").alias("b")), "item_id")
-    return both.where("a = b AND query_id <> item_id").groupBy("query_id").agg(F.min("r").cast("long").alias("best"))
+    return D.rank_of_best(_same_label(t, queries, corpus), queries, corpus)
 
 
-@query("sub_corpus_recall", "WITH " + f"""s AS (SELECT vec_id FROM embeddings ORDER BY md5('3|' || vec_id), vec_id LIMIT 300), c AS (SELECT e.* FROM embeddings e WHERE vec_id IN (SELECT vec_id FROM s) OR vec_id < 50),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM (SELECT q.vec_id AS query_id, d.vec_id AS item_id, round({_DOT}, 6) AS score FROM embeddings q, c d WHERE q.vec_id < 50) x),
-l AS (SELECT q.vec_id AS query_id, d.vec_id AS item_id FROM embeddings q JOIN c d ON q.label = d.label WHERE q.vec_id < 50)
+@query("dense_source_scores", f"SELECT query_id, item_id, score, r AS grank FROM (SELECT *, rank() OVER (PARTITION BY query_id ORDER BY score DESC) AS r FROM ({_DENSE}) x) y WHERE item_id % 7 = query_id % 7")
+def dense_source_scores(t):
+    """Scores and ranks in the whole corpus of given candidates (here: by a rule on ids), however far down they stand."""
+    queries, corpus = _vectors(t)
+    given = queries.select("query_id", (F.col("query_id") % 7).alias("k")).join(corpus.select("item_id", (F.col("item_id") % 7).alias("k")), "k").select("query_id", "item_id")
+    return D.pair_ranks(D.pair_scores(given, queries, corpus), queries, corpus).select("query_id", "item_id", "score", "grank")
+
+
+@query("sub_corpus_recall", "WITH " + f"""s AS (SELECT vec_id FROM embeddings ORDER BY md5('3|' || vec_id), vec_id LIMIT 300), c AS (SELECT e.* FROM embeddings e WHERE vec_id IN (SELECT vec_id FROM s) OR {_ASKED}),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM (SELECT q.vec_id AS query_id, d.vec_id AS item_id, round({_DOT}, 6) AS score FROM embeddings q, c d WHERE q.{_ASKED}) x),
+l AS (SELECT q.vec_id AS query_id, d.vec_id AS item_id FROM embeddings q JOIN c d ON q.label = d.label WHERE q.{_ASKED} AND q.vec_id <> d.vec_id)
 SELECT count(*) AS queries, round(avg(h), 6) AS recall FROM (SELECT l.query_id, avg(CASE WHEN r.rank <= 50 THEN 1 ELSE 0 END) AS h FROM l LEFT JOIN r ON r.query_id = l.query_id AND r.item_id = l.item_id GROUP BY 1) z""")
 def sub_corpus_recall(t):
-    """A model's recall on a small corpus: the answers and seeded distractors."""
+    """A model's recall on a small corpus: the queries and seeded distractors."""
     queries, corpus = _vectors(t)
-    small = K.random_subset(corpus, "item_id", 300, seed=3).unionByName(corpus.where("item_id < 50")).dropDuplicates(["item_id"])
-    lab = t.embeddings.select("vec_id", "label")
-    labels = queries.join(lab.withColumnRenamed("vec_id", "query_id"), "query_id").select("query_id", "label").join(small.join(lab.withColumnRenamed("vec_id", "item_id"), "item_id").select("item_id", "label"), "label").select("query_id", "item_id")
-    per = E.recall_at_k(D.search(queries, small, 50), labels, 50)
+    small = K.random_subset(corpus, "item_id", 300, seed=3).select("item_id").union(queries.select("query_id")).distinct()
+    small = corpus.join(small, "item_id", "left_semi")
+    per = E.recall_at_k(D.search(queries, small, 50), _same_label(t, queries, small), 50)
     return per.agg(F.count("*").alias("queries"), F.round(F.avg("recall"), 6).alias("recall"))
 
 
@@ -133,22 +142,18 @@ SELECT query_id, item_id, round(score, 9) AS score, CAST(r AS INT) AS rank FROM
 
 def hybrid(t, k=300):
     items, queries = _texts(t)
-    loc = items.select("item_id", (F.col("item_id") % 20).alias("item_location_id"))
-    pool = queries.select("query_id", F.explode(F.array((F.col("query_id") % 20), (F.col("query_id") + 1) % 20)).alias("item_location_id"))
-    asked = S.token_rows(queries, "query_id", "text")
-    sparse_ = S.bm25_scores(S.bm25_index(S.token_rows(items, "item_id", "text"), vocabulary=asked), asked).withColumn("score", F.round("score", 6))
-    corpus = t.embeddings.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
-    vectors = corpus.withColumnRenamed("item_id", "query_id").join(queries.select("query_id"), "query_id", "left_semi")
-    dense_ = D.search(vectors, corpus, corpus.count()).select("query_id", "item_id", "score")
-
-    def tiered(scored, positive):
-        located = scored.withColumn("item_location_id", F.col("item_id") % 20).join(pool, ["query_id", "item_location_id"]).select("query_id", "item_id", F.lit(0).alias("tier"))
-        return K.tiered_top_k(scored, located, k, positive).select("query_id", "item_id", "rank")
-
-    a, b = tiered(sparse_, True), tiered(dense_, False)
-    both = a.select("query_id", "item_id").unionByName(b.select("query_id", "item_id")).distinct()
-    bonus = both.join(loc, "item_id", "left").where("item_id % 20 = query_id % 20").select("query_id", "item_id", F.lit(0.015).alias("bonus"))
-    return U.rrf([a, b], n=k, bonus=bonus)
+    place = (F.col("item_id") % 20).alias("item_location_id")
+    asked = queries.select("query_id", (F.col("query_id") % 20).alias("search_location_id"))
+    pool = t.spark.range(20).select(F.col("id").alias("search_location_id"), F.explode(F.array(F.col("id"), (F.col("id") + 1) % 20)).alias("item_location_id"), F.lit(0).alias("tier"))
+    scored = S.score_all(items, queries)
+    near = scored.select("query_id", "item_id", place).join(asked, "query_id").join(pool, ["search_location_id", "item_location_id"])
+    a = K.tiered_top_k(scored, near.select("query_id", "item_id", "tier"), k, True)
+    corpus = _corpus(t)
+    vectors = corpus.withColumnRenamed("item_id", "query_id").join(asked, "query_id")
+    b = D.search_pools(vectors, corpus.select("item_id", "vector", place), pool, k)
+    lists = [x.select("query_id", "item_id", "rank") for x in (a, b)]
+    bonus = lists[0].unionByName(lists[1]).select("query_id", "item_id").distinct().where("item_id % 20 = query_id % 20").withColumn("bonus", F.lit(0.015))
+    return U.rrf(lists, n=k, bonus=bonus)
 
 
 @query("hybrid_geo", _HYBRID)
@@ -182,8 +187,8 @@ def pipeline_meta(t):
     return R.meta_bonus(rows).select("query_id", "item_id", "rank")
 
 
-@query("geo_pool_retrieval", roles.sql("SELECT query_id, count(*) AS n, min(tier) AS low FROM (SELECT s.query_id, i.item_id, 0 AS tier FROM searches s JOIN items i ON i.item_location_id = s.search_location_id WHERE s.search_location_id < 20) x GROUP BY 1", "ITEMS", "SEARCHES"))
+@query("geo_pool_retrieval", roles.sql("SELECT query_id, count(*) AS n, min(tier) AS low FROM (SELECT s.query_id, i.item_id, 0 AS tier FROM searches s JOIN items i ON i.item_location_id = s.search_location_id ) x GROUP BY 1", "ITEMS", "SEARCHES"))
 def geo_pool_retrieval(t):
-    items, searches = roles.of(t, "ITEMS"), roles.of(t, "SEARCHES").where("search_location_id < 20")
+    items, searches = roles.of(t, "ITEMS"), roles.of(t, "SEARCHES")
     own = searches.select("search_location_id", F.col("search_location_id").alias("item_location_id"), F.lit(0).alias("tier")).distinct()
     return G.pool_rows(searches, own, items).groupBy("query_id").agg(F.count("*").alias("n"), F.min("tier").alias("low"))

@@ -27,6 +27,17 @@ def read(spark: SparkSession, path: str, columns: Sequence[str] | None = None, i
     return df.join(ids.select(key).distinct(), key, "left_semi") if ids is not None else df
 
 
+def spread(df: DataFrame, split_bytes: int = 4 << 20) -> DataFrame:
+    """A table that is too small to give every core a split of a file is dealt out row by row; a larger one stays as it is.
+
+    A file is read in splits, but a split without the middle of a row group has no rows: of a small file one core would do
+    all the work. A table of ``split_bytes`` a core and more is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if (1 << 20) < size < cores * split_bytes else df
+
+
 def coordinates(df: DataFrame, lat: str = "item_latitude", lon: str = "item_longitude") -> DataFrame:
     """With lat and lon as numbers; what is none is null."""
     return df.withColumn("lat", number(lat)).withColumn("lon", number(lon))
