@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.io import spread
 from .chat_format import format_chats
 from .decontaminate import find_benchmark
 from .html_extract import extract_pages
@@ -25,7 +26,7 @@ TEST_KEY = b"a key for tests only"
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def tokenizer_file(name: str) -> str:
