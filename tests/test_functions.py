@@ -1,6 +1,7 @@
 """Scalar functions on small fixtures with known results."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,14 +88,49 @@ KEYS = ("K1", "K1 long", "K2")
 )
 def test_parse_filters(spark, text, want):
     df = spark.createDataFrame([(text,)], "s string")
-    exact = df.select(P.parse_filters_exact(F.col("s"), KEYS).alias("x")).first()["x"]
-    fast = df.select(P.parse_filters("s", KEYS).alias("x")).first()["x"]
-    assert [(p["key"], p["value"]) for p in exact] == want == [(p["key"], p["value"]) for p in fast]
+    got = df.select(P.parse_filters("s", KEYS).alias("x")).first()["x"]
+    assert [(p["key"], p["value"]) for p in got] == want
+
+
+def scan(s, keys, core, values):
+    """Word by word: a key begins wherever it stands and a blank or the end follows."""
+    out, at = [], 0
+    while at < len(s):
+        key = next((k for k in sorted(keys, key=len, reverse=True) if s.startswith(k, at) and (s[at + len(k) :] + " ")[0].isspace()), None)
+        if key is None:
+            if not out:
+                out.append([P.OTHER, ""])
+            out[-1][1] += s[at]
+            at += 1
+            continue
+        if out and out[-1][0] in core and key in values and not out[-1][1].strip():
+            out[-1][1] += key
+        else:
+            out.append([key, ""])
+        at += len(key)
+    return [(k, v.strip()) for k, v in out] if s.strip() else []
+
+
+def test_parse_filters_equals_a_scan(spark):
+    rng = random.Random(3)
+    words = ["Вид услуги", "Тип услуги", "Услуги", "Услуга", "Аренда авто", "Гарантия", "ремонт", "1 год", "x", "\t", "  ", "авто", "Вид"]
+    texts = [rng.choice(["", " "]).join([""] + [rng.choice(words) + rng.choice([" ", " ", ""]) for _ in range(rng.randrange(7))]) for _ in range(1500)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, s string")
+    got = {r.k: [(p["key"], p["value"]) for p in r.x] for r in df.select("k", P.parse_filters("s").alias("x")).collect()}
+    for k, t in enumerate(texts):
+        assert got[k] == scan(t, P.FILTER_KEYS, P.KIND_KEYS + P.TYPE_KEYS, P.VALUES_AFTER_CORE), repr(t)
+
+
+def test_selectivity_of_kinds_and_types(spark):
+    items = spark.createDataFrame([(1, "Вид услуги A Тип услуги X"), (2, "Вид услуги A Тип услуги Y Место оказания дом"), (3, "Вид услуги B"), (4, None)], "item_id int, params string")
+    q = [(1, "Вид услуги A"), (2, "Вид услуги A Вид услуги B"), (3, "Тип услуги X"), (4, "Вид услуги A Вид услуги B Тип услуги Y"), (5, "Вид услуги Z"), (6, "Гарантия"), (7, None)]
+    got = dict(P.selectivity(spark.createDataFrame(q, "query_id int, filters string"), items).collect())
+    assert got == {1: 0.5, 2: 0.75, 3: 0.25, 4: 0.25, 5: 0.0}
 
 
 def test_value_after_core_key(spark):
     df = spark.createDataFrame([("Тип услуги Аренда авто Гарантия 1 год",)], "s string")
-    got = df.select(P.parse_filters_exact(F.col("s")).alias("x")).first()["x"]
+    got = df.select(P.parse_filters("s").alias("x")).first()["x"]
     assert [(p["key"], p["value"]) for p in got] == [("Тип услуги", "Аренда авто"), ("Гарантия", "1 год")]
 
 

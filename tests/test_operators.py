@@ -239,6 +239,24 @@ def test_answer_file(spark, tmp_path):
     assert V.check_file(spark, f"file://{tmp_path}/b.csv") == [("FAIL", "not UTF-8")]
 
 
+def test_bytes_behind_the_first_megabyte_count(spark, tmp_path):
+    (tmp_path / "c.csv").write_bytes(b"query_id,answer\n" + b"q,a\n" * 400_000 + b"\xff\n")
+    (tmp_path / "d.csv").write_bytes(b"query_id,answer\r\n" + b"q,a\n" * 400_000)
+    assert V.check_file(spark, f"file://{tmp_path}/c.csv") == [("FAIL", "not UTF-8")] and V.check_file(spark, f"file://{tmp_path}/d.csv") == []
+
+
+def test_threshold_recall_counts_ties(spark):
+    cands = spark.createDataFrame([("q", f"i{k}", 1.0 if k < 4 else 0.5, 1) for k in range(6)], LIST)
+    labels = spark.createDataFrame([("q", f"i{k}") for k in range(6)], "query_id string, item_id string")
+    assert E.threshold_recall(cands, labels, 2).first().recall == pytest.approx(4 / 6)
+
+
+def test_long_city_names(spark):
+    names = spark.createDataFrame([("новый город на большой реке",), ("казань",)], "name string")
+    q = spark.createDataFrame([(1, "казань новый город на большой реке")], "query_id int, search_query string")
+    assert dict(G.named_city(q, G.city_forms(names)).collect()) == {1: "новый город на большой реке"}
+
+
 def test_invariants(spark):
     V.require_full_lists(ranked(spark, {"q": ["a", "b"]}), 2)
     with pytest.raises(E.InvalidAnswer):

@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,52 +21,41 @@ FILTER_KEYS = (
 KIND_KEYS, TYPE_KEYS = ("Вид услуги",), ("Тип услуги", "Тип услуги автосервиса")
 VALUES_AFTER_CORE = ("Услуги", "Услуга", "Аренда авто")
 IGNORED = ("", "Другое")
+VALUE_STOPS = ("Место оказания", "Вид услуги", "Тип услуги", "Тип стоимости")
 OTHER = "<other>"
 PAIRS = "array<struct<key: string, value: string>>"
 _MARK, _SEP = "\u0001", "\u0002"
 
 
-def parse_filters_exact(c: Column, keys: Sequence[str] = FILTER_KEYS, core: Sequence[str] = KIND_KEYS + TYPE_KEYS, values: Sequence[str] = VALUES_AFTER_CORE) -> Column:
-    """[(key, value)] with the rule that a key-like word right after a core key is its value (Arrow UDF)."""
-    pattern = re.compile("(" + "|".join(map(re.escape, sorted(keys, key=len, reverse=True))) + r")(?=\s|$)")
-    core, values = frozenset(core), frozenset(values)
+def strip(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
-    def one(s: str | None) -> list[tuple[str, str]]:
-        if not s or not s.strip():
-            return []
-        marks: list[tuple[str, int, int]] = []
-        for m in pattern.finditer(s):
-            if marks and marks[-1][0] in core and m[1] in values and not s[marks[-1][2] : m.start()].strip():
-                continue
-            marks.append((m[1], m.start(), m.end()))
-        if not marks:
-            return [(OTHER, s.strip())]
-        head = [(OTHER, s[: marks[0][1]].strip())] if marks[0][1] else []
-        ends = [m[1] for m in marks[1:]] + [len(s)]
-        return head + [(key, s[a:end].strip()) for (key, _, a), end in zip(marks, ends, strict=True)]
 
-    @F.pandas_udf(PAIRS)
-    def parse(column: pd.Series) -> pd.Series:
-        return column.map(lambda s: [{"key": k, "value": v} for k, v in one(s)])
+def parse_filters(c: str | Column, keys: Sequence[str] = FILTER_KEYS, core: Sequence[str] = KIND_KEYS + TYPE_KEYS, values: Sequence[str] = VALUES_AFTER_CORE) -> Column:
+    """[(key, value)]: the longest key counts, white space or the end follows it; text before the first is of key ``OTHER``.
 
-    return parse(c)
+    A key of ``values`` right after a key of ``core`` is that one's value. In the JVM: the keys are marked and the text is
+    split at the marks; then each part joins the part before it, if that is a core key without a value yet, or stands alone.
+    """
+    pattern = "(" + "|".join(re.escape(k).replace(r"\ ", " ").replace(r"\-", "-") for k in sorted(keys, key=len, reverse=True)) + r")(?=(?U:\s)|$)"
+    marked = F.regexp_replace(F.translate(text(c), _MARK + _SEP, "  "), pattern, f"{_MARK}$1{_SEP}")
+    parts = F.split(marked, _MARK)
+    none = F.array().cast(PAIRS)
 
+    def pair(key: Column, value: Column) -> Column:
+        return F.struct(key.alias("key"), value.alias("value"))
 
-def parse_filters(c: str | Column, keys: Sequence[str] = FILTER_KEYS) -> Column:
-    """[(key, value)] inside the JVM: marks are put around the keys, and the text is split at them.
+    def joined(found: Column, part: Column) -> Column:
+        key = F.substring_index(part, _SEP, 1)
+        value = F.substring_index(part, _SEP, -1)
+        last = F.get(found, F.size(found) - 1)
+        is_value = F.coalesce(last["key"].isin(*core) & key.isin(*values) & (strip(last["value"]) == ""), F.lit(False))
+        grown = F.concat(F.slice(found, F.lit(1), F.size(found) - 1), F.array(pair(last["key"], F.concat(last["value"], key, value))))
+        return F.when(is_value, grown).otherwise(F.concat(found, F.array(pair(key, value))))
 
-    Unlike the exact parser, a key-like word after a core key is a key.
-    """
-    pattern = "(" + "|".join(re.escape(k).replace(r"\ ", " ").replace(r"\-", "-") for k in sorted(keys, key=len, reverse=True)) + r")(?=\s|$)"
-    marked = F.regexp_replace(text(c), pattern, f"{_MARK}$1{_SEP}")
-    parts = F.split(marked, _MARK)
-    pairs = F.transform(
-        parts,
-        lambda p: F.when(F.contains(p, F.lit(_SEP)), F.struct(F.substring_index(p, _SEP, 1).alias("key"), F.trim(F.substring_index(p, _SEP, -1)).alias("value"))).otherwise(
-            F.struct(F.lit(OTHER).alias("key"), F.trim(p).alias("value"))
-        ),
-    )
-    return F.filter(pairs, lambda p: (p["key"] != OTHER) | (p["value"] != ""))
+    keyed = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), none, joined)
+    head = F.when((F.get(parts, F.lit(0)) != "") & ((F.size(parts) > 1) | (strip(text(c)) != "")), F.array(pair(F.lit(OTHER), F.get(parts, F.lit(0))))).otherwise(none)
+    return F.transform(F.concat(head, keyed), lambda p: pair(p["key"], strip(p["value"])))
 
 
 def core_filters(pairs: Column, kind: Sequence[str] = KIND_KEYS, types: Sequence[str] = TYPE_KEYS, ignored: Sequence[str] = IGNORED) -> Column:
@@ -94,16 +82,33 @@ def filter_match(cands: DataFrame, queries: DataFrame, items: DataFrame, **keys:
     return both.withColumn("m_all", any_ & all_).drop("_f", "_p")
 
 
-def selectivity(queries: DataFrame, items: DataFrame) -> DataFrame:
-    """query_id, share of ``items`` (item_id, params) that pass the query's core filters.
+def stated(c: str | Column, key: str, stops: Sequence[str]) -> Column:
+    """The value of ``key`` in a parameter text: what follows it up to one of ``stops`` or the end; '' without the key."""
+    ends = "|".join(" " + re.escape(x).replace(r"\ ", " ") for x in stops if x != key)
+    return F.regexp_extract(text(c), f"{key} (.*?)(?={ends}|$)", 1)
+
+
+def selectivity(queries: DataFrame, items: DataFrame, kind: str = KIND_KEYS[0], of_type: str = TYPE_KEYS[0], stops: Sequence[str] = VALUE_STOPS) -> DataFrame:
+    """query_id, share of ``items`` (item_id, params) that pass the query's core filters; queries without such are left out.
 
-    Each distinct asked text is tested once against each item, and counts are shares of the corpus.
+    An item passes if it states one of the asked kinds, where kinds are asked, and one of the asked types, where types
+    are. The items are counted by what they state, alone and together, and joined on equal values.
     """
-    asked = queries.select("query_id", F.explode(F.flatten(F.map_values(core_filters(parse_filters("filters"))))).alias("value"))
-    values = asked.select("value").distinct()
-    n = items.count()
-    found = items.select(text("params").alias("params")).join(F.broadcast(values), F.contains(F.col("params"), F.col("value"))).groupBy("value").agg(F.count("*").alias("hits"))
-    return asked.join(found, "value", "left").groupBy("query_id").agg((F.max(F.coalesce("hits", F.lit(0))) / F.lit(max(n, 1))).alias("share"))
+    pairs = parse_filters("filters")
+
+    def asked(key: str) -> Column:
+        own = F.filter(pairs, lambda p: (p["key"] == key) & ~p["value"].isin(*IGNORED))
+        return F.array_distinct(F.transform(own, lambda p: p["value"]))
+
+    rows = queries.select("query_id", asked(kind).alias("k"), asked(of_type).alias("t")).where("size(k) > 0 OR size(t) > 0")
+    one = F.array(F.lit(None).cast("string"))
+    rows = rows.select("query_id", F.explode(F.when(F.size("k") > 0, F.col("k")).otherwise(one)).alias("k"), "t")
+    rows = rows.select("query_id", "k", F.explode(F.when(F.size("t") > 0, F.col("t")).otherwise(one)).alias("t"))
+    cells = items.select(stated("params", kind, stops).alias("k"), stated("params", of_type, stops).alias("t")).cube("k", "t").agg(F.count("*").alias("n"))
+    total = cells.where("k IS NULL AND t IS NULL").select(F.col("n").alias("_all"))
+    wanted = rows.join(cells.select(F.col("k").alias("_k"), F.col("t").alias("_t"), "n"), F.col("k").eqNullSafe(F.col("_k")) & F.col("t").eqNullSafe(F.col("_t")), "left")
+    kept = wanted.groupBy("query_id").agg(F.sum(F.coalesce("n", F.lit(0))).alias("kept"))
+    return kept.crossJoin(F.broadcast(total)).select("query_id", (F.col("kept") / F.col("_all")).alias("share"))  # one row
 
 
 def audit(chosen: DataFrame, minimum: int = 1500) -> DataFrame:

@@ -11,13 +11,17 @@ from ..functions.text import has_digit, has_filter, has_latin, prefix_tokens, to
 
 
 def popularity(log: DataFrame, by: Sequence[str] = (), k: int | None = None) -> DataFrame:
-    """Choices per item (and per key of ``by``), with rank by count, ties by item id; the first ``k``."""
+    """Choices per item (and per key of ``by``), with rank by count, ties by item id; the first ``k``.
+
+    Without ``by`` a ``k`` is needed: only a head can be ranked without one task for all items.
+    """
+    if not by and k is None:
+        raise ValueError("give k, or keys to rank by")
     n = log.groupBy(*by, "item_id").agg(F.count("*").alias("n"))
     if by:
         ranked = n.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "item_id")))
         return ranked.where(F.col("rank") <= k) if k else ranked
-    # Over the whole log only a head can be ranked without one task for all items.
-    best = n.orderBy(F.desc("n"), "item_id").limit(k or 1000)
+    best = n.orderBy(F.desc("n"), "item_id").limit(k)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "item_id")))
 
 

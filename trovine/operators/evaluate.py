@@ -52,7 +52,8 @@ def threshold_recall(scored: DataFrame, labels: DataFrame, k: int = 50) -> DataF
     """Recall by the k-th best score: an item counts if it is not below it; an old rank breaks ties by 1e-12 a place."""
     rows = scored.withColumn("_s", F.col("score") - F.col("rank") * F.lit(1e-12))
     ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("_s"), "rank")))
-    return recall_at_k(ranked.where(F.col("_r") <= k), labels, k, strict=False)
+    last = F.min(F.when(F.col("_r") <= k, F.col("_s"))).over(Window.partitionBy("query_id"))
+    return recall_at_k(ranked.withColumn("_last", last).where(F.col("_s") >= F.col("_last")), labels, k, strict=False)
 
 
 def oracle_ceiling(lists: Sequence[DataFrame], labels: DataFrame, k: int) -> DataFrame:

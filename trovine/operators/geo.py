@@ -19,6 +19,7 @@ COUNTRY = 621540
 # Endings of inflected city names, and everyday names of cities.
 ENDINGS = ("", "а", "е", "у", "ом", "ым", "ой", "и", "ы", "ах", "ам", "ского", "ском", "ской", "ске")
 ALIASES = {"спб": "санкт-петербург", "питер": "санкт-петербург", "мск": "москва", "екб": "екатеринбург", "нск": "новосибирск", "нижний": "нижний новгород"}
+# Where an address ends, and words of regions and of streets; the names found depend on them.
 PLACE = r"Место оказания услуг (.+?)(?: Тип | Вид | Как вы | Работаете | Опыт | Где вы | Кто | График |  Время | Специальность | Гарантия | Начальная | Куда | Услуга | Стоимость |$)"
 REGION_WORDS = r"(?iu)(область|край|республик|округ|район|р-н|ао$|автономн)"
 STREET_WORDS = (
@@ -34,8 +35,12 @@ def regions(searches: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def centroids(items: DataFrame) -> DataFrame:
-    """Exact median coordinates and number of distinct items per location (item_id, item_location_id, lat, lon)."""
-    return items.dropDuplicates(["item_id"]).groupBy("item_location_id").agg(F.median("lat").alias("clat"), F.median("lon").alias("clon"), F.count("*").alias("n_items"))
+    """Exact median coordinates and number of distinct items per location (item_id, item_location_id, lat, lon).
+
+    Of an item with several rows that with the least location, latitude and longitude counts.
+    """
+    least = items.groupBy("item_id").agg(F.min(F.struct("item_location_id", "lat", "lon")).alias("x")).select("item_id", "x.*")
+    return least.groupBy("item_location_id").agg(F.median("lat").alias("clat"), F.median("lon").alias("clon"), F.count("*").alias("n_items"))
 
 
 def pair_share(log: DataFrame) -> DataFrame:
@@ -206,11 +211,12 @@ def city_forms(names: DataFrame, aliases: dict[str, str] = ALIASES, stop: tuple[
 def named_city(queries: DataFrame, forms: DataFrame, bad: DataFrame | None = None) -> DataFrame:
     """(query_id, name): the city a query names: a name of several words first (the longest), else the earliest word.
 
-    The query's word runs of up to four words are joined with the forms; nothing is compared pairwise.
+    The query's runs of as many words as the longest form has are joined with the forms; nothing is compared pairwise.
     """
     words = F.regexp_extract_all(F.translate(F.lower(text("search_query")), "ё", "е"), F.lit(r"[а-яa-z\-]+"), F.lit(0))
     rows = queries.select("query_id", words.alias("w"))
-    runs = [rows.select("query_id", F.posexplode(word_runs(F.col("w"), n)).alias("at", "form")) for n in (1, 2, 3, 4)]
+    longest = forms.agg(F.max(F.size(F.split("form", " ")))).first()[0] or 1
+    runs = [rows.select("query_id", F.posexplode(word_runs(F.col("w"), n)).alias("at", "form")) for n in range(1, longest + 1)]
     found = reduce(DataFrame.unionByName, runs).join(forms, "form")
     order = Window.partitionBy("query_id").orderBy(F.desc("multi"), F.when(F.col("multi"), -F.length("form")).otherwise(F.lit(0)), "at", "form")
     best = found.withColumn("_r", F.row_number().over(order)).where("_r = 1").select("query_id", "name")

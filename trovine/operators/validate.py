@@ -44,19 +44,18 @@ def check_answer(answer: DataFrame, queries: DataFrame, items: DataFrame | None
 
 
 def check_file(spark, path: str) -> list[tuple[str, str]]:
-    """What the bytes of a single CSV file show: (severity, rule) for a byte-order mark, bad UTF-8, a wrong header."""
-    data = bytes(spark.read.format("binaryFile").load(path).select(F.expr("substring(content, 1, 1048576)").alias("c")).first()["c"])
-    out = []
-    if data.startswith(b"\xef\xbb\xbf"):
-        out.append(("FAIL", "byte-order mark"))
-        data = data[3:]
-    try:
-        head = data.decode("utf-8") if len(data) < 1 << 20 else data[: data.rfind(b"\n")].decode("utf-8")
-    except UnicodeDecodeError:
+    """What the bytes of a single CSV file show: (severity, rule) for a byte-order mark, bad UTF-8, a wrong header.
+
+    The whole file is looked at, where it is read; only the findings come to the driver.
+    """
+    bom = "substring(content, 1, 3) = X'EFBBBF'"
+    body = f"if({bom}, substring(content, 4), content)"
+    header = f"rtrim('\r', substring_index(CAST(substring({body}, 1, 1000) AS STRING), '\n', 1))"
+    found = spark.read.format("binaryFile").load(path).selectExpr(f"{bom} AS bom", "is_valid_utf8(CAST(content AS STRING)) AS utf8", f"{header} AS header").first()
+    out = [("FAIL", "byte-order mark")] if found.bom else []
+    if not found.utf8:
         return [*out, ("FAIL", "not UTF-8")]
-    if head.split("\n", 1)[0].rstrip("\r") != "query_id,answer":
-        out.append(("FAIL", "header"))
-    return out
+    return out if found.header == "query_id,answer" else [*out, ("FAIL", "header")]
 
 
 def require_full_lists(cands: DataFrame, n: int) -> None:

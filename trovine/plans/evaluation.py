@@ -38,9 +38,14 @@ def recall_curve(t):
     return out.select("queries", *(F.round(c, 6).alias(c) for c in out.columns[1:]))
 
 
-@query("threshold_recall", _sql(f"SELECT query_id, round(recall, 6) AS recall FROM ({_R50}) x", "LIST_A", "LABELS"))
+_LAST = "SELECT a.*, score - (rank - rank % 4) * 0.000000000001::DOUBLE AS s, min(CASE WHEN rank <= 50 THEN score - (rank - rank % 4) * 0.000000000001::DOUBLE END) OVER (PARTITION BY query_id) AS last FROM list_a a"
+
+
+@query("threshold_recall", _sql(f"SELECT l.query_id, round(avg(CASE WHEN x.s >= x.last THEN 1 ELSE 0 END), 6) AS recall FROM labels_ l LEFT JOIN ({_LAST}) x ON x.query_id = l.query_id AND x.item_id = l.item_id GROUP BY 1", "LIST_A", "LABELS"))
 def threshold_recall(t):
+    """Old ranks tie by fours, so that more than 50 items may reach the 50th best score."""
     a, _, labels = _ab(t)
+    a = a.withColumn("rank", F.col("rank") - F.col("rank") % 4)
     return E.threshold_recall(a, labels, 50).withColumn("recall", F.round("recall", 6))
 
 
@@ -123,10 +128,14 @@ def query_flags(t):
     return out.select("query_id", "text_in_train", "has_filter", "is_region")
 
 
-@query("sampling_schemes")
+_DRAWN = "SELECT '{0}' AS scheme, count(*) AS drawn, round(avg(log10(n)), 6) AS log_freq FROM (SELECT DISTINCT search_query, {1} AS k FROM log ORDER BY md5('7|' || {1}), {1} LIMIT 200) x JOIN f USING (search_query)"
+_SCHEMES = ", f AS (SELECT search_query, count(*) AS n FROM log GROUP BY 1) " + " UNION ALL ".join(_DRAWN.format(s, k) for s, k in (("text", "search_query"), ("query", "query_key"), ("row", "row_id")))
+
+
+@query("sampling_schemes", roles.sql(_SCHEMES, "LOG").replace(") , f AS", "), f AS"))
 def sampling_schemes(t):
     log = roles.of(t, "LOG").withColumn("text_norm", F.col("search_query"))
-    return E.sampling_schemes(log, 200)
+    return E.sampling_schemes(log, 200).withColumn("log_freq", F.round("log_freq", 6))
 
 
 @query("leak_check", "SELECT s, n_pool, n_val, round(a, 6) AS x_pool, round(b, 6) AS x_val, round(a - b, 6) AS x_diff FROM (SELECT l_linenumber % 2 AS s, count(*) FILTER (l_suppkey % 2 = 0) AS n_pool, count(*) FILTER (l_suppkey % 2 = 1) AS n_val, avg(l_quantity) FILTER (l_suppkey % 2 = 0) AS a, avg(l_quantity) FILTER (l_suppkey % 2 = 1) AS b FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) x")

@@ -49,7 +49,7 @@ def crossfit(t):
 
 @query("stacker")
 def stacker(t):
-    rows = ml.stack_features(roles.of(t, "LIST_A").where("rank <= 100"), roles.of(t, "LIST_B").where("rank <= 100"))
+    rows = ml.stack_features(roles.of(t, "LIST_A"), roles.of(t, "LIST_B"))
     rows = rows.join(roles.of(t, "LABELS").withColumn("y", F.lit(1)), ["query_id", "item_id"], "left").withColumn("y", F.coalesce("y", F.lit(0)))
     return ml.cross_fit(rows, lambda: ml.PairwiseRanker(["rr1", "s1", "in1", "rr2", "s2", "in2"]), 2)
 

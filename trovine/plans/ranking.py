@@ -19,12 +19,12 @@ def _lists(t, *names):
     return [roles.of(t, n) for n in names]
 
 
-def _window(name, expr, sql_expr, digits=6, cond="rank <= 100"):
+def _window(name, expr, sql_expr, digits=6):
     """One window column over list a, rounded."""
 
-    @query(name, roles.sql(f"SELECT query_id, item_id, round({sql_expr}, {digits}) AS value FROM (SELECT a.*, CASE WHEN item_id % 9 = 0 THEN NULL ELSE score END AS s FROM list_a a WHERE {cond}) a", A))
+    @query(name, roles.sql(f"SELECT query_id, item_id, round({sql_expr}, {digits}) AS value FROM (SELECT a.*, CASE WHEN item_id % 9 = 0 THEN NULL ELSE score END AS s FROM list_a a) a", A))
     def run(t):
-        rows = roles.of(t, A).where(cond).withColumn("s", F.when(F.col("item_id") % 9 != 0, F.col("score")))
+        rows = roles.of(t, A).withColumn("s", F.when(F.col("item_id") % 9 != 0, F.col("score")))
         return rows.select("query_id", "item_id", F.round(expr(), digits).alias("value"))
 
     return run
@@ -41,9 +41,9 @@ _window("minmax_norm", lambda: W.min_max("s"), f"CASE WHEN max(s) {_Q} > min(s)
 _window("z_norm", lambda: W.z_norm("s"), f"CASE WHEN stddev_pop(s) {_Q} > 0 THEN (s - avg(s) {_Q}) / stddev_pop(s) {_Q} ELSE 0 END", 5)
 
 
-@query("location_share", roles.sql("SELECT query_id, item_id, round(count(*) OVER (PARTITION BY query_id, item_id % 20) / count(*) OVER (PARTITION BY query_id)::DOUBLE, 6) AS value FROM list_a WHERE rank <= 100", A))
+@query("location_share", roles.sql("SELECT query_id, item_id, round(count(*) OVER (PARTITION BY query_id, item_id % 20) / count(*) OVER (PARTITION BY query_id)::DOUBLE, 6) AS value FROM list_a", A))
 def location_share(t):
-    rows = roles.of(t, A).where("rank <= 100").withColumn("item_location_id", F.col("item_id") % 20)
+    rows = roles.of(t, A).withColumn("item_location_id", F.col("item_id") % 20)
     return rows.select("query_id", "item_id", F.round(W.location_share(), 6).alias("value"))
 
 
@@ -131,19 +131,19 @@ def rrf_bonus(t):
 
 _FUSE = """SELECT query_id, item_id, round(score, 6) AS score, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, item_id) AS r FROM (
 SELECT query_id, item_id, 0.5::DOUBLE * coalesce(sa, min(sa) OVER (PARTITION BY query_id), 0) + 0.5::DOUBLE * coalesce(sb, min(sb) OVER (PARTITION BY query_id), 0) AS score FROM (
-SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.item_id, b.item_id) AS item_id, sa, sb FROM (SELECT query_id, item_id, {0} AS sa FROM list_a WHERE rank <= 100) a
-FULL JOIN (SELECT query_id, item_id, {0} AS sb FROM list_b WHERE rank <= 100) b ON a.query_id = b.query_id AND a.item_id = b.item_id) u) y) x WHERE r <= 300"""
+SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.item_id, b.item_id) AS item_id, sa, sb FROM (SELECT query_id, item_id, {0} AS sa FROM list_a) a
+FULL JOIN (SELECT query_id, item_id, {0} AS sb FROM list_b) b ON a.query_id = b.query_id AND a.item_id = b.item_id) u) y) x WHERE r <= 300"""
 
 
 @query("fuse_weighted_minmax", roles.sql(_FUSE.format(f"CASE WHEN max(score) {_Q} > min(score) {_Q} THEN (score - min(score) {_Q}) / (max(score) {_Q} - min(score) {_Q}) ELSE 1 END"), A, B))
 def fuse_minmax(t):
-    a, b = (x.where("rank <= 100") for x in _lists(t, A, B))
+    a, b = _lists(t, A, B)
     return U.weighted(a, b).withColumn("score", F.round("score", 6))
 
 
 @query("fuse_weighted_z", roles.sql(_FUSE.format(f"CASE WHEN stddev_pop(score) {_Q} > 0 THEN (score - avg(score) {_Q}) / stddev_pop(score) {_Q} ELSE 0 END").replace("round(score, 6) AS score", "round(score, 4) AS score").replace("round(score, 12)", "round(score, 8)"), A, B))
 def fuse_z(t):
-    a, b = (x.where("rank <= 100") for x in _lists(t, A, B))
+    a, b = _lists(t, A, B)
     return U.weighted(a, b, norm="z").withColumn("score", F.round("score", 4))
 
 
@@ -152,9 +152,9 @@ def interleave(t):
     return U.interleave(*_lists(t, A, B)).select("query_id", "item_id", "rank")
 
 
-@query("late_fusion", roles.sql("SELECT query_id, item_id, round(score, 9) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, r1 NULLS LAST, r2 NULLS LAST, item_id) AS INT) AS rank FROM (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.item_id, b.item_id) AS item_id, a.rank AS r1, b.rank AS r2, coalesce(1 / (60.0::DOUBLE + a.rank), 0) + coalesce(0.5::DOUBLE / (60.0::DOUBLE + b.rank), 0) AS score FROM (SELECT * FROM list_a WHERE rank <= 100) a FULL JOIN (SELECT * FROM list_b WHERE rank <= 100) b ON a.query_id = b.query_id AND a.item_id = b.item_id) x", A, B))
+@query("late_fusion", roles.sql("SELECT query_id, item_id, round(score, 9) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, r1 NULLS LAST, r2 NULLS LAST, item_id) AS INT) AS rank FROM (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.item_id, b.item_id) AS item_id, a.rank AS r1, b.rank AS r2, coalesce(1 / (60.0::DOUBLE + a.rank), 0) + coalesce(0.5::DOUBLE / (60.0::DOUBLE + b.rank), 0) AS score FROM list_a a FULL JOIN list_b b ON a.query_id = b.query_id AND a.item_id = b.item_id) x", A, B))
 def late_fusion(t):
-    a, b = (x.where("rank <= 100") for x in _lists(t, A, B))
+    a, b = _lists(t, A, B)
     return U.late(a, b, 0.5).withColumn("score", F.round("score", 9))
 
 
@@ -227,10 +227,11 @@ def quality_features(t):
 _PCT = "(rank() OVER (PARTITION BY query_id ORDER BY {0}) + (count(*) OVER (PARTITION BY query_id, {0}) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY query_id)"
 
 
-@query("quality_rerank", roles.sql(f"SELECT query_id, item_id, round(s, 9) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, rank, item_id) AS INT) AS rank FROM (SELECT query_id, item_id, rank, score / 1000 + 0.0025::DOUBLE * {_PCT.format('ln(1 + reviews)')} + 0.0019::DOUBLE * {_PCT.format('CASE WHEN rating > 0 THEN rating ELSE 0 END')} AS s FROM list_a JOIN items USING (item_id) WHERE rank <= 100) x", A, "ITEMS"))
+@query("quality_rerank", roles.sql(f"SELECT query_id, item_id, round(s + 0.000000000001::DOUBLE, 9) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, rank, item_id) AS INT) AS rank FROM (SELECT query_id, item_id, rank, score / 1000 + 0.0025::DOUBLE * {_PCT.format('ln(1 + reviews)')} + 0.0019::DOUBLE * {_PCT.format('CASE WHEN rating > 0 THEN rating ELSE 0 END')} AS s FROM list_a JOIN items USING (item_id)) x", A, "ITEMS"))
 def quality_rerank(t):
-    a = roles.of(t, A).where("rank <= 100").withColumn("score", F.col("score") / 1000)
-    return R.quality_bonus(a, R.item_quality(roles.of(t, "ITEMS"))).withColumn("score", F.round("score", 9))
+    a = roles.of(t, A).withColumn("score", F.col("score") / 1000)
+    # A hair above halves, so that both engines round alike.
+    return R.quality_bonus(a, R.item_quality(roles.of(t, "ITEMS"))).withColumn("score", F.round(F.col("score") + 1e-12, 9))
 
 
 #: Class probabilities from counts of the log, by query text; a supplier's text is that of the part with its key.
@@ -252,13 +253,13 @@ _META = f"""SELECT query_id, item_id, round(s, 9) AS score, CAST(row_number() OV
 SELECT a.query_id, a.item_id, a.rank, a.score / 1000 + 0.003::DOUBLE * CASE WHEN a.item_id % 3 = 0 THEN 1 ELSE 0 END + 0.0015::DOUBLE * CASE WHEN a.item_id % 5 = 0 THEN 1 ELSE 0 END + 0.007::DOUBLE * coalesce(c.p, 0) + 0.002::DOUBLE * coalesce(k / n::DOUBLE, 0) AS s
 FROM list_a a JOIN items i ON a.item_id = i.item_id LEFT JOIN ({_CLASSES}) c ON c.query_id = a.query_id AND c.class = i.class
 LEFT JOIN (SELECT query_id, class, count(*) AS k FROM list_a JOIN items USING (item_id) WHERE rank <= 20 GROUP BY 1, 2) h ON h.query_id = a.query_id AND h.class = i.class
-LEFT JOIN (SELECT query_id, count(*) AS n FROM list_a WHERE rank <= 20 GROUP BY 1) z ON z.query_id = a.query_id WHERE a.rank <= 100) x"""
+LEFT JOIN (SELECT query_id, count(*) AS n FROM list_a WHERE rank <= 20 GROUP BY 1) z ON z.query_id = a.query_id) x"""
 
 
 @query("meta_bonus", roles.sql(_META, A, "ITEMS"))
 def meta_bonus(t):
     items = roles.of(t, "ITEMS")
-    a = roles.of(t, A).where("rank <= 100").withColumn("score", F.col("score") / 1000)
+    a = roles.of(t, A).withColumn("score", F.col("score") / 1000)
     rows = R.prf(a, items, 20).withColumn("m_vid", F.col("item_id") % 3 == 0).withColumn("m_tip", F.col("item_id") % 5 == 0)
     return R.meta_bonus(ml.attach_classes(rows, items, _classes(t))).withColumn("score", F.round("score", 9))
 
@@ -270,13 +271,13 @@ def pool_weights(t):
     return R.pool_weights(pool, target).withColumn("weight", F.round("weight", 6))
 
 
-def feature_inputs(t, top=100):
+def feature_inputs(t):
     """Candidates of list a with all sources, and the tables that the features need."""
     items = roles.of(t, "ITEMS")
     log = roles.of(t, "LOG")
     a, b, c = _lists(t, A, B, C)
     key = ["query_id", "item_id"]
-    cands = a.where(f"rank <= {top}").join(b.select(*key, F.col("score").alias("bm25"), F.col("rank").alias("bm25_grank")), key, "left")
+    cands = a.join(b.select(*key, F.col("score").alias("bm25"), F.col("rank").alias("bm25_grank")), key, "left")
     cands = cands.join(c.select(*key, F.col("score").alias("ft_cos"), F.col("rank").alias("ft_cos_grank")), key, "left")
     cands = cands.select(
         *key, "score", "rank",
@@ -324,7 +325,7 @@ def _features_sql() -> str:
     coalesce(b.score, 0) AS bm25, coalesce(b.rank, 9999) AS bm25_grank, a.item_id % 101 / 101.0::DOUBLE AS cos, a.item_id % 101 + 1 AS cos_grank, coalesce(c.score, 0) AS ft_cos, coalesce(c.rank, 9999) AS ft_cos_grank, coalesce(c.rank, 101) AS ft_rank,
     CASE WHEN a.item_id % 3 = 0 THEN 1 ELSE 0 END AS m_vid, CASE WHEN a.item_id % 5 = 0 THEN 1 ELSE 0 END AS m_tip, CASE WHEN coalesce(i.price, -1) > 1 THEN ln(1 + i.price) END AS log_price,
     p.p_name AS search_query, CASE WHEN p.p_size % 2 = 0 THEN p.p_type END AS filters, CAST(p.p_partkey % 25 AS INT) AS sl, p.p_size % 3 = 0 AS delivery, p.p_size % 5 = 0 AS text_in_train, p.p_partkey % 25 >= 20 AS is_region, p.p_partkey % 25 = 24 AS is_country
-    FROM list_a a JOIN items i ON i.item_id = a.item_id JOIN part p ON p.p_partkey = a.query_id LEFT JOIN list_b b ON b.query_id = a.query_id AND b.item_id = a.item_id LEFT JOIN list_c c ON c.query_id = a.query_id AND c.item_id = a.item_id WHERE a.rank <= 100"""
+    FROM list_a a JOIN items i ON i.item_id = a.item_id JOIN part p ON p.p_partkey = a.query_id LEFT JOIN list_b b ON b.query_id = a.query_id AND b.item_id = a.item_id LEFT JOIN list_c c ON c.query_id = a.query_id AND c.item_id = a.item_id"""
     wide = f"""SELECT x.*, coalesce(s.share, 0) AS loc_share, k.clat, k.clon, coalesce(y.p, 0) AS p_mc, y.class_rank, coalesce(max(y.p) OVER (PARTITION BY x.query_id), 0) AS p_seen, coalesce(t.p_top, 0) AS p_top,
     sum(CASE WHEN rank <= 20 THEN 1 ELSE 0 END) OVER (PARTITION BY x.query_id, x.class) / CAST(sum(CASE WHEN rank <= 20 THEN 1 ELSE 0 END) OVER (PARTITION BY x.query_id) AS DOUBLE) AS prf20,
     sum(CASE WHEN rank <= 50 THEN 1 ELSE 0 END) OVER (PARTITION BY x.query_id, x.class) / CAST(sum(CASE WHEN rank <= 50 THEN 1 ELSE 0 END) OVER (PARTITION BY x.query_id) AS DOUBLE) AS prf50
@@ -340,9 +341,9 @@ def features_59(t):
     return out.select("query_id", "item_id", "rank", *(F.round(F.col(f).cast("double") + 1e-10, 8).alias(f) for f in R.FEATURES))
 
 
-@query("ensemble_z", roles.sql(f"SELECT query_id, item_id, round((coalesce((score - avg(score) {_Q}) / (stddev_samp(score) {_Q} + 0.000000001::DOUBLE), 0) + coalesce((m - avg(m) {_Q}) / (stddev_samp(m) {_Q} + 0.000000001::DOUBLE), 0)) / 2, 5) AS pred FROM (SELECT *, CAST(item_id % 13 AS DOUBLE) AS m FROM list_a WHERE rank <= 100) x", A))
+@query("ensemble_z", roles.sql(f"SELECT query_id, item_id, round((coalesce((score - avg(score) {_Q}) / (stddev_samp(score) {_Q} + 0.000000001::DOUBLE), 0) + coalesce((m - avg(m) {_Q}) / (stddev_samp(m) {_Q} + 0.000000001::DOUBLE), 0)) / 2, 5) AS pred FROM (SELECT *, CAST(item_id % 13 AS DOUBLE) AS m FROM list_a) x", A))
 def ensemble_z(t):
-    rows = roles.of(t, A).where("rank <= 100").withColumn("m", (F.col("item_id") % 13).cast("double"))
+    rows = roles.of(t, A).withColumn("m", (F.col("item_id") % 13).cast("double"))
     return ml.ensemble(rows, ["score", "m"]).withColumn("pred", F.round("pred", 5))
 
 

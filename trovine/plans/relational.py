@@ -131,7 +131,7 @@ def label_sets(t):
     return A.label_sets(roles.of(t, "LABELS"))
 
 
-@query("query_profile", "SELECT count(*) AS n, round(avg(CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END), 6) AS even, 2.0::DOUBLE AS words FROM part")
+@query("query_profile", "SELECT count(*) AS n, round(avg(CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END), 6) AS even, round(avg(len(string_split(p_name, ' '))), 6) AS words FROM part")
 def query_profile(t):
     out = A.profile(t.part.select((F.col("p_size") % 2 == 0).alias("even"), F.col("p_name").alias("search_query")), ["even"])
     return out.select("n", F.round("even", 6).alias("even"), F.round("words", 6).alias("words"))
@@ -148,9 +148,18 @@ def win_rate(t):
     return A.win_rate(t.lineitem, "l_discount", "l_tax", "l_suppkey").select("queries", F.round("win_rate", 6).alias("win_rate"))
 
 
-@query("baseline_ladder")
+_LADDER = """, h AS (SELECT *, CAST('0x' || md5('42|' || query_key)[1:6] AS BIGINT) % 10 = 0 AS out_ FROM log), fit AS (SELECT * FROM h WHERE NOT out_),
+e AS (SELECT item_id FROM fit GROUP BY 1 ORDER BY count(*) DESC, item_id LIMIT 50),
+l AS (SELECT * FROM (SELECT search_location_id, item_id, row_number() OVER (PARTITION BY search_location_id ORDER BY count(*) DESC, item_id) AS r FROM fit GROUP BY 1, 2) x WHERE r <= 50),
+s AS (SELECT * FROM (SELECT search_query, item_id, row_number() OVER (PARTITION BY search_query ORDER BY count(*) DESC, item_id) AS r FROM fit GROUP BY 1, 2) x WHERE r <= 50)
+SELECT count(*) AS queries, round(avg(a), 6) AS recall_all, round(avg(b), 6) AS recall_location, round(avg(c), 6) AS recall_text FROM (SELECT query_key, avg(CASE WHEN e.item_id IS NULL THEN 0 ELSE 1 END) AS a, avg(CASE WHEN l.r IS NULL THEN 0 ELSE 1 END) AS b, avg(CASE WHEN s.r IS NULL THEN 0 ELSE 1 END) AS c
+FROM (SELECT DISTINCT query_key, search_location_id, search_query, item_id FROM h WHERE out_) t LEFT JOIN e ON e.item_id = t.item_id LEFT JOIN l ON l.search_location_id = t.search_location_id AND l.item_id = t.item_id LEFT JOIN s ON s.search_query = t.search_query AND s.item_id = t.item_id GROUP BY 1) x"""
+
+
+@query("baseline_ladder", roles.sql(_LADDER, "LOG").replace(") , h AS", "), h AS"))
 def baseline_ladder(t):
-    return A.baseline_ladder(roles.of(t, "LOG"), "query_key", "search_location_id", "search_query")
+    out = A.baseline_ladder(roles.of(t, "LOG"), "query_key", "search_location_id", "search_query")
+    return out.select("queries", *(F.round(c, 6).alias(c) for c in out.columns[1:]))
 
 
 @query("history_in_corpus", "SELECT c_custkey AS query_id, n IS NOT NULL AS seen, coalesce(n, 0) AS n FROM customer LEFT JOIN (SELECT p_name, count(*) AS n FROM part GROUP BY 1) x ON CASE WHEN c_custkey % 2 = 0 THEN 'red widget' ELSE 'none' END = p_name")
@@ -299,20 +308,23 @@ def city_in_text(t):
     return G.named_city(queries, G.city_forms(names))
 
 
-@query("city_names", "SELECT name, item_location_id FROM (VALUES ('казань', 3), ('самара', 2)) t(name, item_location_id)")
+@query("city_names", "WITH i AS (SELECT p_partkey % 20 AS loc, CASE WHEN p_size % 10 = 0 THEN (p_partkey + p_size) % 20 ELSE p_partkey % 20 END AS said FROM part), c AS (SELECT loc, lower(translate(n_name, '0123456789', 'abcdefghij')) AS name, count(*) AS k FROM i JOIN nation ON n_nationkey = said WHERE length(n_name) BETWEEN 4 AND 30 GROUP BY 1, 2), b AS (SELECT *, sum(k) OVER (PARTITION BY loc) AS total, row_number() OVER (PARTITION BY loc ORDER BY k DESC, name) AS r FROM c), s AS (SELECT loc, count(*) AS n FROM i GROUP BY 1) SELECT name, CAST(item_location_id AS INT) AS item_location_id FROM (SELECT name, b.loc AS item_location_id, row_number() OVER (PARTITION BY name ORDER BY n DESC, b.loc) AS o FROM b JOIN s ON s.loc = b.loc WHERE r = 1 AND k >= 5 AND k >= 0.2 * total) x WHERE o = 1")
 def city_names(t):
-    rows = [(k, 1 if k < 6 else 2 if k < 20 else 3, "Место оказания услуг Татарстан республика, Казань, ул. Баумана 5 Тип x" if k < 6 or k >= 20 else "Место оказания услуг Самара, проспект 1") for k in range(40)]
-    items = t.spark.createDataFrame(rows, "item_id int, item_location_id int, params string")
-    cent = items.groupBy("item_location_id").agg(F.count("*").alias("n_items"))
-    return G.city_names(items, cent)
+    """Addresses of parts name the nation of their place, or sometimes another's."""
+    said = F.when(F.col("p_size") % 10 == 0, (F.col("p_partkey") + F.col("p_size")) % 20).otherwise(F.col("p_partkey") % 20)
+    items = t.part.select(F.col("p_partkey").alias("item_id"), (F.col("p_partkey") % 20).cast("int").alias("item_location_id"), said.alias("n_nationkey")).join(t.nation.select("n_nationkey", "n_name"), "n_nationkey")
+    items = items.withColumn("params", F.concat(F.lit("Место оказания услуг Новая область, "), F.translate("n_name", "0123456789", "abcdefghij"), F.lit(", ул. Баумана 5 Тип x")))
+    return G.city_names(items, items.groupBy("item_location_id").agg(F.count("*").alias("n_items")))
 
 
-@query("unreliable_names", "SELECT 'белый' AS name")
+@query("unreliable_names", "SELECT lower(n_name) AS name FROM (SELECT c_custkey % 20 AS k, count(*) AS n, avg(CASE WHEN CASE WHEN c_custkey % 20 < 15 AND c_custkey % 3 > 0 THEN c_custkey % 20 ELSE c_nationkey % 20 END = c_custkey % 20 THEN 1 ELSE 0 END) AS share FROM customer GROUP BY 1) x JOIN nation ON n_nationkey = k WHERE n >= 5 AND share < 0.2")
 def unreliable_names(t):
-    named = t.spark.createDataFrame([(i, "белый" if i < 8 else "казань") for i in range(20)], "query_id int, name string")
-    log = t.spark.createDataFrame([(i, 10.0 if i < 8 else 55.8, 49.1) for i in range(20)], "query_id int, lat double, lon double")
-    names = t.spark.createDataFrame([("белый", 1), ("казань", 1)], "name string, item_location_id int")
-    cent = t.spark.createDataFrame([(1, 55.79, 49.12)], "item_location_id int, clat double, clon double")
+    """Customers name a place and choose there, or, those who name a place from 15 on, mostly elsewhere."""
+    at = F.when((F.col("c_custkey") % 20 < 15) & (F.col("c_custkey") % 3 > 0), F.col("c_custkey") % 20).otherwise(F.col("c_nationkey") % 20)
+    log = t.customer.select(F.col("c_custkey").alias("query_id"), (at * 2.5 - 20).alias("lat"), (at * 7.25 - 60).alias("lon"))
+    names = t.nation.where("n_nationkey < 20").select(F.lower("n_name").alias("name"), F.col("n_nationkey").alias("item_location_id"))
+    named = t.customer.select(F.col("c_custkey").alias("query_id"), (F.col("c_custkey") % 20).cast("int").alias("item_location_id")).join(names, "item_location_id").select("query_id", "name")
+    cent = t.nation.select(F.col("n_nationkey").alias("item_location_id"), (F.col("n_nationkey") * 2.5 - 20).alias("clat"), (F.col("n_nationkey") * 7.25 - 60).alias("clon"))
     return G.unreliable_names(named, log, names, cent)
 
 

@@ -79,10 +79,10 @@ def title_key(t):
     return t.part.select(F.col("p_partkey").alias("item_id"), X.title_key(F.concat("p_name", F.lit("!"))).alias("title_key"))
 
 
-@query("query_key", "SELECT c_custkey AS query_id, lower(c_mktsegment) || '|' || CAST(c_nationkey AS VARCHAR) || '|' AS query_key, false AS has_filter FROM customer")
+@query("query_key", "SELECT p_partkey AS query_id, lower(p_name) || '|' || CAST(p_size AS VARCHAR) || '|' || CASE WHEN p_size % 2 = 0 THEN p_type ELSE '' END AS query_key, p_size % 2 = 0 AS has_filter FROM part")
 def query_key(t):
-    none = F.lit(None).cast("string")
-    return t.customer.select(F.col("c_custkey").alias("query_id"), X.query_key(X.normalise("c_mktsegment"), F.col("c_nationkey"), none).alias("query_key"), X.has_filter(none).alias("has_filter"))
+    filters = F.when(F.col("p_size") % 2 == 0, F.col("p_type"))
+    return t.part.select(F.col("p_partkey").alias("query_id"), X.query_key(X.normalise("p_name"), F.col("p_size"), filters).alias("query_key"), X.has_filter(filters).alias("has_filter"))
 
 
 @query(
@@ -113,10 +113,18 @@ def parse_filters(t):
     return t.part.select(F.col("p_partkey").alias("item_id"), F.posexplode(P.parse_filters(F.expr(_FILTERS))).alias("i", "f")).select("item_id", "i", "f.key", "f.value")
 
 
-@query("parse_filters_exact", "SELECT item_id, i, key, value FROM (VALUES (0, 0, 'Тип услуги', 'Аренда авто'), (1, 0, '<other>', 'abc'), (2, 0, '<other>', 'zzz'), (2, 1, 'Гарантия', '1 год')) t(item_id, i, key, value)")
+#: Strings in which a key is a value, text stands before the first key, or no key is.
+_MIXED = "CASE p_size % 5 WHEN 0 THEN concat('Тип услуги Аренда авто ', p_brand) WHEN 1 THEN concat(p_name, ' Гарантия ', p_brand) WHEN 2 THEN concat('Вид услуги ', p_type, ' Услуга ', p_brand) WHEN 3 THEN p_name END"
+
+
+@query(
+    "parse_filters_exact",
+    """SELECT p_partkey AS item_id, CAST(i AS INT) AS i, k AS key, v AS value FROM (SELECT p_partkey, 0 AS i, 'Тип услуги' AS k, 'Аренда авто ' || p_brand AS v FROM part WHERE p_size % 5 = 0
+    UNION ALL SELECT p_partkey, 0, '<other>', p_name FROM part WHERE p_size % 5 IN (1, 3) UNION ALL SELECT p_partkey, 1, 'Гарантия', p_brand FROM part WHERE p_size % 5 = 1
+    UNION ALL SELECT p_partkey, 0, 'Вид услуги', p_type FROM part WHERE p_size % 5 = 2 UNION ALL SELECT p_partkey, 1, 'Услуга', p_brand FROM part WHERE p_size % 5 = 2) x""",
+)
 def parse_filters_exact(t):
-    rows = t.spark.createDataFrame([(0, "Тип услуги Аренда авто"), (1, "abc"), (2, "zzz Гарантия 1 год"), (3, None)], "item_id int, s string")
-    return rows.select("item_id", F.posexplode(P.parse_filters_exact(F.col("s"))).alias("i", "f")).select("item_id", "i", "f.key", "f.value")
+    return t.part.select(F.col("p_partkey").alias("item_id"), F.posexplode(P.parse_filters(F.expr(_MIXED))).alias("i", "f")).select("item_id", "i", "f.key", "f.value")
 
 
 @query(
@@ -125,7 +133,7 @@ def parse_filters_exact(t):
         """SELECT a.query_id, a.item_id, f.kind > 0 AS q_vid, f.kind = 2 AS q_tip, f.kind > 0 AND contains('Вид услуги ' || i.params, 'Вид услуги ' || f.p_type) AS m_vid,
     f.kind = 2 AND contains(i.params || ' Тип услуги ' || i.class, 'Тип услуги ' || f.p_brand) AS m_tip,
     f.kind > 0 AND contains('Вид услуги ' || i.params, 'Вид услуги ' || f.p_type) AND (f.kind < 2 OR contains(i.params || ' Тип услуги ' || i.class, 'Тип услуги ' || f.p_brand)) AS m_all
-    FROM list_a a JOIN items i ON a.item_id = i.item_id JOIN (SELECT p_partkey, p_type, p_brand, CASE WHEN p_size % 4 IN (1, 2) THEN p_size % 4 ELSE 0 END AS kind FROM part) f ON a.query_id = f.p_partkey WHERE a.rank <= 50""",
+    FROM list_a a JOIN items i ON a.item_id = i.item_id JOIN (SELECT p_partkey, p_type, p_brand, CASE WHEN p_size % 4 IN (1, 2) THEN p_size % 4 ELSE 0 END AS kind FROM part) f ON a.query_id = f.p_partkey""",
         "LIST_A",
         "ITEMS",
     ),
@@ -133,33 +141,40 @@ def parse_filters_exact(t):
 def filter_match(t):
     queries = t.part.select(F.col("p_partkey").alias("query_id"), F.expr(_FILTERS).alias("filters"))
     items = roles.of(t, "ITEMS").select("item_id", F.concat(F.lit("Вид услуги "), "params", F.lit(" Тип услуги "), "class").alias("params"))
-    cands = roles.of(t, "LIST_A").where("rank <= 50").join(queries.select("query_id"), "query_id", "left_semi")
+    cands = roles.of(t, "LIST_A").join(queries.select("query_id"), "query_id", "left_semi")
     return P.filter_match(cands, queries, items).select("query_id", "item_id", "q_vid", "q_tip", "m_vid", "m_tip", "m_all")
 
 
 @query(
     "filter_selectivity",
-    """SELECT q.p_partkey AS query_id, round(n / CAST((SELECT count(*) FROM part) AS DOUBLE), 6) AS share FROM part q JOIN (SELECT p_type, count(*) AS n FROM part GROUP BY p_type) s ON q.p_type = s.p_type WHERE q.p_size % 4 = 1""",
+    """WITH n AS (SELECT count(*) AS n FROM part), k AS (SELECT p_type, count(*) AS c FROM part GROUP BY 1), b AS (SELECT p_type, p_brand, count(*) AS c FROM part GROUP BY 1, 2)
+    SELECT q.p_partkey AS query_id, round(k.c / CAST(n.n AS DOUBLE), 6) AS share FROM part q JOIN k ON k.p_type = q.p_type, n WHERE q.p_size % 4 = 1
+    UNION ALL SELECT q.p_partkey, round(b.c / CAST(n.n AS DOUBLE), 6) FROM part q JOIN b ON b.p_type = q.p_type AND b.p_brand = q.p_brand, n WHERE q.p_size % 4 = 2""",
 )
 def filter_selectivity(t):
-    queries = t.part.where("p_size % 4 = 1").select(F.col("p_partkey").alias("query_id"), F.expr(_FILTERS).alias("filters"))
-    items = t.part.select(F.col("p_partkey").alias("item_id"), F.concat(F.lit("Вид услуги "), "p_type").alias("params"))
+    queries = t.part.select(F.col("p_partkey").alias("query_id"), F.expr(_FILTERS).alias("filters"))
+    items = t.part.select(F.col("p_partkey").alias("item_id"), F.concat(F.lit("Вид услуги "), "p_type", F.lit(" Тип услуги "), "p_brand").alias("params"))
     return P.selectivity(queries, items).select("query_id", F.round("share", 6).alias("share"))
 
 
 @query(
     "filter_audit",
-    """SELECT 'Вид услуги' AS key, CASE WHEN n >= 100 THEN p_type ELSE '<rare>' END AS value, CAST(sum(n) AS BIGINT) AS rows, CAST(sum(bad) AS BIGINT) AS violations, CAST(sum(none) AS BIGINT) AS undeterminable FROM (
-    SELECT p_type, count(*) AS n, count(*) FILTER (p_partkey % 3 = 0) AS bad, count(*) FILTER (p_partkey % 3 = 1) AS none FROM part WHERE p_size % 4 = 1 GROUP BY p_type) x GROUP BY 1, 2""",
+    """WITH f AS (SELECT 'Вид услуги' AS key, CASE WHEN p_size % 4 = 3 THEN 'Другое' ELSE p_type END AS value, p_size % 4 < 3 AND p_partkey % 3 = 2 AS has, p_partkey % 3 <> 1 AS states FROM part WHERE p_size % 4 > 0
+    UNION ALL SELECT 'Тип услуги', p_brand, false, false FROM part WHERE p_size % 4 = 2 UNION ALL SELECT 'Гарантия', p_brand, false, false FROM part WHERE p_size % 4 = 3)
+    SELECT key, CASE WHEN n >= 100 THEN value ELSE '<rare>' END AS value, CAST(sum(n) AS BIGINT) AS rows, CAST(sum(bad) AS BIGINT) AS violations, CAST(sum(none) AS BIGINT) AS undeterminable FROM (
+    SELECT key, value, count(*) AS n, count(*) FILTER (states AND NOT has) AS bad, count(*) FILTER (NOT states) AS none FROM f GROUP BY 1, 2) x GROUP BY 1, 2""",
 )
 def filter_audit(t):
     params = F.expr("CASE WHEN p_partkey % 3 = 0 THEN 'Вид услуги иное' WHEN p_partkey % 3 = 1 THEN 'нет' ELSE concat('Вид услуги ', p_type) END")
-    return P.audit(t.part.where("p_size % 4 = 1").select(F.expr(_FILTERS).alias("filters"), params.alias("params")), 100)
+    return P.audit(t.part.select(F.expr(_FILTERS).alias("filters"), params.alias("params")), 100)
 
 
-@query("clean_params")
+@query(
+    "clean_params",
+    r"""SELECT p_partkey AS item_id, trim(regexp_replace(p_type || ' ' || regexp_replace(p_brand, '[0-9]+', ' ', 'g') || ' часе', '\s+', ' ', 'g')) AS clean FROM part""",
+)
 def clean_params(t):
-    text = F.concat(F.lit("Вид услуги "), "p_type", F.lit(" Начальная цена "), F.col("p_size").cast("string"), F.lit(" часе ч "), "p_brand")
+    text = F.concat(F.lit("Вид услуги "), "p_type", F.lit(" Начальная цена "), F.col("p_size").cast("string"), F.lit(" ч "), "p_brand", F.lit(" часе"))
     return t.part.select(F.col("p_partkey").alias("item_id"), X.clean_params(text).alias("clean"))
 
 
@@ -170,10 +185,14 @@ def query_document(t):
     return t.part.select(F.col("p_partkey").alias("item_id"), of("p_name", F.expr(_FILTERS)).alias("doc"))
 
 
-@query("russian_stems", "SELECT token, stem FROM (VALUES ('ремонта', 'ремонт'), ('квартиры', 'квартир'), ('быстрый', 'быстр'), ('важность', 'важност'), ('бежавшая', 'бежа'), ('услугами', 'услуг'), ('стрижка', 'стрижк'), ('widget', 'widget'), ('делается', 'дела')) t(token, stem)")
+_BASES, _ENDS = ("ремонт", "услуг", "стрижк", "машин"), ("а", "ы", "у", "ами", "ам", "ах")
+
+
+@query("russian_stems", f"SELECT DISTINCT {list(_BASES)}[p_size % 4 + 1] || {list(_ENDS)}[p_partkey % 6 + 1] AS token, {list(_BASES)}[p_size % 4 + 1] AS stem FROM part")
 def russian_stems(t):
-    words = ["ремонта", "квартиры", "быстрый", "важность", "бежавшая", "услугами", "стрижка", "widget", "делается"]
-    return S.stem_table(t.spark.createDataFrame([(w,) for w in words], "token string"))
+    """Inflected words made from the parts' keys: base and ending; the stem is the base."""
+    word = F.concat(F.get(F.array(*map(F.lit, _BASES)), F.col("p_size") % 4), F.get(F.array(*map(F.lit, _ENDS)), F.col("p_partkey").cast("int") % 6))
+    return S.stem_table(t.part.select(word.alias("token")).distinct())
 
 
 @query("term_schemes", "SELECT scheme, count(*) AS n, count(DISTINCT term) AS terms FROM (SELECT 'stem' AS scheme, unnest(string_split(p_name, ' ')) AS term FROM part UNION ALL SELECT 'both', pre || unnest(string_split(p_name, ' ')) FROM part, (VALUES ('L:'), ('S:')) v(pre)) x GROUP BY scheme")

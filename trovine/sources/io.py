@@ -10,12 +10,13 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import number
 from ..operators.evaluate import without_keys
+from ..operators.windows import first_per
 
 CANDIDATES = T.StructType([T.StructField("query_id", T.StringType()), T.StructField("item_id", T.StringType()), T.StructField("score", T.FloatType()), T.StructField("rank", T.IntegerType())])
 
@@ -71,11 +72,11 @@ def source_candidates(cands: DataFrame, queries: DataFrame, items: DataFrame) ->
 
 
 def distinct_items(*tables: DataFrame) -> DataFrame:
-    """Rows of several tables, one an item_id."""
+    """Rows of several tables, one an item_id: of different ones the first in the order of their JSON."""
     out = tables[0]
     for t in tables[1:]:
         out = out.unionByName(t)
-    return out.dropDuplicates(["item_id"])
+    return first_per(out, ["item_id"], [F.to_json(F.struct("*"))])
 
 
 def text_lengths(df: DataFrame, *columns: str) -> DataFrame:
@@ -116,16 +117,17 @@ def write_answer(cands: DataFrame, queries: DataFrame, path: str, k: int = 50, i
 
 
 def resume_write(df: DataFrame, path: str, key: str) -> int:
-    """Appends the rows whose key is not at ``path`` yet; returns how many."""
+    """Appends the rows whose key is not at ``path`` yet; returns how many.
+
+    One write counts them on its way; a run that failed has left nothing, and the next one starts from what is there.
+    """
     spark = df.sparkSession
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path):
         df = df.join(spark.read.parquet(path).select(key), key, "left_anti")
-        before = spark.read.parquet(path).count()
-    else:
-        before = 0
-    df.write.mode("append").parquet(path)
-    return spark.read.parquet(path).count() - before
+    written = Observation()
+    df.observe(written, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    return written.get["n"]
 
 
 def fingerprint(*parts: object) -> str:
@@ -142,8 +144,12 @@ def cached(spark: SparkSession, root: str, parts: Sequence[object], build: Calla
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder for tables between steps: below ``spark.checkpoint.dir``, or local where none is set (tests)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="trovine-")
+    """A new folder for tables between steps: below ``spark.checkpoint.dir``, or local where one machine has none set (tests)."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="trovine-")
     return f"{root.rstrip('/')}/work-{uuid.uuid4().hex}"
 
 
