@@ -227,11 +227,11 @@ def quality_features(t):
 _PCT = "(rank() OVER (PARTITION BY query_id ORDER BY {0}) + (count(*) OVER (PARTITION BY query_id, {0}) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY query_id)"
 
 
-@query("quality_rerank", roles.sql(f"SELECT query_id, item_id, round(s + 0.000000000001::DOUBLE, 9) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, rank, item_id) AS INT) AS rank FROM (SELECT query_id, item_id, rank, score / 1000 + 0.0025::DOUBLE * {_PCT.format('ln(1 + reviews)')} + 0.0019::DOUBLE * {_PCT.format('CASE WHEN rating > 0 THEN rating ELSE 0 END')} AS s FROM list_a JOIN items USING (item_id)) x", A, "ITEMS"))
+@query("quality_rerank", roles.sql(f"SELECT query_id, item_id, round(round(s, 12) + 0.0000000000001::DOUBLE, 9) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, rank, item_id) AS INT) AS rank FROM (SELECT query_id, item_id, rank, score / 1000 + 0.0025::DOUBLE * {_PCT.format('ln(1 + reviews)')} + 0.0019::DOUBLE * {_PCT.format('CASE WHEN rating > 0 THEN rating ELSE 0 END')} AS s FROM list_a JOIN items USING (item_id)) x", A, "ITEMS"))
 def quality_rerank(t):
     a = roles.of(t, A).withColumn("score", F.col("score") / 1000)
     # A hair above halves, so that both engines round alike.
-    return R.quality_bonus(a, R.item_quality(roles.of(t, "ITEMS"))).withColumn("score", F.round(F.col("score") + 1e-12, 9))
+    return R.quality_bonus(a, R.item_quality(roles.of(t, "ITEMS"))).withColumn("score", F.round(F.round("score", 12) + 1e-13, 9))
 
 
 #: Class probabilities from counts of the log, by query text; a supplier's text is that of the part with its key.
