@@ -303,6 +303,66 @@ def test_rankers_learn(spark):
     assert scored.count() == len(rows) and top > 34
 
 
+def test_conditional_logit_converges(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 6, 2))
+    y = [int(np.argmax(row @ [1.5, -0.7] + rng.gumbel(size=6))) for row in x]
+    df = spark.createDataFrame([(q, i, int(i == y[q]), float(x[q, i, 0]), float(x[q, i, 1])) for q in range(60) for i in range(6)], "query_id int, item_id int, y int, a double, b double")
+    model = ml.SoftmaxRanker(["a", "b"]).fit(df)
+    z = (x - x.reshape(-1, 2).mean(0)) / x.reshape(-1, 2).std(0, ddof=1)
+
+    def grad(w):
+        p = np.exp(z @ w)
+        p /= p.sum(1, keepdims=True)
+        return sum((p[q][:, None] * z[q]).sum(0) - z[q, y[q]] for q in range(60)) / 60 + model.reg * w
+
+    assert np.abs(grad(np.array(model.weights))).max() < 1e-4
+
+
+def test_gradients_equal_brute_force(spark):
+    from math import exp, log2
+
+    rng = random.Random(4)
+    rows = [(q, i, int(rng.random() < 0.3), round(rng.gauss(0, 1), 3)) for q in range(6) for i in range(9)]
+    got = {(r.query_id, r.item_id): (r.g, r.h) for r in ml.TreeRanker([], truncation=4).gradients(spark.createDataFrame(rows, "query_id int, item_id int, y int, score double")).collect()}
+    want = defaultdict(lambda: [0.0, 0.0])
+    for q in range(6):
+        own = sorted((r for r in rows if r[0] == q), key=lambda r: (-r[3], r[1]))
+        most = sum(1 / log2(k + 2) for k in range(sum(r[2] for r in own)))
+        for a, good in enumerate(own):
+            for b, bad in enumerate(own):
+                if good[2] == 1 and bad[2] == 0 and min(a, b) < 4:
+                    rho, d = 1 / (1 + exp(good[3] - bad[3])), abs(1 / log2(a + 2) - 1 / log2(b + 2)) / most
+                    for r, sign in ((good, 1), (bad, -1)):
+                        want[q, r[1]][0] += sign * rho * d
+                        want[q, r[1]][1] += rho * (1 - rho) * d
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(tuple(v)) for k, v in want.items())
+
+
+def test_trees_beat_the_linear_ranker_on_held_out_queries(spark):
+    """Relevance is high in the middle of a feature and where two signs differ: nothing a weighted sum can say."""
+    rng = random.Random(7)
+    rows = []
+    for q in range(160):
+        for i in range(12):
+            a, b, c = rng.uniform(-1, 1), rng.uniform(-1, 1), rng.uniform(-1, 1)
+            rows.append((q, i, int(abs(a) < 0.3 and b * c < 0 and rng.random() < 0.9), a, b, c if rng.random() < 0.95 else None))
+    df = spark.createDataFrame(rows, "query_id int, item_id int, y int, a double, b double, c double").where("y >= 0")
+    fit, valid, test = df.where("query_id < 90"), df.where("query_id between 90 and 119"), df.where("query_id >= 120")
+    trees = ml.TreeRanker(["a", "b", "c"], trees=14, rate=0.3, patience=4, columns=1.0).fit(fit, valid)
+    line = ml.PairwiseRanker(["a", "b", "c"]).fit(fit)
+    scores = [ml.TreeRanker.ndcg(m.transform(test).withColumnRenamed("pred", "score"), 5) for m in (trees, line)]
+    assert scores[0] > scores[1] + 0.2, scores
+    assert len(trees.model.trees) <= 14 and set(trees.importance()) == {"a", "b", "c"}
+
+
+def test_peeking_classifier_sees_a_leak(spark):
+    rng = random.Random(1)
+    make = lambda shift: spark.createDataFrame([(q, 1, rng.gauss(0, 1), rng.gauss(shift, 1)) for q in range(300)], "query_id int, y int, a double, b double")
+    clean, leaky = make(0.0), make(2.0)
+    assert ml.peeking_auc(make(0.0), clean, ["a", "b"]) < 0.6 and ml.peeking_auc(clean, leaky, ["a", "b"]) > 0.85
+
+
 def test_class_model(spark):
     docs = spark.createDataFrame([("ремонт квартиры под ключ", "fix", 1.0), ("ремонт дома", "fix", 1.0), ("уборка квартиры", "clean", 1.0), ("уборка дома после ремонта", "clean", 1.0)] * 4, "doc string, class string, w double")
     for kind in ("logistic", "bayes"):

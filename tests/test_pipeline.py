@@ -32,7 +32,7 @@ def folder(spark, tmp_path_factory):
 @pytest.mark.parametrize("scheme", ["meta", "ltr"])
 def test_schemes_answer_every_query(spark, folder, scheme, tmp_path):
     data = load(spark, folder)
-    out = Pipeline(data, Config(n_cands=40, held=12, models=1, vector_size=256)).run(scheme).cache()
+    out = Pipeline(data, Config(n_cands=40, held=40, models=1, vector_size=256, trees=3)).run(scheme).cache()
     assert {r.query_id: r["count"] for r in out.groupBy("query_id").count().collect()} == {"q1": 40, "q2": 40, "q3": 40}
     top = out.where("rank <= 10").join(data.items.select("item_id", "class", "item_location_id"), "item_id")
     right = {r.query_id: r.n for r in top.where("query_id = 'q1' AND class = '0' OR query_id = 'q2' AND class = '1'").groupBy("query_id").agg(F.count("*").alias("n")).collect()}

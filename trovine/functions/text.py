@@ -149,9 +149,16 @@ def word_ngrams(c: str | Column, n: int = 2) -> Column:
 
 
 def word_runs(words: Column, k: int) -> Column:
-    """Runs of ``k`` consecutive words, joined by a space."""
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, k), " "))
-    return F.when(F.size(words) >= k, runs).otherwise(F.array().cast("array<string>"))
+    """Runs of ``k`` consecutive words, joined by a space.
+
+    The words are bound once, as the variable of an outer function: as an expression they would be made anew for each run.
+    """
+
+    def runs(w: Column) -> Column:
+        made = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, k), " "))
+        return F.when(F.size(w) >= k, made).otherwise(F.array().cast("array<string>"))
+
+    return F.get(F.transform(F.array(words), runs), F.lit(0))
 
 
 def terms(tokens_df: DataFrame, id_col: str, scheme: str = "stem", stems: DataFrame | None = None, lemmas: DataFrame | None = None) -> DataFrame:

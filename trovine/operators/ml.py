@@ -8,8 +8,10 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
-from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel, Normalizer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,24 +27,43 @@ def query_document(query: str | Column, filters: str | Column) -> Column:
     return F.translate(F.lower(F.regexp_replace(F.concat(text(query), F.lit(" | "), core), r"^[ |]+|[ |]+$", "")), "ё", "е")
 
 
+@F.udf(VectorUDT())
+def sublinear(counts: SparseVector) -> SparseVector:
+    """1 + ln(tf) of each term: there is no such step among the vector transformers."""
+    return SparseVector(counts.size, counts.indices, 1 + np.log(counts.values))
+
+
 class ClassModel:
-    """TF-IDF of word and character n-grams, and a probabilistic classifier."""
+    """TF-IDF (tf as 1 + ln tf) of word and character n-grams, and a probabilistic classifier: the log-loss model, or bayes."""
 
-    def __init__(self, kind: str = "logistic", words: int = 20_000, chars: int = 20_000):
+    def __init__(self, kind: str = "logistic", words: int = 100_000, chars: int = 100_000):
         self.kind, self.sizes = kind, (words, chars)
 
-    def _terms(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("_w", word_ngrams("doc", 2)).withColumn("_c", char_ngrams("doc", 3, 5))
+    @staticmethod
+    def _counted(counts: CountVectorizerModel, df: DataFrame, c: str, folder: str) -> DataFrame:
+        """``df`` with the sublinear counts of its column ``c``. The counts are written first: a Python function takes no
+        vector that a transformer makes in the same step."""
+        from ..sources.io import stage
+
+        plain = stage(counts.transform(df).drop(c), f"{folder}/{c}-counts")
+        return stage(plain.withColumn(f"{c}s", sublinear(f"{c}t")).drop(f"{c}t"), f"{folder}/{c}")
+
+    GRAMS = {"_w": lambda: word_ngrams("doc", 2), "_c": lambda: char_ngrams("doc", 3, 5)}
 
     def fit(self, rows: DataFrame) -> ClassModel:
         """``rows``: doc, class, w. The vocabularies, of bounded size, are on the driver."""
-        data = self._terms(rows.where("class IS NOT NULL"))
+        from ..sources.io import remove, stage, work_folder
+
+        spark, folder = rows.sparkSession, work_folder(rows.sparkSession)
+        # Whole texts make much work of few rows: they are dealt out, and counted vectors are written for the passes to come.
+        data = stage(rows.where("class IS NOT NULL").repartition(spark.sparkContext.defaultParallelism), f"{folder}/rows")
         self.index = StringIndexer(inputCol="class", outputCol="_y", stringOrderType="alphabetAsc").fit(data)
         self.steps = []
         for c, size, least in (("_w", self.sizes[0], 2), ("_c", self.sizes[1], 3)):
-            counts = CountVectorizer(inputCol=c, outputCol=f"{c}t", vocabSize=size, minDF=least).fit(data)
-            data = counts.transform(data)
-            idf = IDF(inputCol=f"{c}t", outputCol=f"{c}i").fit(data)
+            own = data.withColumn(c, self.GRAMS[c]())
+            counts = CountVectorizer(inputCol=c, outputCol=f"{c}t", vocabSize=size, minDF=least).fit(own)
+            data = self._counted(counts, own, c, folder)
+            idf = IDF(inputCol=f"{c}s", outputCol=f"{c}i").fit(data)
             norm = Normalizer(inputCol=f"{c}i", outputCol=f"{c}n")
             data = norm.transform(idf.transform(data))
             self.steps += [counts, idf, norm]
@@ -53,13 +74,21 @@ class ClassModel:
         else:
             model = NaiveBayes(featuresCol="_x", labelCol="_y", weightCol="w", probabilityCol="_p", smoothing=0.1)
         self.model = model.fit(data.select("_x", "_y", "w"))
+        remove(spark, folder)
         return self
 
     def predict(self, docs: DataFrame, id_col: str = "query_id") -> DataFrame:
         """(id, class, p, class_rank) for every class, p summing to 1; distinct texts are scored once."""
-        texts = self._terms(docs.select("doc").distinct())
+        from ..sources.io import work_folder
+
+        folder = work_folder(docs.sparkSession)
+        texts = docs.select("doc").distinct()
         for step in self.steps:
-            texts = step.transform(texts)
+            if isinstance(step, CountVectorizerModel):
+                c = step.getInputCol()
+                texts = self._counted(step, texts.withColumn(c, self.GRAMS[c]()), c, folder)
+            else:
+                texts = step.transform(texts)
         names = F.array(*(F.lit(x) for x in self.index.labels))
         scored = self.model.transform(texts).select("doc", F.explode(F.arrays_zip(names.alias("class"), vector_to_array("_p").alias("p"))).alias("x")).select("doc", F.col("x.class"), F.col("x.p"))
         ranked = scored.withColumn("class_rank", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("p"), "class")))
@@ -121,25 +150,179 @@ class PairwiseRanker:
 class SoftmaxRanker(PairwiseRanker):
     """Conditional logit: softmax over a query's candidates; gradients by aggregation, steps on the driver."""
 
-    def fit(self, rows: DataFrame, steps: int = 25, rate: float = 0.5) -> SoftmaxRanker:
+    def fit(self, rows: DataFrame, steps: int = 100, tolerance: float = 1e-5) -> SoftmaxRanker:
+        """L-BFGS on the exact gradient until no part of it is above ``tolerance``; ``steps`` at most."""
+        from ..sources.io import remove, stage, work_folder
+
         stats = rows.agg(*(x for f in self.features for x in (F.avg(f), F.stddev_samp(f)))).first()
         self.scale = [(stats[2 * i] or 0.0, stats[2 * i + 1] or 1.0) for i in range(len(self.features))]
-        n = len(self.features)
-        has = rows.withColumn("_any", F.max("y").over(Window.partitionBy("query_id"))).where("_any > 0")
-        data = has.select("query_id", "y", self._scaled(has).alias("x")).cache()
+        n, q = len(self.features), Window.partitionBy("query_id")
+        folder = work_folder(rows.sparkSession)
+        has = rows.withColumn("_any", F.max("y").over(q)).where("_any > 0")
+        data = stage(has.select("query_id", "y", self._scaled(has).alias("x")), folder)
         queries = max(1, data.select("query_id").distinct().count())
-        self.weights = [0.0] * n
-        q = Window.partitionBy("query_id")
-        for _ in range(steps):
-            w = F.array(*(F.lit(x) for x in self.weights))
-            s = F.aggregate(F.zip_with("x", w, lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v)
+
+        def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+            s = F.aggregate(F.zip_with("x", F.array(*(F.lit(float(v)) for v in w)), lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v)
             e = data.withColumn("s", s).withColumn("e", F.exp(F.col("s") - F.max("s").over(q)))
-            r = e.withColumn("r", F.col("y") / F.sum("y").over(q) - F.col("e") / F.sum("e").over(q))
-            row = r.agg(*(F.sum(F.col("r") * F.col("x")[i]) for i in range(n))).first()
-            self.weights = [a + rate * ((g or 0.0) / queries - self.reg * a) for a, g in zip(self.weights, row, strict=True)]
-        data.unpersist()
+            share = F.col("e") / F.sum("e").over(q)
+            r = e.withColumn("t", F.col("y") / F.sum("y").over(q)).withColumn("p", share)
+            row = r.agg(-F.sum(F.col("t") * F.log("p")), *(F.sum((F.col("p") - F.col("t")) * F.col("x")[i]) for i in range(n))).first()
+            return (row[0] or 0.0) / queries + self.reg / 2 * float(w @ w), np.array([g or 0.0 for g in row[1:]]) / queries + self.reg * w
+
+        self.weights = lbfgs(loss, np.zeros(n), steps, tolerance).tolist()
+        remove(rows.sparkSession, folder)
+        return self
+
+
+def lbfgs(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], w: np.ndarray, steps: int, tolerance: float, memory: int = 8) -> np.ndarray:
+    """The minimum of a smooth function from its value and gradient: limited-memory BFGS with halved steps."""
+    value, grad = loss(w)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(steps):
+        if np.abs(grad).max(initial=0) <= tolerance:
+            break
+        d, used = grad.copy(), []
+        for s, y, rho in reversed(past):
+            a = rho * (s @ d)
+            used.append(a)
+            d -= a * y
+        if past:
+            d *= past[-1][0] @ past[-1][1] / (past[-1][1] @ past[-1][1])
+        for (s, y, rho), a in zip(past, reversed(used), strict=True):
+            d += (a - rho * (y @ d)) * s
+        size = 1.0 if past else min(1.0, 1 / np.abs(grad).sum())
+        while True:
+            new = w - size * d
+            v, g = loss(new)
+            if v <= value - 1e-4 * size * (grad @ d) or size < 1e-8:
+                break
+            size /= 2
+        if (new - w) @ (g - grad) > 1e-12:
+            past = [*past, (new - w, g - grad, 1 / ((new - w) @ (g - grad)))][-memory:]
+        if size < 1e-8:
+            break
+        w, value, grad = new, v, g
+    return w
+
+
+class TreeRanker:
+    """Boosted trees on LambdaRank gradients, with truncation, early stopping and seeds.
+
+    A round ranks each query's candidates by their score and sums over its pairs of a positive and another, of which one
+    at least stands in the first ``truncation`` places, the gradient and the curvature of the pair's logistic loss, times
+    what an exchange of the two would change of the query's NDCG. A tree fitted on gradient / curvature with the curvature
+    as weight has Newton's steps as its leaves. Features that are null are below all others. Rows and columns are sampled
+    by the seed. Scores are written to the work folder every round, so plans do not grow.
+    """
+
+    MISSING = -1e9
+
+    def __init__(self, features: Sequence[str], trees: int = 40, depth: int = 4, rate: float = 0.1, truncation: int = 50, patience: int = 8, seed: int = 1, sample: float = 0.8, columns: float = 0.8, least: int = 10):
+        self.features, self.trees, self.depth, self.rate, self.truncation, self.patience = list(features), trees, depth, rate, truncation, patience
+        self.seed, self.sample, self.columns, self.least = seed, sample, columns, least
+
+    def _vector(self) -> Column:
+        return array_to_vector(F.array(*(F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(None)), F.lit(self.MISSING)) for f in self.features)))
+
+    def gradients(self, data: DataFrame) -> DataFrame:
+        """query_id, item_id, g, h of ``data`` (query_id, item_id, y, score); rows without a pair are left out."""
+        ranked = data.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")))
+        gain = 1 / F.log2(F.col("r") + 1)
+        ranked = ranked.select("query_id", "item_id", "y", "score", "r", gain.alias("gain"))
+        best = ranked.groupBy("query_id").agg(F.sum("y").cast("int").alias("k")).where("k > 0")
+        best = best.select("query_id", F.aggregate(F.sequence(F.lit(1), F.col("k")), F.lit(0.0), lambda s, n: s + 1 / F.log2(n + 1.0)).alias("most"))
+        good = ranked.where("y = 1").select("query_id", F.col("item_id").alias("a"), F.col("score").alias("sa"), F.col("r").alias("ra"), F.col("gain").alias("ga"))
+        pairs = ranked.where("y = 0").join(good, "query_id").join(best, "query_id").where((F.col("r") <= self.truncation) | (F.col("ra") <= self.truncation))
+        rho, change = 1 / (1 + F.exp(F.col("sa") - F.col("score"))), F.abs(F.col("ga") - F.col("gain")) / F.col("most")
+        pairs = pairs.select("query_id", "item_id", "a", (rho * change).alias("g"), (rho * (1 - rho) * change).alias("h"))
+        sides = F.explode(F.array(F.struct(F.col("a").alias("item_id"), F.col("g").alias("g"), "h"), F.struct("item_id", (-F.col("g")).alias("g"), "h")))
+        return pairs.select("query_id", sides.alias("x")).groupBy("query_id", "x.item_id").agg(F.sum("x.g").alias("g"), F.sum("x.h").alias("h")).where("h > 0")
+
+    @staticmethod
+    def ndcg(scored: DataFrame, k: int = 50) -> float:
+        """Mean NDCG@k over queries with a positive."""
+        ranked = scored.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")))
+        per = ranked.groupBy("query_id").agg(F.sum(F.when(F.col("_r") <= k, F.col("y") / F.log2(F.col("_r") + 1.0)).otherwise(0.0)).alias("d"), F.least(F.sum("y"), F.lit(k)).cast("int").alias("n")).where("n > 0")
+        ideal = F.aggregate(F.sequence(F.lit(1), F.col("n")), F.lit(0.0), lambda s, n: s + 1 / F.log2(n + 1.0))
+        return per.agg(F.avg(F.col("d") / ideal)).first()[0] or 0.0
+
+    def fit(self, rows: DataFrame, valid: DataFrame | None = None) -> TreeRanker:
+        """``rows``: query_id, item_id, y (0/1), features. With ``valid`` the rounds end when its NDCG has not risen for
+        ``patience`` of them, and the trees after the best round are dropped."""
+        from ..sources.io import remove, stage, work_folder
+
+        spark, folder = rows.sparkSession, work_folder(rows.sparkSession)
+
+        def start(df: DataFrame, name: str) -> DataFrame:
+            return stage(df.select("query_id", "item_id", "y", self._vector().alias("features"), F.lit(0.0).alias("score")), f"{folder}/{name}")
+
+        data, held = start(rows, "rows"), start(valid, "valid") if valid is not None else None
+        trees, best, kept = [], -1.0, 0
+        for k in range(self.trees):
+            target = data.join(self.gradients(data), ["query_id", "item_id"]).select("features", (F.col("g") / F.col("h")).alias("t"), "h")
+            grow = RandomForestRegressor(labelCol="t", weightCol="h", numTrees=1, maxDepth=self.depth, minInstancesPerNode=self.least, maxBins=64, bootstrap=False,
+                                         subsamplingRate=self.sample, featureSubsetStrategy=str(self.columns), seed=self.seed * 1000 + k)
+            tree = grow.fit(target).trees[0]
+            trees.append(tree)
+
+            def step(df: DataFrame, name: str, tree=tree, k=k) -> DataFrame:
+                moved = tree.transform(df)
+                return stage(moved.select("query_id", "item_id", "y", "features", (F.col("score") + self.rate * F.col("prediction")).alias("score")), f"{folder}/{name}-{k}")
+
+            data = step(data, "rows")
+            if held is not None:
+                held = step(held, "valid")
+                now = self.ndcg(held)
+                if now > best:
+                    best, kept = now, k + 1
+                elif k + 1 - kept >= self.patience:
+                    break
+        trees = trees[:kept] if held is not None else trees
+        jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+        own = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, len(trees))
+        weights = gateway.new_array(jvm.double, len(trees))
+        for k, tree in enumerate(trees):
+            own[k], weights[k] = tree._java_obj, self.rate
+        self.model = GBTRegressionModel(jvm.org.apache.spark.ml.regression.GBTRegressionModel(f"lambda-{self.seed}", own, weights))
+        remove(spark, folder)
         return self
 
+    def transform(self, rows: DataFrame, name: str = "pred") -> DataFrame:
+        scored = self.model.transform(rows.withColumn("features", self._vector()))
+        return scored.withColumn(name, F.col("prediction")).drop("features", "prediction")
+
+    def importance(self) -> dict[str, float]:
+        return dict(zip(self.features, self.model.featureImportances.toArray().tolist(), strict=True))
+
+
+def seed_ensemble(rows: DataFrame, scored: DataFrame, make: Callable[[int], TreeRanker], seeds: Sequence[int], folds: int = 5, by: str = "query_id") -> DataFrame:
+    """query_id, item_id, pred: mean of within-query z-scores of one ranker a seed, each stopped early on its own fold.
+
+    Folds are of ``by`` (a text, so that equal texts are in one), in seeded order; a ranker is not fitted on its fold.
+    """
+    fold = (F.conv(F.substring(seeded_order(by, seed=11), 1, 6), 16, 10).cast("long") % folds).alias("_fold")
+    data, wide = rows.select("*", fold), scored
+    for k, seed in enumerate(seeds):
+        ranker = make(seed).fit(data.where(F.col("_fold") != k % folds), data.where(F.col("_fold") == k % folds))
+        wide = ranker.transform(wide, f"_m{k}")
+    return ensemble(wide, [f"_m{k}" for k in range(len(seeds))])
+
+
+def peeking_auc(pool: DataFrame, val: DataFrame, features: Sequence[str], parts: int = 2) -> float:
+    """How well a classifier tells the positives of the training pool from those of the validation: 0.5 is no leak.
+
+    A logistic model on the standardised features, fitted on the queries of one half by MD5 and tested on the other.
+    """
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    both = pool.where("y = 1").select("query_id", *features, F.lit(0.0).alias("_l")).unionByName(val.where("y = 1").select("query_id", *features, F.lit(1.0).alias("_l")))
+    cells = F.array(*(F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features))
+    half = F.conv(F.substring(seeded_order("query_id", seed=4), 1, 6), 16, 10).cast("long") % parts
+    data = both.select(array_to_vector(cells).alias("features"), "_l", half.alias("_h"))
+    model = LogisticRegression(labelCol="_l", regParam=1e-3, maxIter=50).fit(data.where("_h > 0"))
+    return BinaryClassificationEvaluator(labelCol="_l").evaluate(model.transform(data.where("_h = 0")))
+
 
 def cross_fit(rows: DataFrame, make: Callable[[], PairwiseRanker], folds: int = 2, seed: int = 3) -> DataFrame:
     """(query_id, item_id, fold, pred): each query is scored by a model that has not seen its fold."""

@@ -41,6 +41,9 @@ class Config:
     vector_size: int = 1 << 12
     held: int = 200
     models: int = 3
+    ranker: str = "trees"  # or "linear"
+    trees: int = 40
+    class_model: str = "logistic"  # or "bayes"
 
 
 @dataclass
@@ -89,6 +92,9 @@ class Pipeline:
         self.data, self.config, self.encoder = data, config, encoder
         self.work, self._step = (work or io.work_folder(data.log.sparkSession)), 0
         self.items = self.keep(data.items.withColumn("doc", X.item_text(F.col("title"), X.clean_params("params"), F.col("description"), config.desc_chars)).withColumn("num", F.xxhash64("item_id")))
+        for df, key in ((self.items.select("item_id"), "item_id"), (data.queries.select("query_id"), "query_id")):
+            clash = df.groupBy(F.xxhash64(key).alias("num")).agg(F.min(key).alias("a"), F.max(key).alias("b")).where("a <> b")
+            E.require_none(clash, f"two values of {key} have one number")
 
     def keep(self, df: DataFrame) -> DataFrame:
         """``df``, written to the work folder and read back: later steps share it, and their plans stay short."""
@@ -158,7 +164,7 @@ class Pipeline:
     def classes(self, queries: DataFrame, log: DataFrame) -> DataFrame:
         """P(class | query) from a model of the log's query documents."""
         rows = log.withColumn("doc", ml.query_document("search_query", "filters"))
-        fitted = ml.ClassModel("bayes").fit(class_weights(rows.select("doc", "class")))
+        fitted = ml.ClassModel(self.config.class_model).fit(class_weights(rows.select("doc", "class")))
         return self.keep(fitted.predict(queries.withColumn("doc", ml.query_document("search_query", "filters"))))
 
     def matched(self, cands: DataFrame, queries: DataFrame, classes: DataFrame) -> DataFrame:
@@ -191,11 +197,15 @@ class Pipeline:
         labels = picked.join(corpus, "item_id", "left_semi").select(F.col("query_key").alias("query_id"), "item_id").distinct().withColumn("y", F.lit(1))
         rows = self.features(self.retrieve(asked, fit), asked, fit).join(labels, ["query_id", "item_id"], "left").fillna({"y": 0})
         scored = self.features(cands, queries, log)
-        names = [f"m{k}" for k in range(self.config.models)]
-        wide = scored
-        for k, name in enumerate(names):
-            wide = ml.PairwiseRanker(R.FEATURES, seed=k).fit(rows).transform(wide, name)
-        mean = ml.ensemble(self.keep(wide.select("query_id", "item_id", *names)), names)
+        seeds = range(1, self.config.models + 1)
+        if self.config.ranker == "trees":
+            mean = ml.seed_ensemble(rows, scored, lambda seed: ml.TreeRanker(R.FEATURES, trees=self.config.trees, seed=seed), seeds)
+        else:
+            wide = scored
+            for k in seeds:
+                wide = ml.PairwiseRanker(R.FEATURES, seed=k).fit(rows).transform(wide, f"m{k}")
+            mean = ml.ensemble(wide, [f"m{k}" for k in seeds])
+        mean = self.keep(mean)
         return K.resort(cands.select("query_id", "item_id", "score", "rank").join(mean, ["query_id", "item_id"]), F.round("pred", 9), keep=self.config.n_cands).select("query_id", "item_id", "score", "rank")
 
     def run(self, scheme: str = "meta") -> DataFrame:

@@ -8,6 +8,7 @@ from ..operators import evaluate as E
 from ..operators import ml
 from ..operators import rerank as R
 from ..operators import topk as K
+from ..sources import io
 from . import roles
 from .ranking import feature_inputs
 from .registry import query
@@ -16,35 +17,44 @@ _SOME = ("g_score_max", "bm25_pct", "cos", "title_overlap", "same_city", "prf20"
 
 
 def _rows(t):
-    """Features of candidates with y: the item was returned in large quantities to the query."""
+    """Features of candidates with y: the item was returned in large quantities to the query. Written once: fits read it often."""
     labels = roles.of(t, "LABELS").withColumn("y", F.lit(1))
     wide = R.features(*feature_inputs(t))
-    return wide.join(labels, ["query_id", "item_id"], "left").withColumn("y", F.coalesce("y", F.lit(0)))
+    rows = wide.join(labels, ["query_id", "item_id"], "left").withColumn("y", F.coalesce("y", F.lit(0)))
+    return io.stage(rows, io.work_folder(t.spark))
 
 
 @query("microcat_proba")
 def microcat_proba(t):
     """Classes of benchmark texts by a model of all labelled documents' whole texts."""
     docs = t.documents.join(t.labels.select("doc_id"), "doc_id", "left_semi").select(F.col("text").alias("doc"), F.col("lang").alias("class"), F.lit(1.0).alias("w")).where("doc <> ''")
-    model = ml.ClassModel("bayes").fit(docs)
+    model = ml.ClassModel().fit(docs)
     return model.predict(t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("doc")))
 
 
 @query("ranker_scores")
 def ranker_scores(t):
-    rows = _rows(t).cache()
-    return K.resort(ml.PairwiseRanker(_SOME).fit(rows).transform(rows).select("query_id", "item_id", "rank", "g_score", "pred").withColumnRenamed("g_score", "score"), F.round("pred", 9)).select("query_id", "item_id", "score", "rank")
+    rows = _rows(t)
+    both = rows.select("query_id", "item_id", "rank", F.col("g_score").alias("score")).join(ml.cross_fit(rows, lambda: ml.PairwiseRanker(_SOME), 2).drop("fold"), ["query_id", "item_id"])
+    return K.resort(both, F.round("pred", 9)).select("query_id", "item_id", "score", "rank")
+
+
+@query("tree_ranker")
+def tree_ranker(t):
+    """Two boosted rankers of different seeds, stopped early on folds of their own; mean of their z-scores."""
+    rows = _rows(t)
+    return ml.seed_ensemble(rows, rows, lambda seed: ml.TreeRanker(_SOME, trees=8, patience=3, seed=seed), (1, 2))
 
 
 @query("softmax_ranker")
 def softmax_ranker(t):
-    rows = _rows(t).cache()
-    return ml.SoftmaxRanker(_SOME[:4]).fit(rows, steps=5).transform(rows).select("query_id", "item_id", "pred")
+    rows = _rows(t)
+    return ml.cross_fit(rows, lambda: ml.SoftmaxRanker(_SOME[:4]), 2).select("query_id", "item_id", "pred")
 
 
 @query("crossfit")
 def crossfit(t):
-    return ml.cross_fit(_rows(t).cache(), lambda: ml.PairwiseRanker(_SOME), 2)
+    return ml.cross_fit(_rows(t), lambda: ml.PairwiseRanker(_SOME), 2)
 
 
 @query("stacker")
@@ -57,7 +67,7 @@ def stacker(t):
 @query("pipeline_ltr")
 def pipeline_ltr(t):
     """Features, three rankers on different seeds, mean of their z-scores, re-sorted."""
-    rows = _rows(t).cache()
+    rows = _rows(t)
     scored = rows
     for k in (1, 2, 3):
         scored = ml.PairwiseRanker(_SOME, seed=k).fit(rows).transform(scored, f"m{k}")
@@ -68,7 +78,7 @@ def pipeline_ltr(t):
 
 @query("importance")
 def importance(t):
-    rows = _rows(t).cache()
+    rows = _rows(t)
     model = ml.PairwiseRanker(_SOME[:3]).fit(rows)
     labels = roles.of(t, "LABELS")
 

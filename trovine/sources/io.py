@@ -144,13 +144,19 @@ def cached(spark: SparkSession, root: str, parts: Sequence[object], build: Calla
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder for tables between steps: below ``spark.checkpoint.dir``, or local where one machine has none set (tests)."""
+    """A new folder for tables between steps: below ``spark.checkpoint.dir``, or local where one machine has none set (tests).
+
+    It is removed when the session's process ends, if not before.
+    """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="trovine-")
-    return f"{root.rstrip('/')}/work-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/work-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
 
 
 def stage(df: DataFrame, path: str) -> DataFrame:
