@@ -134,4 +134,5 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alp
     come from there.
     """
     metrics = materialise(base_metrics(docs, stratum), "quality")
-    return judge(metrics, calibrate(metrics, labels, alpha, delta))
+    # Written too: of a table of a few rows Spark knows the size, and sends it out instead of sorting all by stratum.
+    return judge(metrics, materialise(calibrate(metrics, labels, alpha, delta), "cutoffs"))
