@@ -76,6 +76,16 @@ def test_tiered_top_k(spark):
     assert ids(got) == {"q": ["p3", "p1", "p5", "p2"]} and got.agg(F.sum("from_tier")).first()[0] == 3
 
 
+def test_pool_top_k_equals_tiered_top_k(spark):
+    rng = random.Random(6)
+    rows = [(q, i, round(rng.random(), 2) - 0.1, q % 3, i % 5) for q in range(9) for i in range(40)]
+    scored = spark.createDataFrame(rows, "query_id int, item_id int, score double, search_location_id int, item_location_id int")
+    pool = spark.createDataFrame([(s, (s + d) % 5, d) for s in range(3) for d in (0, 1)] + [(0, 1, 0)], "search_location_id int, item_location_id int, tier int")
+    tiers = scored.join(pool, ["search_location_id", "item_location_id"]).select("query_id", "item_id", "tier")
+    a, b = (sorted(map(tuple, x.select("query_id", "item_id", "rank", "from_tier").collect())) for x in (K.pool_top_k(scored, pool, 12, True), K.tiered_top_k(scored, tiers, 12, True)))
+    assert a == b and len(a) == 9 * 12
+
+
 def test_rrf_with_bonus_and_ties(spark):
     a, b = ranked(spark, {"q": ["x", "y", "z"]}), ranked(spark, {"q": ["y", "w", "x"]})
     got = {r.item_id: round(r.score, 6) for r in U.rrf([a, b]).collect()}

@@ -31,6 +31,16 @@ def tiered_top_k(scored: DataFrame, tiers: DataFrame, k: int, positive: bool = F
     return best.where(F.col("rank") <= k).withColumn("from_tier", (F.col("tier") < 2**30).cast("int"))
 
 
+def pool_top_k(scored: DataFrame, pool: DataFrame, k: int, positive: bool = False) -> DataFrame:
+    """As ``tiered_top_k``, with tiers by place: ``scored`` has search_location_id and item_location_id, ``pool``
+    (search_location_id, item_location_id, tier). The scores are made once, and joined with place pairs, not with items."""
+    places = ["search_location_id", "item_location_id"]
+    low = pool.groupBy(*places).agg(F.min("tier").alias("tier"))
+    rows = (scored.where("score > 0") if positive else scored).join(low, places, "left").withColumn("tier", F.coalesce("tier", F.lit(2**30)))
+    best = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("tier", F.desc("score"), "item_id")))
+    return best.where(F.col("rank") <= k).withColumn("from_tier", (F.col("tier") < 2**30).cast("int"))
+
+
 def city_first(scored: DataFrame, queries: DataFrame, k: int, mode: str = "geo", positive: bool = False) -> DataFrame:
     """One tier: items of the query's own location before all others (``geo``), or no tiers (``all``).
 
@@ -94,4 +104,4 @@ def random_subset(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return df.join(keys, key, "left_semi")
 
 
-__all__ = ["top_k", "tiered_top_k", "city_first", "fill", "fill_global", "resort", "quota", "top_lists", "random_subset", "head"]
+__all__ = ["top_k", "tiered_top_k", "pool_top_k", "city_first", "fill", "fill_global", "resort", "quota", "top_lists", "random_subset", "head"]

@@ -139,9 +139,9 @@ class Pipeline:
         docs = self.items.select(F.col("num").alias("item_id"), F.col("doc").alias("text"))
         sparse = S.score_all(docs, q.select(F.col("num").alias("query_id"), F.col("search_query").alias("text")), c.k1, c.b)
         sparse = self.keep(sparse.where("score > 0").withColumn("bm25_grank", W.global_rank("score")))
-        located = q.select(F.col("num").alias("query_id"), "search_location_id").join(tiers, "search_location_id")
-        own = located.join(sparse.join(self.items.select(F.col("num").alias("item_id"), "item_location_id"), "item_id"), ["query_id", "item_location_id"]).select("query_id", "item_id", "tier")
-        top_sparse = self.keep(K.tiered_top_k(sparse, own, c.n_cands, positive=True))
+        places = q.select(F.col("num").alias("query_id"), "search_location_id")
+        located = sparse.join(places, "query_id").join(self.items.select(F.col("num").alias("item_id"), "item_location_id"), "item_id")
+        top_sparse = self.keep(K.pool_top_k(located, tiers, c.n_cands, positive=True).select("query_id", "item_id", "score", "rank"))
         vectors = self._vectors(q.select("num", X.query_text(F.col("search_query"), X.clean_params("filters")).alias("text")), "num", "text").join(q.select("num", "search_location_id"), "num").withColumnRenamed("num", "query_id")
         corpus = self._vectors(self.items.select("num", F.col("doc").alias("text")), "num", "text").join(self.items.select("num", "item_location_id"), "num").withColumnRenamed("num", "item_id")
         vectors, corpus = self.keep(vectors), self.keep(corpus)

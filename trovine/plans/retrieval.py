@@ -145,9 +145,8 @@ def hybrid(t, k=300):
     place = (F.col("item_id") % 20).alias("item_location_id")
     asked = queries.select("query_id", (F.col("query_id") % 20).alias("search_location_id"))
     pool = t.spark.range(20).select(F.col("id").alias("search_location_id"), F.explode(F.array(F.col("id"), (F.col("id") + 1) % 20)).alias("item_location_id"), F.lit(0).alias("tier"))
-    scored = S.score_all(items, queries)
-    near = scored.select("query_id", "item_id", place).join(asked, "query_id").join(pool, ["search_location_id", "item_location_id"])
-    a = K.tiered_top_k(scored, near.select("query_id", "item_id", "tier"), k, True)
+    scored = S.score_all(items, queries).withColumn("search_location_id", F.col("query_id") % 20).withColumn("item_location_id", F.col("item_id") % 20)
+    a = K.pool_top_k(scored, pool, k, True)
     corpus = _corpus(t)
     vectors = corpus.withColumnRenamed("item_id", "query_id").join(asked, "query_id")
     b = D.search_pools(vectors, corpus.select("item_id", "vector", place), pool, k)
