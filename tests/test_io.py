@@ -112,3 +112,24 @@ def test_library_does_not_import_the_preparation_package():
     from pathlib import Path
 
     assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], check=False).returncode == 0
+
+
+def test_a_saved_split_comes_back(spark, tmp_path):
+    log = spark.createDataFrame([(f"k{n % 4}", n) for n in range(12)], "query_key string, row_id int")
+    keys = spark.createDataFrame([("k1",), ("k3",)], "query_key string")
+    held = log.join(keys, "query_key", "left_semi")
+    io.save_split(f"file://{tmp_path}/s", held.select("query_key").distinct(), held, held.select("row_id"), keys)
+    got = io.load_split(spark, f"file://{tmp_path}/s", log)
+    assert set(got) == {*io.SPLIT, "train_fit"} and {r.query_key for r in got["train_fit"].collect()} == {"k0", "k2"} and got["mask"].count() == 6
+
+
+def test_timings_and_stubs():
+    from trovine.operators import rerank as R
+
+    t = io.Timings()
+    with t.step("a"):
+        pass
+    assert t.steps["a"] >= 0 and t.memory["a"] > 1
+    for stub in (R.apply_cross_encoder, R.apply_extra_dense):
+        with pytest.raises(NotImplementedError):
+            stub()

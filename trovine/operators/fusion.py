@@ -128,6 +128,16 @@ def overlap(a: DataFrame, b: DataFrame, labels: DataFrame, k: int = 50) -> DataF
     return at.agg(F.count_if(ina & inb).alias("both"), F.count_if(ina & ~inb).alias("only_a"), F.count_if(~ina & inb).alias("only_b"), F.count_if(~ina & ~inb).alias("none"))
 
 
+def moved(a: DataFrame, b: DataFrame, labels: DataFrame, k: int = 50) -> DataFrame:
+    """(query_id, item_id, move, rank_a, rank_b): labelled items that only one of two systems has in its first ``k``;
+    ``in`` if that is b, ``out`` if it is a. Ranks are those of the whole lists, null where the item is in none."""
+    at = labels.select("query_id", "item_id").distinct()
+    for name, x in (("rank_a", a), ("rank_b", b)):
+        at = at.join(x.select("query_id", "item_id", F.col("rank").alias(name)), ["query_id", "item_id"], "left")
+    ina, inb = F.coalesce(F.col("rank_a") <= k, F.lit(False)), F.coalesce(F.col("rank_b") <= k, F.lit(False))
+    return at.where(ina != inb).select("query_id", "item_id", F.when(inb, "in").otherwise("out").alias("move"), "rank_a", "rank_b")
+
+
 def same_top(a: DataFrame, b: DataFrame, k: int = 50) -> DataFrame:
     """Per query: shared items of the first ``k`` of two systems, and whether the sets are equal."""
     rows = a.where(F.col("rank") <= k).select("query_id", "item_id", F.lit(1).alias("x")).join(b.where(F.col("rank") <= k).select("query_id", "item_id", F.lit(1).alias("y")), ["query_id", "item_id"], "outer")

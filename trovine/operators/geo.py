@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import EARTH_KM, haversine
+from ..functions.numeric import EARTH_KM, haversine, seeded_order
 from ..functions.text import text, word_runs
 
 # The rule names of the catalogue and the id that stands for the whole country.
@@ -243,6 +243,30 @@ def filter_loss(log: DataFrame, pairs: DataFrame, km: float = 100) -> DataFrame:
     return rows.agg(*(F.avg((~c).cast("int")).alias(n) for n, c in (("exact", own), ("radius", own | close), ("pair_map", own | pair), ("all", own | close | pair))))
 
 
+def filter_loss_split(log: DataFrame, region_ids: DataFrame, items: DataFrame, key: str = "query_key", least: float = 0.01, km: float = 100, seed: int = 5) -> DataFrame:
+    """``filter_loss`` with a pair map learned on one half of the keys (by MD5) and applied to the other: half, n and the
+    shares lost, a row for each half. A map that is tested on what it has learned from looks better than it is."""
+    half = F.conv(F.substring(seeded_order(key, seed=seed), 1, 6), 16, 10).cast("long") % 2
+    rows, out = log.withColumn("_half", half), []
+    for k in (0, 1):
+        own = rows.where(F.col("_half") == k)
+        loss = filter_loss(own, city_pairs(rows.where(F.col("_half") != k), region_ids, items, least), km)
+        out.append(loss.crossJoin(own.agg(F.count("*").alias("n"))).select(F.lit(k).alias("half"), "n", *loss.columns))  # one row each
+    return reduce(DataFrame.unionByName, out)
+
+
+def source_recall(pool_items: DataFrame, labels: DataFrame, sources: dict[str, DataFrame], k: int = 300) -> DataFrame:
+    """(source, answers, answers_in_pool, recall, recall_in_pool): of each source's first ``k``, the share of all labels
+    and of those in the pool that it has."""
+    own = labels.select("query_id", "item_id").distinct().join(pool_items.select("query_id", "item_id").distinct().withColumn("_in", F.lit(1)), ["query_id", "item_id"], "left")
+    out = []
+    for name, cands in sources.items():
+        hit = own.join(cands.where(F.col("rank") <= k).select("query_id", "item_id").distinct().withColumn("_hit", F.lit(1)), ["query_id", "item_id"], "left")
+        found = F.coalesce(F.col("_hit"), F.lit(0))
+        out.append(hit.agg(F.lit(name).alias("source"), F.count("*").alias("answers"), F.count("_in").alias("answers_in_pool"), F.avg(found).alias("recall"), F.avg(F.when(F.col("_in") == 1, found)).alias("recall_in_pool")))
+    return reduce(DataFrame.unionByName, out)
+
+
 def pool_report(queries: DataFrame, pool_items: DataFrame, labels: DataFrame) -> DataFrame:
     """Per query: pool size, and the share of its labels that are in the pool."""
     size = pool_items.groupBy("query_id").agg(F.count("*").alias("pool_size"))

@@ -41,6 +41,16 @@ def meta_bonus(cands: DataFrame, weights: Mapping[str, float] = META_WEIGHTS, ba
     return resort(rows, F.round(weighted_sum(base_score(base), weights), 12)).select("query_id", "item_id", "score", "rank")
 
 
+def apply_cross_encoder(*_args, **_options) -> None:
+    """No pair model is bundled: fails at once, not after hours of retrieval."""
+    raise NotImplementedError("no pair model is bundled; score pairs with ml.score_pairs and fuse them with fusion.rerank_head")
+
+
+def apply_extra_dense(*_args, **_options) -> None:
+    """No second encoder is bundled: fails at once."""
+    raise NotImplementedError("no second encoder is bundled; give Pipeline an encoder, or add a list with fusion.union_candidates")
+
+
 def item_quality(items: DataFrame) -> DataFrame:
     """Quality features of items (item_id, reviews, rating, price, phone_hidden, msg_forbidden, description, title)."""
     rev = F.coalesce(F.col("reviews").cast("double"), F.lit(0.0))

@@ -207,6 +207,11 @@ def set_overlap(t):
     return U.overlap(a, b, labels).withColumnsRenamed({"both": "both_", "none": "none_"})
 
 
+@query("moved_answers", roles.sql("SELECT l.query_id, l.item_id, CASE WHEN coalesce(b.rank <= 50, false) THEN 'in' ELSE 'out' END AS move, a.rank AS rank_a, b.rank AS rank_b FROM labels_ l LEFT JOIN list_a a ON a.query_id = l.query_id AND a.item_id = l.item_id LEFT JOIN list_b b ON b.query_id = l.query_id AND b.item_id = l.item_id WHERE coalesce(a.rank <= 50, false) <> coalesce(b.rank <= 50, false)", A, B, "LABELS").replace("labels AS", "labels_ AS"))
+def moved_answers(t):
+    return U.moved(*_lists(t, A, B, "LABELS"))
+
+
 @query("same_top", roles.sql("SELECT coalesce(a.query_id, b.query_id) AS query_id, count(*) FILTER (a.item_id IS NOT NULL AND b.item_id IS NOT NULL) AS shared, count(*) FILTER (a.item_id IS NULL OR b.item_id IS NULL) = 0 AS equal_sets FROM (SELECT * FROM list_a WHERE rank <= 50) a FULL JOIN (SELECT * FROM list_b WHERE rank <= 50) b ON a.query_id = b.query_id AND a.item_id = b.item_id GROUP BY 1", A, B))
 def same_top(t):
     return U.same_top(*_lists(t, A, B))

@@ -298,6 +298,31 @@ def pool_report(t):
     return G.pool_report(s, G.pool_rows(s, own, items), roles.of(t, "LABELS")).select("query_id", "pool_size")
 
 
+_KM = "abs(search_location_id - item_location_id) * 300.0 AS km"
+_HALVES = f""", h AS (SELECT *, CAST('0x' || md5('5|' || query_key)[1:6] AS BIGINT) % 2 AS half, {_KM} FROM log WHERE search_location_id < 1000),
+s AS (SELECT half, search_location_id, item_location_id, count(*) / CAST(sum(count(*)) OVER (PARTITION BY half, search_location_id) AS DOUBLE) AS share FROM h GROUP BY 1, 2, 3),
+p AS (SELECT * FROM s WHERE share >= 0.01 AND search_location_id <> item_location_id AND item_location_id IN (SELECT item_location_id FROM items) AND search_location_id IN (SELECT item_location_id FROM items))
+SELECT CAST(h.half AS INT) AS half, count(*) AS n, round(avg(CASE WHEN h.search_location_id = h.item_location_id THEN 0 ELSE 1 END), 6) AS exact, round(avg(CASE WHEN h.search_location_id = h.item_location_id OR km <= 1000 THEN 0 ELSE 1 END), 6) AS radius,
+round(avg(CASE WHEN h.search_location_id = h.item_location_id OR p.share IS NOT NULL THEN 0 ELSE 1 END), 6) AS pair_map, round(avg(CASE WHEN h.search_location_id = h.item_location_id OR km <= 1000 OR p.share IS NOT NULL THEN 0 ELSE 1 END), 6) AS "all"
+FROM h LEFT JOIN p ON p.half <> h.half AND p.search_location_id = h.search_location_id AND p.item_location_id = h.item_location_id GROUP BY 1"""
+
+
+@query("filter_loss_split", roles.sql(_HALVES, "LOG", "ITEMS").replace(") , h AS", "), h AS"))
+def filter_loss_split(t):
+    log, items, regions = _maps(t)
+    rows = log.where("search_location_id < 1000").withColumn("km", F.abs(F.col("search_location_id") - F.col("item_location_id")) * 300.0)
+    out = G.filter_loss_split(rows, regions, items, km=1000)
+    return out.select("half", "n", *(F.round(c, 6).alias(c) for c in ("exact", "radius", "pair_map", "all")))
+
+
+@query("source_recall", roles.sql("SELECT source, count(*) AS answers, CAST(sum(p) AS BIGINT) AS answers_in_pool, round(avg(hit), 6) AS recall, round(avg(CASE WHEN p = 1 THEN hit END), 6) AS recall_in_pool FROM (SELECT s.source, CASE WHEN l.item_id % 20 = l.query_id % 20 THEN 1 ELSE 0 END AS p, CASE WHEN r.item_id IS NULL THEN 0 ELSE 1 END AS hit FROM labels_ l CROSS JOIN (VALUES ('a'), ('b')) s(source) LEFT JOIN (SELECT 'a' AS source, * FROM list_a UNION ALL SELECT 'b', * FROM list_b) r ON r.source = s.source AND r.query_id = l.query_id AND r.item_id = l.item_id AND r.rank <= 100) x GROUP BY 1", "LIST_A", "LIST_B", "LABELS").replace("labels AS", "labels_ AS"))
+def source_recall(t):
+    a, b, labels = (roles.of(t, n) for n in ("LIST_A", "LIST_B", "LABELS"))
+    pool = labels.where("item_id % 20 = query_id % 20")
+    out = G.source_recall(pool, labels, {"a": a, "b": b}, 100)
+    return out.select("source", "answers", "answers_in_pool", F.round("recall", 6).alias("recall"), F.round("recall_in_pool", 6).alias("recall_in_pool"))
+
+
 _CITY = "SELECT c_custkey AS query_id, CASE c_custkey % 6 WHEN 0 THEN 'ремонт в казани' WHEN 1 THEN 'уборка нижний новгород' WHEN 2 THEN 'няня спб' WHEN 3 THEN 'перевозка самара казань' WHEN 4 THEN 'ключи' ELSE 'мастер Казань' END AS search_query FROM customer"
 
 

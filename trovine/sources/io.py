@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import resource
 import tempfile
 import time
 import uuid
@@ -170,11 +171,28 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: The tables of a saved split.
+SPLIT = ("queries", "labels", "mask", "keys")
+
+
+def save_split(path: str, queries: DataFrame, labels: DataFrame, mask: DataFrame, keys: DataFrame) -> None:
+    """The four tables of a split: its queries, their answers, the log rows that go, and the keys held out."""
+    for name, df in zip(SPLIT, (queries, labels, mask, keys), strict=True):
+        df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
+
+
+def load_split(spark: SparkSession, path: str, log: DataFrame | None = None, key: str = "query_key") -> dict[str, DataFrame]:
+    """The tables of a saved split; with ``log`` also train_fit: its rows whose key is not held out."""
+    tables = {name: spark.read.parquet(f"{path.rstrip('/')}/{name}") for name in SPLIT}
+    return tables | ({"train_fit": without_keys(log, tables["keys"], key)} if log is not None else {})
+
+
 class Timings:
-    """Wall time of named steps."""
+    """Wall time of named steps, and the most memory that the driver's process had by the end of each, in MB."""
 
     def __init__(self) -> None:
         self.steps: dict[str, float] = {}
+        self.memory: dict[str, float] = {}
 
     @contextmanager
     def step(self, name: str) -> Iterator[None]:
@@ -183,6 +201,7 @@ class Timings:
             yield
         finally:
             self.steps[name] = self.steps.get(name, 0.0) + time.perf_counter() - start
+            self.memory[name] = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "csv", **config: object) -> None:
