@@ -261,6 +261,15 @@ def test_threshold_recall_counts_ties(spark):
     assert E.threshold_recall(cands, labels, 2).first().recall == pytest.approx(4 / 6)
 
 
+def test_big_cities_are_known_without_items(spark):
+    items = spark.createDataFrame([(k, 1, "Место оказания услуг Край, Казань, ул. Баумана 5 Тип x") for k in range(6)], "item_id int, item_location_id int, params string")
+    names = G.city_names(items, items.groupBy("item_location_id").agg(F.count("*").alias("n_items")))
+    got = {r.name: r.item_location_id for r in names.collect()}
+    assert got["казань"] == 1 and got["ростов-на-дону"] is None and len(got) == len(G.BIG_CITIES)
+    q = spark.createDataFrame([(1, "няня ростов-на-дону"), (2, "ремонт в белом"), (3, "мастер в Казани")], "query_id int, search_query string")
+    assert dict(G.named_city(q, G.city_forms(names)).collect()) == {1: "ростов-на-дону", 3: "казань"}
+
+
 def test_long_city_names(spark):
     names = spark.createDataFrame([("новый город на большой реке",), ("казань",)], "name string")
     q = spark.createDataFrame([(1, "казань новый город на большой реке")], "query_id int, search_query string")

@@ -19,6 +19,19 @@ COUNTRY = 621540
 # Endings of inflected city names, and everyday names of cities.
 ENDINGS = ("", "а", "е", "у", "ом", "ым", "ой", "и", "ы", "ах", "ам", "ского", "ском", "ской", "ске")
 ALIASES = {"спб": "санкт-петербург", "питер": "санкт-петербург", "мск": "москва", "екб": "екатеринбург", "нск": "новосибирск", "нижний": "нижний новгород"}
+# Big cities, known with or without items there, and city names that are common words of services.
+BIG_CITIES = (
+    "москва", "санкт-петербург", "новосибирск", "екатеринбург", "казань", "нижний новгород", "челябинск",
+    "самара", "омск", "ростов-на-дону", "уфа", "красноярск", "воронеж", "пермь", "волгоград", "краснодар",
+    "саратов", "тюмень", "тольятти", "ижевск", "барнаул", "ульяновск", "иркутск", "хабаровск", "ярославль",
+    "владивосток", "махачкала", "томск", "оренбург", "кемерово", "сочи", "тбилиси", "владикавказ", "минск",
+)
+STOP_NAMES = (
+    "мирный", "белый", "вывоз", "ремонт", "свобода", "мир", "октябрьский", "советский", "заречный",
+    "новый", "лесной", "пушкин", "луч", "бор", "радужный", "победа", "северный", "южный", "центральный",
+    "восточный", "западный", "кировский", "первомайский", "ленинский", "московский", "раменское",
+    "дружба", "звездный", "солнечный", "садовый", "полевой", "зеленый", "степной", "берег", "озерный",
+)
 # Where an address ends, and words of regions and of streets; the names found depend on them.
 PLACE = r"Место оказания услуг (.+?)(?: Тип | Вид | Как вы | Работаете | Опыт | Где вы | Кто | График |  Время | Специальность | Гарантия | Начальная | Куда | Услуга | Стоимость |$)"
 REGION_WORDS = r"(?iu)(область|край|республик|округ|район|р-н|ао$|автономн)"
@@ -186,17 +199,21 @@ def address_parts(params: str | Column) -> Column:
     return F.transform(kept, lambda p: F.translate(F.lower(p), "ё", "е"))
 
 
-def city_names(items: DataFrame, cent: DataFrame, rows: int = 5, share: float = 0.2) -> DataFrame:
+def city_names(items: DataFrame, cent: DataFrame, rows: int = 5, share: float = 0.2, big: tuple[str, ...] = BIG_CITIES) -> DataFrame:
     """(name, item_location_id): the most frequent address part of each location with enough support; of locations with
-    one name, that with more items."""
+    one name, that with more items. Names of ``big`` cities that no location has are there without a location."""
     parts = items.select("item_location_id", F.explode(address_parts("params")).alias("name")).groupBy("item_location_id", "name").agg(F.count("*").alias("k"))
     w = Window.partitionBy("item_location_id")
     best = parts.withColumn("total", F.sum("k").over(w)).withColumn("_r", F.row_number().over(w.orderBy(F.desc("k"), "name"))).where("_r = 1")
     best = best.where((F.col("k") >= rows) & (F.col("k") >= share * F.col("total"))).join(cent.select("item_location_id", "n_items"), "item_location_id", "left")
-    return best.groupBy("name").agg(F.max_by("item_location_id", F.struct(F.coalesce("n_items", F.lit(0)), -F.col("item_location_id"))).alias("item_location_id"))
+    found = best.groupBy("name").agg(F.max_by("item_location_id", F.struct(F.coalesce("n_items", F.lit(0)), -F.col("item_location_id"))).alias("item_location_id"))
+    if not big:
+        return found
+    extra = items.sparkSession.createDataFrame([(b,) for b in big], "name string").join(found, "name", "left_anti")
+    return found.unionByName(extra.withColumn("item_location_id", F.lit(None).cast(found.schema["item_location_id"].dataType)))
 
 
-def city_forms(names: DataFrame, aliases: dict[str, str] = ALIASES, stop: tuple[str, ...] = ()) -> DataFrame:
+def city_forms(names: DataFrame, aliases: dict[str, str] = ALIASES, stop: tuple[str, ...] = STOP_NAMES) -> DataFrame:
     """(form, name, multi): inflected forms of one-word names, whole names of several words, and aliases."""
     kept = names.select("name").where(~F.col("name").isin(*stop)) if stop else names.select("name")
     multi = F.col("name").rlike("[ -]")

@@ -109,7 +109,7 @@ def coordinate_ascent(t):
     return t.spark.createDataFrame([(k, float(v)) for k, v in best.items()], "parameter string, value double")
 
 
-@query("pair_scores")
+@query("pair_scores", "SELECT p_partkey % 50 AS query_id, p_partkey AS item_id, round(len(list_intersect(q, d)) / CAST(len(q) AS DOUBLE), 6) AS ce FROM (SELECT p_partkey, list_distinct(string_split(p_name, ' ')) AS q, list_distinct(string_split(string_split(p_name, ' ')[1 + p_size % 2] || ' ' || p_type, ' ')) AS d FROM part) x")
 def pair_scores(t):
     """A pair model (here: share of common words) with a cache: pairs scored before are not scored again."""
 
@@ -119,6 +119,6 @@ def pair_scores(t):
 
         return model
 
-    pairs = t.part.select((F.col("p_partkey") % 50).alias("query_id"), F.col("p_partkey").alias("item_id"), F.col("p_name").alias("q"), F.concat_ws(" ", "p_name", "p_type").alias("d"))
+    pairs = t.part.select((F.col("p_partkey") % 50).alias("query_id"), F.col("p_partkey").alias("item_id"), F.col("p_name").alias("q"), F.concat_ws(" ", F.get(F.split("p_name", " "), F.col("p_size") % 2), "p_type").alias("d"))
     first = ml.score_pairs(pairs.where("item_id % 2 = 0"), load)
-    return ml.score_pairs(pairs, load, first)
+    return ml.score_pairs(pairs, load, first).withColumn("ce", F.round("ce", 6))

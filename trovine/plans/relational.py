@@ -339,7 +339,7 @@ def city_names(t):
     said = F.when(F.col("p_size") % 10 == 0, (F.col("p_partkey") + F.col("p_size")) % 20).otherwise(F.col("p_partkey") % 20)
     items = t.part.select(F.col("p_partkey").alias("item_id"), (F.col("p_partkey") % 20).cast("int").alias("item_location_id"), said.alias("n_nationkey")).join(t.nation.select("n_nationkey", "n_name"), "n_nationkey")
     items = items.withColumn("params", F.concat(F.lit("Место оказания услуг Новая область, "), F.translate("n_name", "0123456789", "abcdefghij"), F.lit(", ул. Баумана 5 Тип x")))
-    return G.city_names(items, items.groupBy("item_location_id").agg(F.count("*").alias("n_items")))
+    return G.city_names(items, items.groupBy("item_location_id").agg(F.count("*").alias("n_items")), big=())
 
 
 @query("unreliable_names", "SELECT lower(n_name) AS name FROM (SELECT c_custkey % 20 AS k, count(*) AS n, avg(CASE WHEN CASE WHEN c_custkey % 20 < 15 AND c_custkey % 3 > 0 THEN c_custkey % 20 ELSE c_nationkey % 20 END = c_custkey % 20 THEN 1 ELSE 0 END) AS share FROM customer GROUP BY 1) x JOIN nation ON n_nationkey = k WHERE n >= 5 AND share < 0.2")
