@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,15 +120,17 @@ def write_answer(cands: DataFrame, queries: DataFrame, path: str, k: int = 50, i
 def resume_write(df: DataFrame, path: str, key: str) -> int:
     """Appends the rows whose key is not at ``path`` yet; returns how many.
 
-    One write counts them on its way; a run that failed has left nothing, and the next one starts from what is there.
+    A run that failed has left nothing, and the next one starts from what is there. The counts come from the files' footers.
+    (An observation would count on the way, but a session with one can no longer send fitted models to its tasks.)
     """
     spark = df.sparkSession
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    before = 0
     if jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path):
-        df = df.join(spark.read.parquet(path).select(key), key, "left_anti")
-    written = Observation()
-    df.observe(written, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
-    return written.get["n"]
+        known = spark.read.parquet(path)
+        df, before = df.join(known.select(key), key, "left_anti"), known.count()
+    df.write.mode("append").parquet(path)
+    return spark.read.parquet(path).count() - before
 
 
 def fingerprint(*parts: object) -> str:
