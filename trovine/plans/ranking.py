@@ -144,7 +144,7 @@ def fuse_minmax(t):
 @query("fuse_weighted_z", roles.sql(_FUSE.format(f"CASE WHEN stddev_pop(score) {_Q} > 0 THEN (score - avg(score) {_Q}) / stddev_pop(score) {_Q} ELSE 0 END").replace("round(score, 6) AS score", "round(score, 4) AS score").replace("round(score, 12)", "round(score, 8)"), A, B))
 def fuse_z(t):
     a, b = _lists(t, A, B)
-    return U.weighted(a, b, norm="z").withColumn("score", F.round("score", 4))
+    return U.weighted(a, b, norm="z", digits=8).withColumn("score", F.round("score", 4))
 
 
 @query("interleave", roles.sql("SELECT query_id, item_id, CAST(r AS INT) AS rank FROM (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY min(p), item_id) AS r FROM (SELECT query_id, item_id, 2 * rank - 1 AS p FROM list_a UNION ALL SELECT query_id, item_id, 2 * rank FROM list_b) u GROUP BY 1, 2) x WHERE r <= 300", A, B))
