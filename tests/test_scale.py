@@ -6,6 +6,7 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 
+from trovine.operators import geo as G
 from trovine.plans import registry
 
 
@@ -34,3 +35,19 @@ def test_fused_z_scores_that_agree_to_eight_digits_are_tied(spark, tmp_path):
     lineitem(tmp_path, [(1, 1, 3, 10.0, 100.0), (2, 1, 3, 10.0, 100.001), (3, 1, 3, 20.0, 2e6)])
     got = same_as_sql(spark, tmp_path, "fuse_weighted_z")
     assert {r[1]: r[3] for r in got} == {3: 1, 1: 2, 2: 3}
+
+
+def places(folder, customers, parts):
+    """``customers``: key, nation; ``parts``: keys."""
+    pq.write_table(pa.table({"c_custkey": [c for c, _ in customers], "c_nationkey": pa.array([n for _, n in customers], pa.int32()), "c_mktsegment": ["MACHINERY"] * len(customers)}), folder / "customer.parquet")
+    pq.write_table(pa.table({"n_nationkey": pa.array(range(25), pa.int32()), "n_regionkey": pa.array([n % 5 for n in range(25)], pa.int32())}), folder / "nation.parquet")
+    n = len(parts)
+    pq.write_table(pa.table({"p_partkey": parts, "p_name": ["a b"] * n, "p_type": ["t"] * n, "p_brand": ["B"] * n, "p_size": pa.array([1] * n, pa.int32()), "p_retailprice": [5.0] * n}), folder / "part.parquet")
+
+
+def test_pools_are_counted_without_their_pairs(spark, tmp_path, monkeypatch):
+    # Queries with one id in two places, parts of one id, a place without parts (nation 24).
+    places(tmp_path, [(1, 3), (1, 4), (2, 3), (3, 24)], [3, 3, 23, 4])
+    lineitem(tmp_path, [(3, 1, 3, 41.0, 1.0), (4, 2, 3, 50.0, 1.0)])
+    monkeypatch.setattr(G, "pool_rows", None)
+    assert same_as_sql(spark, tmp_path, "geo_pool_retrieval") == [(1, 4, 0), (2, 3, 0)]
