@@ -51,3 +51,15 @@ def test_pools_are_counted_without_their_pairs(spark, tmp_path, monkeypatch):
     lineitem(tmp_path, [(3, 1, 3, 41.0, 1.0), (4, 2, 3, 50.0, 1.0)])
     monkeypatch.setattr(G, "pool_rows", None)
     assert same_as_sql(spark, tmp_path, "geo_pool_retrieval") == [(1, 4, 0), (2, 3, 0)]
+
+
+def test_the_pool_report_counts_without_pairs(spark, tmp_path, monkeypatch):
+    places(tmp_path, [(1, 3), (1, 4), (2, 3), (3, 24)], [3, 3, 23, 4])
+    lineitem(tmp_path, [(3, 1, 3, 41.0, 1.0), (4, 2, 3, 50.0, 1.0)])
+    monkeypatch.setattr(G, "pool_rows", None)
+    assert same_as_sql(spark, tmp_path, "pool_report") == [(1, 4), (2, 3), (3, 0)]
+    queries = spark.createDataFrame([(1, 7), (2, 8)], "query_id int, search_location_id int")
+    pool = spark.createDataFrame([(7, 1, 0), (7, 2, 1), (8, 2, 0)], "search_location_id int, item_location_id int, tier int")
+    items = spark.createDataFrame([(10, 1), (11, 2), (12, 3)], "item_id int, item_location_id int")
+    labels = spark.createDataFrame([(1, 10), (1, 12), (2, 11), (2, 99)], "query_id int, item_id int")
+    assert sorted(map(tuple, G.pool_report(queries, pool, items, labels).collect())) == [(1, 2, 0.5), (2, 1, 0.5)]
