@@ -1,13 +1,20 @@
 """Queries against their SQL on small tables made for a fault, and the plans and sizes of what grows with the input."""
 
+import hashlib
+import re
 from datetime import datetime
 
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
 
 from trovine.operators import geo as G
-from trovine.plans import registry
+from trovine.operators import ml
+from trovine.operators import rerank as R
+from trovine.operators import windows as W
+from trovine.plans import learning, ranking, registry
 
 
 def same_as_sql(spark, folder, name):
@@ -63,3 +70,47 @@ def test_the_pool_report_counts_without_pairs(spark, tmp_path, monkeypatch):
     items = spark.createDataFrame([(10, 1), (11, 2), (12, 3)], "item_id int, item_location_id int")
     labels = spark.createDataFrame([(1, 10), (1, 12), (2, 11), (2, 99)], "query_id int, item_id int")
     assert sorted(map(tuple, G.pool_report(queries, pool, items, labels).collect())) == [(1, 2, 0.5), (2, 1, 0.5)]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+
+
+def test_a_percentile_rank_needs_one_sort(spark):
+    df = spark.range(9).select((F.col("id") % 2).alias("query_id"), F.col("id").cast("double").alias("a"))
+    assert plan_of(df.select("query_id", W.percentile_rank("a"))).count("Sort [") == 1
+
+
+def test_candidates_with_texts_travel_to_their_query_once(spark, sf):
+    """Classes are looked up at the query: no exchange by (query, class) for a join, and only the features asked for are made."""
+    plan = plan_of(R.features(*ranking.feature_inputs(registry.Tables(spark, sf))))
+    assert not re.search(r"Join \[query_id#\d+L?, class#", plan)
+    assert R.features(*ranking.feature_inputs(registry.Tables(spark, sf)), wanted=("cos", "p_mc")).columns == ["query_id", "item_id", "rank", "cos", "p_mc"]
+
+
+def test_the_stacker_fits_on_written_rows(spark, sf):
+    assert not [f for f in registry.queries()["stacker"](spark, sf).inputFiles() if "lineitem" in f]
+
+
+@pytest.mark.parametrize("name", ["ranker_scores", "pipeline_ltr"])
+def test_scores_are_not_joined_back_to_their_rows(spark, sf, name):
+    assert "Join" not in plan_of(registry.queries()[name](spark, sf))
+
+
+def test_only_what_a_ranker_needs_is_written(spark, sf):
+    assert set(learning._rows(registry.Tables(spark, sf), ("cos",)).columns) == {"query_id", "item_id", "rank", "y", "cos"}
+
+
+def test_features_are_dealt_out_in_one_pass(spark, monkeypatch):
+    rows = [(q, i, float((q * 7 + i * 3) % 5), float(i)) for q in range(4) for i in range(6)]
+    df = spark.createDataFrame(rows, "query_id int, item_id int, a double, b double")
+    ranker = ml.PairwiseRanker(["a", "b"])
+    ranker.scale, ranker.weights = [(0.0, 1.0)] * 2, [1.0, 2.0]
+    seen = []
+    monkeypatch.setattr(type(df), "join", None)
+    ml.permutation_importance(df, ranker, lambda d: seen.append({(r.query_id, r.item_id): r.pred for r in d.collect()}) or 0.0)
+    order = lambda i: (hashlib.md5(f"5|{i}".encode()).hexdigest(), i)
+    dealt = [sorted(range(6), key=order)[i] for i in range(6)]
+    own = {(q, i): (a, b) for q, i, a, b in rows}
+    want = [{k: a + 2 * b for k, (a, b) in own.items()}, {(q, i): own[q, dealt[i]][0] + 2 * b for (q, i), (_, b) in own.items()}, {(q, i): a + 2 * own[q, dealt[i]][1] for (q, i), (a, _) in own.items()}]
+    assert seen == want
