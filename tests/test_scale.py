@@ -5,11 +5,13 @@ import re
 from datetime import datetime
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from trovine.operators import dense as D
 from trovine.operators import geo as G
 from trovine.operators import ml
 from trovine.operators import rerank as R
@@ -114,3 +116,33 @@ def test_features_are_dealt_out_in_one_pass(spark, monkeypatch):
     own = {(q, i): (a, b) for q, i, a, b in rows}
     want = [{k: a + 2 * b for k, (a, b) in own.items()}, {(q, i): own[q, dealt[i]][0] + 2 * b for (q, i), (_, b) in own.items()}, {(q, i): a + 2 * own[q, dealt[i]][1] for (q, i), (a, _) in own.items()}]
     assert seen == want
+
+
+def test_ranks_of_many_pairs_equal_numpy(spark, monkeypatch):
+    """Several blocks of queries and of the corpus; nulls on both sides; no vector travels with a pair."""
+    monkeypatch.setattr(D, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(D, "dot", None)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(90, 6)).round(1)
+    corpus = spark.createDataFrame([(i, x[i].tolist() if i != 7 else None, i % 4 if i != 9 else None) for i in range(90)], "item_id long, vector array<double>, label int")
+    queries = corpus.where("item_id % 2 = 0").withColumnRenamed("item_id", "query_id").withColumn("vector", F.when(F.col("query_id") != 4, F.col("vector")))
+    pairs = queries.select("query_id").crossJoin(corpus.select("item_id")).where("(query_id + item_id) % 3 = 0")
+    got = {(r.query_id, r.item_id): (r.score, r.grank) for r in D.pair_ranks(D.pair_scores(pairs, queries, corpus), queries, corpus).collect()}
+    full = np.delete(np.round(x @ x.T, 6), 7, axis=1)
+    want = {}
+    for r in pairs.collect():
+        score = 0.0 if r.query_id == 4 or r.item_id == 7 else float(np.round(x[r.query_id] @ x[r.item_id], 6))
+        want[r.query_id, r.item_id] = (score, 1 if r.query_id == 4 else 1 + int((full[r.query_id] > score).sum()))
+    assert got == want
+    best = {r.query_id: r.best for r in D.rank_of_best_alike(queries, corpus).collect()}
+    own = {q: [g for i in range(90) if i not in (7, 9, q) and i % 4 == q % 4 for g in [1 + int((full[q] > np.round(x[q] @ x[i], 6)).sum())]] for q in range(0, 90, 2)}
+    assert best == {q: min(v) for q, v in own.items() if q != 4}
+
+
+def test_large_sql_search_is_the_block_search(spark, monkeypatch):
+    corpus = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(30)], "item_id long, vector array<double>")
+    queries = corpus.where("item_id < 5").withColumnRenamed("item_id", "query_id")
+    want = sorted(map(tuple, D.search_sql(queries, corpus, 4).select("query_id", "item_id", "score", "rank").collect()))
+    monkeypatch.setattr(D, "PAIRS", 10)
+    monkeypatch.setattr(D, "dot", None)
+    assert sorted(map(tuple, D.search_sql(queries, corpus, 4).select("query_id", "item_id", "score", "rank").collect())) == want
