@@ -146,3 +146,9 @@ def test_large_sql_search_is_the_block_search(spark, monkeypatch):
     monkeypatch.setattr(D, "PAIRS", 10)
     monkeypatch.setattr(D, "dot", None)
     assert sorted(map(tuple, D.search_sql(queries, corpus, 4).select("query_id", "item_id", "score", "rank").collect())) == want
+
+
+def test_gradients_make_no_rows_of_pairs(spark):
+    df = spark.createDataFrame([(1, i, int(i < 2), float(-i), [float(i)]) for i in range(5)], "query_id int, item_id int, y int, score double, x array<double>")
+    out = ml.TreeRanker([]).gradients(df, ("x",))
+    assert "Join" not in plan_of(out) and {(r.item_id, r.x[0]) for r in out.collect()} == {(i, float(i)) for i in range(5)}
