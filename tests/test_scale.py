@@ -1,7 +1,9 @@
 """Queries against their SQL on small tables made for a fault, and the plans and sizes of what grows with the input."""
 
 import hashlib
+import math
 import re
+from collections import Counter
 from datetime import datetime
 
 import duckdb
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from trovine.operators import dense as D
 from trovine.operators import geo as G
-from trovine.operators import ml
+from trovine.operators import ml, ngrams
 from trovine.operators import rerank as R
 from trovine.operators import windows as W
 from trovine.plans import learning, ranking, registry
@@ -152,3 +154,36 @@ def test_gradients_make_no_rows_of_pairs(spark):
     df = spark.createDataFrame([(1, i, int(i < 2), float(-i), [float(i)]) for i in range(5)], "query_id int, item_id int, y int, score double, x array<double>")
     out = ml.TreeRanker([]).gradients(df, ("x",))
     assert "Join" not in plan_of(out) and {(r.item_id, r.x[0]) for r in out.collect()} == {(i, float(i)) for i in range(5)}
+
+
+def test_ngram_vectors_equal_plain_python_without_rows_of_ngrams(spark, tmp_path, monkeypatch):
+    """Small slices; nulls, empty and long words; no transformer that takes lists of n-grams."""
+    monkeypatch.setattr(ml, "CountVectorizer", None, raising=False)
+    monkeypatch.setattr(ngrams, "CHARS", 20)
+    texts = ["Ab ab, ab", "ab xaaaaay 𝄞б", None, "", " б  ab\txaaaaay ", "ab ab б", "Ёж еж ab, x", "ab, ёж"]
+    df = spark.createDataFrame([(k, x, "u" if k % 2 else "v", 1.0) for k, x in enumerate(texts)], "id long, doc string, class string, w double")
+
+    def grams(x, kind):
+        words = re.findall(r"\w+", (x or "").lower().replace("ё", "е"))
+        if kind == 0:
+            return words + [" ".join(p) for p in zip(words, words[1:], strict=False)]
+        return [p[i : i + n] for w in (x or "").split() for p in [f" {w} "] for n in (3, 4, 5) for i in range(len(p) - n + 1)]
+
+    want, width = [{} for _ in texts], 0
+    for kind, least in ((0, 2), (1, 3)):
+        counts = [Counter(grams(x, kind)) for x in texts]
+        tf, df_ = Counter(), Counter()
+        for c in counts:
+            tf.update(c)
+            df_.update(c.keys())
+        names = sorted((g for g in tf if df_[g] >= least), key=lambda g: (-tf[g], g))[:9]
+        for own, c in zip(want, counts, strict=True):
+            v = {width + k: (1 + math.log(c[g])) * math.log((len(texts) + 1) / (df_[g] + 1)) for k, g in enumerate(names) if g in c}
+            size = math.sqrt(sum(x * x for x in v.values())) or 1.0
+            own.update({k: x / size for k, x in v.items()})
+        width += len(names)
+    made = ngrams.Vectorizer((9, 9)).fit(df, "doc", f"file://{tmp_path}")
+    got = {r.id: r._x for r in made.transform(df.select("id", "doc"), "doc").collect()}
+    for k, own in enumerate(want):
+        assert got[k].size == width and dict(zip(got[k].indices.tolist(), got[k].values.tolist(), strict=True)) == pytest.approx(own)
+    assert ml.ClassModel(words=9, chars=9).fit(df).predict(df.select(F.col("id").alias("query_id"), "doc").where("doc <> ''")).count() == 12
