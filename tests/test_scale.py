@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from trovine.operators import dense as D
 from trovine.operators import geo as G
-from trovine.operators import ml, ngrams
+from trovine.operators import ml, ngrams, postings
 from trovine.operators import rerank as R
+from trovine.operators import sparse as S
 from trovine.operators import windows as W
 from trovine.plans import learning, ranking, registry
 
@@ -187,3 +188,17 @@ def test_ngram_vectors_equal_plain_python_without_rows_of_ngrams(spark, tmp_path
     for k, own in enumerate(want):
         assert got[k].size == width and dict(zip(got[k].indices.tolist(), got[k].values.tolist(), strict=True)) == pytest.approx(own)
     assert ml.ClassModel(words=9, chars=9).fit(df).predict(df.select(F.col("id").alias("query_id"), "doc").where("doc <> ''")).count() == 12
+
+
+def test_bm25_makes_no_rows_of_pairs(spark, tmp_path, monkeypatch):
+    """Terms are not joined; ids that occur twice or are null, texts without words, ties, and blocks of queries equal the SQL."""
+    monkeypatch.setattr(S, "TERMS", 3)
+    monkeypatch.setattr(postings, "PAIRS", 4)
+    docs = [(1, "red apple apple"), (1, "red Ёж"), (None, "red pear"), (None, "pear"), (2, None), (3, " , "), (4, "blue apple"), (5, "blue apple"), (16, "еж ёж"), (25, "red apple blue pear")]
+    asked = [(1, "red red apple"), (5, "pear blue"), (6, "nothing"), (5, "еж"), (26, "")]
+    pq.write_table(pa.table({"doc_id": [k for k, _ in docs], "text": [x for _, x in docs]}), tmp_path / "documents.parquet")
+    pq.write_table(pa.table({"item_id": [k for k, _ in asked], "text": [x for _, x in asked]}), tmp_path / "benchmark.parquet")
+    assert len(same_as_sql(spark, tmp_path, "bm25_top50")) == 9
+    assert len(same_as_sql(spark, tmp_path, "source_scores")) == 3
+    tables = registry.Tables(spark, f"file://{tmp_path}")
+    assert "Join" not in plan_of(S.score_all(tables.documents.withColumnRenamed("doc_id", "item_id"), tables.benchmark.withColumnRenamed("item_id", "query_id")))
