@@ -202,3 +202,8 @@ def test_bm25_makes_no_rows_of_pairs(spark, tmp_path, monkeypatch):
     assert len(same_as_sql(spark, tmp_path, "source_scores")) == 3
     tables = registry.Tables(spark, f"file://{tmp_path}")
     assert "Join" not in plan_of(S.score_all(tables.documents.withColumnRenamed("doc_id", "item_id"), tables.benchmark.withColumnRenamed("item_id", "query_id")))
+
+
+@pytest.mark.parametrize("name", ["hybrid_geo", "answer_rows", "pipeline_meta"])
+def test_the_hybrid_reads_written_lists(spark, sf, name):
+    assert not [f for f in registry.queries()[name](spark, sf).inputFiles() if "embeddings" in f]
